@@ -78,4 +78,9 @@ def report_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return report_queries()
+    from tarmac.plans.catalog_eval import eval_queries, feature_queries
+
+    q = report_queries()
+    q.update(eval_queries())
+    q.update(feature_queries())
+    return q

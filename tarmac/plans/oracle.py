@@ -309,4 +309,9 @@ FROM clean""")
 
 
 def all_sql() -> dict[str, str]:
-    return report_sql()
+    from tarmac.plans.oracle_eval import eval_sql, feature_sql
+
+    q = report_sql()
+    q.update(eval_sql())
+    q.update(feature_sql())
+    return q

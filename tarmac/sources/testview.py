@@ -135,3 +135,20 @@ def schedule_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr("concat('Team ', CAST(o_custkey % 29 AS STRING))").alias("Away Team"),
         )
     )
+
+
+def scored_view(clean: DataFrame) -> DataFrame:
+    """Deterministic scored rows for the evaluation tables (FIXTURES.md B5):
+    ``label`` = delayed, a score ``p`` on the 0.01 grid that rises with the
+    hour and the label, ``prediction = p >= 0.5``; for regression ``y`` is the
+    arrival delay and ``yhat = hour + 5``."""
+    label = F.col("is_delayed").cast("int")
+    hour = F.coalesce(F.col("dep_hour"), F.lit(0))
+    p_pct = (hour * 3 + F.col("day_of_week") * 2 + label * 15) % 101
+    return clean.select(
+        label.alias("label"),
+        (p_pct / F.lit(100.0)).alias("p"),
+        (p_pct >= 50).cast("int").alias("prediction"),
+        F.col("arr_delay").alias("y"),
+        (hour + 5).cast("double").alias("yhat"),
+    )
