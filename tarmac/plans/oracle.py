@@ -309,9 +309,10 @@ FROM clean""")
 
 
 def all_sql() -> dict[str, str]:
-    from tarmac.plans.oracle_eval import eval_sql, feature_sql
+    from tarmac.plans.oracle_eval import eval_sql, feature_sql, model_rows_sql
 
     q = report_sql()
     q.update(eval_sql())
     q.update(feature_sql())
+    q.update(model_rows_sql())
     return q

@@ -130,3 +130,16 @@ feat AS (
     z = ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) + 0.0 AS {c}" for c in MODEL_NUMERIC)
     q["scaled_features"] = with_ctes(f"SELECT {z} FROM feat, (SELECT {stats} FROM feat)", extra=base)
     return q
+
+
+def model_rows_sql() -> dict[str, str]:
+    base_cols = "month, day_of_week, coalesce(dep_hour, -1) AS dep_hour, distance, op_unique_carrier, origin, dest"
+    not_null = ("month IS NOT NULL AND day_of_week IS NOT NULL AND distance IS NOT NULL AND "
+                "op_unique_carrier IS NOT NULL AND origin IS NOT NULL AND dest IS NOT NULL")
+    return {
+        "baseline_rows": with_ctes(f"SELECT {base_cols}, is_delayed FROM clean WHERE {not_null}"),
+        "route_model_rows": with_ctes(
+            f"""SELECT month, day_of_week, coalesce(dep_hour, -1) AS dep_hour, distance,
+                  CAST(event_name <> 'none' AS INT) AS event_flag, origin, dest, op_unique_carrier, event_name, is_delayed
+                FROM enriched WHERE {not_null}""", events=True),
+    }
