@@ -160,14 +160,24 @@ def stratified_split(
 
 
 def subsample(df: DataFrame, max_rows: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
-    """At most ``max_rows`` rows, uniformly without replacement: the rows with
-    the smallest hash units. Each partition keeps its ``max_rows`` best rows
-    and one final merge picks the result (``TakeOrderedAndProject``), so
-    memory is bounded by ``max_rows``, which is the sampling parameter."""
+    """At most ``max_rows`` rows, uniformly without replacement, seeded and
+    independent of partitioning: the rows with the smallest hash units.
+
+    With ``N`` rows (one count) the input is returned whole when
+    ``N <= max_rows``. Otherwise a narrow filter keeps rows whose unit is
+    below ``max_rows / N`` plus a six-sigma margin, and only those candidates
+    go through the top-``max_rows`` selection (per-partition heaps merged
+    once). If the margin ever falls short, the exact selection runs on all rows.
+    """
+    n_rows = df.count()
+    if n_rows <= max_rows:
+        return df
     keys = key_cols or df.columns
-    return (
-        df.withColumn("_u", hash_unit(keys, seed))
-        .orderBy("_u", *[F.asc_nulls_first(c) for c in keys])
-        .limit(max_rows)
-        .drop("_u")
-    )
+    with_u = df.withColumn("_u", hash_unit(keys, seed))
+    order = ["_u", *[F.asc_nulls_first(c) for c in keys]]
+    frac = max_rows / n_rows
+    margin = 6.0 * math.sqrt(max_rows) / n_rows + 16.0 / n_rows
+    candidates = with_u.where(F.col("_u") < F.lit(min(1.0, frac + margin)))
+    if candidates.count() < max_rows:
+        candidates = with_u
+    return candidates.orderBy(*order).limit(max_rows).drop("_u")

@@ -30,13 +30,13 @@ def indexers(categorical: list[str]) -> list[StringIndexer]:
 
 
 def one_hot(categorical: list[str]) -> OneHotEncoder:
-    """One-hot with the extra (unseen) index dropped: an unseen category is
-    the all-zero vector, every seen level keeps its own slot."""
+    """One-hot with the indexer's extra (unseen) index as the dropped last
+    slot: an unseen or NULL category is the all-zero vector, every seen level
+    keeps its own slot."""
     return OneHotEncoder(
         inputCols=[f"{c}__idx" for c in categorical],
         outputCols=[f"{c}__oh" for c in categorical],
         dropLast=True,
-        handleInvalid="keep",
     )
 
 

@@ -49,16 +49,15 @@ def read_flights_csv(
     ``PATH_NOT_FOUND`` analysis error.
     """
     wanted = columns or [n for n, _ in FLIGHT_COLUMNS]
-    text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n, _ in FLIGHT_COLUMNS])
-    raw = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", False)
-        .schema(text_schema)
-        .csv(path)
-    )
+    # Only the header line is read here; the file's own column order defines
+    # the text schema, so files with any subset of the columns are accepted.
+    present = spark.read.option("header", True).csv(path).columns
+    text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in present])
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(text_schema).csv(path)
     types = dict(FLIGHT_COLUMNS)
-    df = raw.select(*[_coerce(n, types[n]) for n in wanted])
+    df = raw.select(*[
+        _coerce(n, types[n]) if n in present else F.lit(None).cast(types[n]).alias(n) for n in wanted
+    ])
     return df.limit(limit) if limit else df
 
 

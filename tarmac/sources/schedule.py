@@ -48,9 +48,11 @@ def read_schedule_csv(spark: SparkSession, path: str, keep_rejects: bool = False
         # numbered in offset order.
         .withColumn(SEQ_COLUMN, F.monotonically_increasing_id())
     )
-    # Spark only fills the corrupt column when it is selected, so keep it in
-    # the projection before filtering on it.
-    df = df.select(SEQ_COLUMN, *present, CORRUPT_COLUMN)
+    # Spark fills the corrupt column only when it is parsed together with the
+    # data columns, and refuses plans that prune a raw CSV scan down to that
+    # column alone (a count after the filter would). The schedule is a small
+    # dimension input, so the parsed rows are kept in memory once.
+    df = df.select(SEQ_COLUMN, *present, CORRUPT_COLUMN).persist()
     if keep_rejects:
         return df.where(F.col(CORRUPT_COLUMN).isNotNull())
     clean = df.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
