@@ -86,4 +86,8 @@ def model_queries() -> dict[str, Query]:
         "gbt_tuning": lambda sp, d: MP.gbt_tuning(_data(sp, d), max_iter=SMOKE["curve_iter"]),
         "learning_curve": lambda sp, d: MP.learning_curve(_data(sp, d), max_iter=SMOKE["curve_iter"]),
         "complexity_curve": lambda sp, d: MP.complexity_curve(_data(sp, d), max_iter=SMOKE["curve_iter"]),
+        "regression_scatter": lambda sp, d: MP.run_regression(
+            _data(sp, d), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"])["regression_scatter"],
+        "cluster_scatter": lambda sp, d: MP.run_clustering(_data(sp, d), restarts=SMOKE["restarts"])[
+            "cluster_scatter"],
     }

@@ -391,5 +391,70 @@ def onehot_slots(rows: DataFrame, categorical: list[str], probe: DataFrame) -> D
 __all__ = [
     "classification_data", "run_classification", "run_regression", "run_clustering", "gbt_tuning",
     "learning_curve", "complexity_curve", "baseline_rows", "route_model_rows", "train_and_evaluate",
-    "route_risk", "event_risk", "onehot_slots",
+    "route_risk", "event_risk", "onehot_slots", "modeling_report", "baseline_report", "route_event_report",
 ]
+
+
+# ---------------------------------------------------------------------------
+# Entry plans
+# ---------------------------------------------------------------------------
+
+def modeling_report(flights: DataFrame, *, diagnostics: bool = False, tune: bool = True, costs: dict | None = None,
+                    clustering_elbow: bool = False, **sizes) -> dict[str, DataFrame]:
+    """Classification, regression and clustering tables from one prepared
+    (checkpointed) feature frame. ``tune`` runs the boosted-tree grid search
+    first and trains the final boosted classifier with the best setting;
+    ``diagnostics`` adds the learning and complexity curves."""
+    data = classification_data(flights)
+    out: dict[str, DataFrame] = {}
+    gbt_params = None
+    if tune:
+        grid = gbt_tuning(data, max_iter=sizes.get("tune_iter", 200))
+        best = grid.orderBy(F.desc("mean_f1"), "max_depth", "min_instances").first()
+        gbt_params = {"max_depth": best["max_depth"], "min_instances": best["min_instances"],
+                      "subsampling": best["subsampling"], "feature_subset": best["feature_subset"]}
+        out["gbt_tuning"] = grid
+    cls = run_classification(data, costs=costs, gbt_params=gbt_params,
+                             **{k: v for k, v in sizes.items() if k in ("lr_iter", "rf_trees", "rf_depth", "gbt_iter")})
+    out.update(cls)
+    reg = run_regression(data, **{k: v for k, v in sizes.items() if k in ("gb_iter", "boost_iter")})
+    out.update(reg)
+    clu = run_clustering(data, restarts=sizes.get("restarts", 10),
+                         elbow_ks=list(range(2, 11)) if clustering_elbow else None)
+    out.update(clu)
+    if diagnostics:
+        out["learning_curve"] = learning_curve(data, max_iter=sizes.get("curve_iter", 200))
+        out["complexity_curve"] = complexity_curve(data, max_iter=sizes.get("curve_iter", 200))
+    return out
+
+
+def baseline_report(flights: DataFrame, model_type: str = "logreg", test_fraction: float = 0.2,
+                    seed: int = 42, **kw) -> dict[str, DataFrame]:
+    """Simple delay classifier: positive rate, metrics, confusion counts and
+    the per-class report on the test rows."""
+    rows = baseline_rows(flights)
+    _, scored, tables = train_and_evaluate(rows, BASELINE_NUMERIC, BASELINE_CATEGORICAL, model_type=model_type,
+                                           test_fraction=test_fraction, seed=seed, **kw)
+    return {
+        "class_balance": rows.agg(F.count(F.lit(1)).alias("rows"),
+                                  _r(F.avg(F.col("is_delayed").cast("double"))).alias("positive_rate")),
+        "metrics": tables["metrics"],
+        "classification_report": tables["classification_report"],
+    }
+
+
+def route_event_report(flights: DataFrame, schedule: DataFrame | None, model_type: str = "logreg",
+                       test_fraction: float = 0.2, seed: int = 42, top_routes: int = 10,
+                       min_route_flights: int = 50, **kw) -> dict[str, DataFrame]:
+    """Route/event classifier: metrics on the test rows, then the route and
+    event risk tables from the predicted probabilities."""
+    rows = route_model_rows(flights, schedule)
+    kw.setdefault("lr_iter", 300)
+    _, scored, tables = train_and_evaluate(rows, ROUTE_NUMERIC, ROUTE_CATEGORICAL, model_type=model_type,
+                                           test_fraction=test_fraction, seed=seed, **kw)
+    return {
+        "metrics": tables["metrics"],
+        "classification_report": tables["classification_report"],
+        "route_risk": route_risk(scored, top_routes, min_route_flights),
+        "event_risk": event_risk(scored),
+    }

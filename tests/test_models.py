@@ -57,3 +57,18 @@ def test_unseen_category_is_zero_vector(spark):
     probe = spark.createDataFrame([("AAA",), ("ZZZ",), (None,)], "origin string")
     got = {r["origin"]: r["origin_active"] for r in MP.onehot_slots(train, ["origin"], probe).collect()}
     assert got == {"AAA": 1, "ZZZ": 0, None: 0}
+
+
+def test_entry_plans_small(spark, tmp_dir):
+    from tarmac.sources import write_tables
+
+    flights = flights_view(spark, SF_SMALL)
+    out = MP.modeling_report(flights, tune=True, diagnostics=False, tune_iter=3, lr_iter=20, rf_trees=5,
+                             gbt_iter=5, gb_iter=3, boost_iter=3, restarts=1)
+    assert {"gbt_tuning", "classifier_metrics", "regression_models", "cluster_profile"} <= set(out)
+    paths = write_tables({k: out[k] for k in ("classifier_metrics", "regression_models")}, tmp_dir)
+    assert spark.read.parquet(paths[0]).count() == 3
+    base = MP.baseline_report(flights, lr_iter=20)
+    assert base["classification_report"].count() == 5
+    route = MP.route_event_report(flights, schedule_view(spark, SF_SMALL), lr_iter=20, min_route_flights=5)
+    assert route["route_risk"].count() > 0
