@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import weather_flag
 
-MEASURES = ("flights", "delayed", "delay_minutes", "weather_flights", "weather_minutes")
+MEASURES = ("flights", "delayed", "delay_minutes", "weather_flights", "weather_minutes", "arr_delay_sum",
+            "arr_delay_max")
 
 
 def delay_measures() -> list[Column]:
     """flights, delayed flights, arrival minutes of delayed flights (NULL when
-    the group has none), weather-attributed flights and their weather minutes."""
+    the group has none), weather-attributed flights and their weather minutes,
+    and the sum and maximum of all arrival delays."""
     delayed = F.col("is_delayed")
     weather = weather_flag()
     return [
@@ -26,6 +28,8 @@ def delay_measures() -> list[Column]:
         F.sum(F.when(delayed, F.col("arr_delay"))).alias("delay_minutes"),
         F.count_if(weather).alias("weather_flights"),
         F.sum(F.when(weather, F.col("weather_delay"))).alias("weather_minutes"),
+        F.sum("arr_delay").alias("arr_delay_sum"),
+        F.max("arr_delay").alias("arr_delay_max"),
     ]
 
 

@@ -56,7 +56,11 @@ def enrich_events(
     stage and the flight table is never shuffled. Larger dimensions fall back
     to shuffle joins, where AQE splits a skewed (date, airport) partition.
     """
-    dim, _ = broadcast_if_small(dimension.select("event_date", "airport", "event_name"), max_broadcast_rows)
+    # The dimension is read three times (size check, origin and destination
+    # lookups); keep it once in memory. It is small next to the flights, and
+    # a lost block is rebuilt from the schedule file.
+    dim, _ = broadcast_if_small(dimension.select("event_date", "airport", "event_name").persist(),
+                                max_broadcast_rows)
     at_origin = dim.select(
         F.col("event_date").alias("_eo_date"), F.col("airport").alias("_eo_airport"),
         F.col("event_name").alias("_eo_name"),

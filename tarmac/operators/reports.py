@@ -95,6 +95,41 @@ def overview(flights: DataFrame, threshold: float = DELAY_THRESHOLD) -> DataFram
     )
 
 
+def overview_from_cube(cube: DelayCube, total_rows: int) -> DataFrame:
+    """The overview from the cube's grand-total row and the raw row count
+    (for parquet a metadata-only count), without another column scan.
+
+    A zero row is added before summing so the result has one row even when no
+    flight survives cleaning (the grand-total set is then empty)."""
+    spark = cube.table.sparkSession
+    g = cube.slice([], keep_null_keys=True)
+    zero = spark.range(1).select(
+        F.lit(0).cast("long").alias("flights"), F.lit(0).cast("long").alias("delayed"),
+        F.lit(None).cast("double").alias("delay_minutes"), F.lit(0).cast("long").alias("weather_flights"),
+        F.lit(None).cast("double").alias("weather_minutes"), F.lit(None).cast("double").alias("arr_delay_sum"),
+        F.lit(None).cast("double").alias("arr_delay_max"),
+    )
+    t = g.unionByName(zero).agg(*[
+        (F.max(c) if c == "arr_delay_max" else F.sum(c)).alias(c)
+        for c in ("flights", "delayed", "delay_minutes", "weather_flights", "weather_minutes", "arr_delay_sum",
+                  "arr_delay_max")
+    ])
+    return t.select(
+        F.lit(total_rows).cast("long").alias("total_rows"),
+        F.col("flights").alias("processed_rows"),
+        F.col("delayed").alias("delayed_rows"),
+        F.coalesce(pct("delayed", "flights"), F.lit(0.0)).alias("delay_rate_pct"),
+        F.coalesce(_round(F.try_divide(F.col("arr_delay_sum"), F.col("flights").cast("double"))), F.lit(0.0))
+        .alias("arr_delay_mean_all"),
+        F.coalesce(_round(F.try_divide(F.col("delay_minutes"), F.col("delayed").cast("double"))), F.lit(0.0))
+        .alias("arr_delay_mean_delayed"),
+        F.col("arr_delay_max").alias("max_arr_delay"),
+        F.col("weather_flights").alias("weather_delayed"),
+        F.coalesce(F.col("weather_minutes"), F.lit(0.0)).alias("weather_delay_minutes_total"),
+        F.coalesce(pct("weather_flights", "delayed"), F.lit(0.0)).alias("weather_share_pct"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # Reason and carrier counts
 # ---------------------------------------------------------------------------

@@ -3,10 +3,11 @@
 ``delay_report`` cleans the flights once, optionally tags events, and runs a
 single ``GROUPING SETS`` aggregate for every grouped table (one scan, one
 shuffle of partial rows). That small result is checkpointed to the shared
-checkpoint folder, so the ~25 tables read from it never re-scan the flights
-and a lost executor does not send the job back to the source files. Two
-extra narrow passes remain: the overview (it also counts cancelled and
-diverted rows) and the sample of delayed flights (a per-partition top-10).
+checkpoint folder, so the ~30 tables read from it never re-scan the flights
+and a lost executor does not send the job back to the source files. The
+overview comes from the cube's grand-total row plus a raw row count (metadata
+only for parquet); the sample of delayed flights is one more narrow pass (a
+per-partition top-10).
 """
 
 from __future__ import annotations
@@ -57,14 +58,13 @@ def delay_report(
     checkpoint: bool = True,
 ) -> dict[str, DataFrame]:
     """All report and chart tables, keyed like the query catalog."""
-    clean = clean_flights(flights, threshold).withColumn("route", route_key())
+    base = clean_flights(flights, threshold).withColumn("route", route_key())
     with_events = schedule is not None
-    if with_events:
-        clean = enrich_events(clean, event_dimension(schedule))
+    clean = enrich_events(base, event_dimension(schedule)) if with_events else base
     cube = build_cube(clean, with_events, checkpoint)
 
     t: dict[str, DataFrame] = {
-        "overview": R.overview(flights, threshold),
+        "overview": R.overview_from_cube(cube, flights.count()),
         "delay_reason": R.delay_reason_counts(cube),
         "reason_summary": R.reason_summary(cube),
         "carrier_delayed": R.carrier_delayed(cube),
@@ -80,7 +80,7 @@ def delay_report(
         "largest_airports": R.largest_airports(cube),
         "origin_hour_grid": R.origin_hour_grid(cube),
         "origin_hour_heatmap": R.origin_hour_heatmap(cube),
-        "sample_delays": R.sample_delays(clean),
+        "sample_delays": R.sample_delays(base),
         "carrier_rate": R.carrier_rate(cube, chart_top_n),
         "weather_top_origins": R.weather_top(cube, "origin", chart_top_n),
     }
