@@ -37,8 +37,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     slots (a file written as one row group is read by a single task).
     Inputs already split into enough partitions are returned unchanged, so at
     scale this adds nothing; hash partitioning on a join key needs no sort."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD handle in this session: leave the plan alone
+        return df
+    if current < target:
         return df.repartition(target, key)
     return df
 
