@@ -1,7 +1,7 @@
 """Feature preparation for the models.
 
 All transformations are column expressions; the only values brought to the
-driver are fixed-size statistics (13 medians, per-class split cut points,
+driver are fixed-size statistics (13 medians, one split bucket per class,
 means and deviations), which go back into the plan as literals.
 """
 
@@ -133,30 +133,37 @@ def stratified_split(
     seed: int = 42,
     key_cols: list[str] | None = None,
     stratify: bool = True,
-    relative_error: int = 10_000,
+    buckets: int = 1 << 16,
 ) -> DataFrame:
-    """Add boolean ``is_test``: about ``test_fraction`` of the rows of every
-    class (``stratify``) or of all rows.
-
-    Each row gets a hash unit ``u``; per class the cut is the
-    ``1 - test_fraction`` quantile of ``u`` (``percentile_approx``: a
-    fixed-size sketch, one number per class to the driver). Test rows are
-    those with ``u`` at or above their class's cut. No sort, no window.
+    """Add boolean ``is_test``: ``test_fraction`` of the rows of every class
+    (``stratify``) or of all rows, to within one bucket's share (1/65 536).
+
+    Each row gets a hash unit ``u`` and a bucket ``floor(u * buckets)``. An
+    exact integer histogram per (class, bucket) - at most ``buckets`` rows per
+    class - gives, through a running sum over that fixed-size table, the
+    first bucket where the class's training share is reached; rows above it
+    are test rows. Counts are exact, so the choice depends only on the rows,
+    never on partitioning or retries. One number per class reaches the driver.
     """
     keys = key_cols or df.columns
-    with_u = df.withColumn("_u", hash_unit(keys, seed))
-    if stratify:
-        cuts = with_u.groupBy(label).agg(
-            F.percentile_approx("_u", 1.0 - test_fraction, relative_error).alias("cut")
-        ).collect()
-        cut = None
-        for r in cuts:
-            cond = F.col(label).isNull() if r[label] is None else (F.col(label) == F.lit(r[label]))
-            cut = F.when(cond, F.lit(float(r["cut"]))) if cut is None else cut.when(cond, F.lit(float(r["cut"])))
-        cut_col = cut if cut is not None else F.lit(1.0 - test_fraction)
-    else:
-        cut_col = F.lit(1.0 - test_fraction)
-    return with_u.withColumn("is_test", F.col("_u") >= cut_col).drop("_u")
+    bucket = F.floor(hash_unit(keys, seed) * buckets).cast("int")
+    with_b = df.withColumn("_b", bucket)
+    group = F.col(label) if stratify else F.lit(0)
+    hist = with_b.groupBy(group.alias("_g"), "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("_g")
+    cum = hist.select("_g", "_b", F.sum("_n").over(upto).alias("_cum"), F.sum("_n").over(whole).alias("_tot"))
+    cuts = (
+        cum.where(F.col("_cum") >= F.lit(1.0 - test_fraction) * F.col("_tot"))
+        .groupBy("_g").agg(F.min("_b").alias("cut"))
+        .collect()
+    )
+    cut = None
+    for r in cuts:
+        cond = group.isNull() if r["_g"] is None else (group == F.lit(r["_g"]))
+        cut = F.when(cond, F.lit(int(r["cut"]))) if cut is None else cut.when(cond, F.lit(int(r["cut"])))
+    cut_col = cut if cut is not None else F.lit(buckets)
+    return with_b.withColumn("is_test", F.col("_b") > cut_col).drop("_b")
 
 
 def subsample(df: DataFrame, max_rows: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:

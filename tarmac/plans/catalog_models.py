@@ -30,18 +30,50 @@ SMOKE = {
 }
 
 
+# Several catalog entries are tables of the same trained plan (metrics,
+# importances, sweep of one classification run). The plan is trained once per
+# Spark application and data folder; its outputs read checkpointed data, so
+# they stay valid for the life of the application.
+_PLANS: dict[tuple, object] = {}
+
+
+def _shared(name: str, sp, d, build):
+    try:
+        app = sp.sparkContext.applicationId
+    except Exception:  # no SparkContext handle: key on the session object
+        app = id(sp)
+    key = (name, app, d)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def _data(sp, d):
-    return MP.classification_data(flights_view(sp, d))
+    return _shared("data", sp, d, lambda: MP.classification_data(flights_view(sp, d)))
 
 
 def _classification(sp, d):
-    return MP.run_classification(_data(sp, d), rf_trees=SMOKE["rf_trees"], gbt_iter=SMOKE["gbt_iter"])
+    return _shared("classification", sp, d, lambda: MP.run_classification(
+        _data(sp, d), rf_trees=SMOKE["rf_trees"], gbt_iter=SMOKE["gbt_iter"]))
+
+
+def _regression(sp, d):
+    return _shared("regression", sp, d, lambda: MP.run_regression(
+        _data(sp, d), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"]))
+
+
+def _clustering(sp, d):
+    return _shared("clustering", sp, d, lambda: MP.run_clustering(_data(sp, d), restarts=SMOKE["restarts"]))
 
 
 def _route_scored(sp, d):
-    rows = MP.route_model_rows(flights_view(sp, d), schedule_view(sp, d))
-    _, scored, _ = MP.train_and_evaluate(rows, ROUTE_NUMERIC, ROUTE_CATEGORICAL, model_type="logreg", lr_iter=300)
-    return scored
+    def build():
+        rows = MP.route_model_rows(flights_view(sp, d), schedule_view(sp, d))
+        _, scored, _ = MP.train_and_evaluate(rows, ROUTE_NUMERIC, ROUTE_CATEGORICAL, model_type="logreg",
+                                             lr_iter=300)
+        return scored
+
+    return _shared("route", sp, d, build)
 
 
 def _baseline(sp, d):
@@ -77,17 +109,13 @@ def model_queries() -> dict[str, Query]:
         "model_threshold_sweep": lambda sp, d: _classification(sp, d)["threshold_sweep"],
         "route_risk": lambda sp, d: MP.route_risk(_route_scored(sp, d), 10, SMOKE["min_route_flights"]),
         "event_risk": lambda sp, d: MP.event_risk(_route_scored(sp, d), 20),
-        "regression_models": lambda sp, d: MP.run_regression(
-            _data(sp, d), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"])["regression_models"],
-        "cluster_profile": lambda sp, d: MP.run_clustering(_data(sp, d), restarts=SMOKE["restarts"])[
-            "cluster_profile"],
+        "regression_models": lambda sp, d: _regression(sp, d)["regression_models"],
+        "cluster_profile": lambda sp, d: _clustering(sp, d)["cluster_profile"],
         "kmeans_elbow": lambda sp, d: MP.run_clustering(
             _data(sp, d), restarts=1, elbow_ks=list(range(2, 11)), elbow_restarts=1)["kmeans_elbow"],
         "gbt_tuning": lambda sp, d: MP.gbt_tuning(_data(sp, d), max_iter=SMOKE["curve_iter"]),
         "learning_curve": lambda sp, d: MP.learning_curve(_data(sp, d), max_iter=SMOKE["curve_iter"]),
         "complexity_curve": lambda sp, d: MP.complexity_curve(_data(sp, d), max_iter=SMOKE["curve_iter"]),
-        "regression_scatter": lambda sp, d: MP.run_regression(
-            _data(sp, d), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"])["regression_scatter"],
-        "cluster_scatter": lambda sp, d: MP.run_clustering(_data(sp, d), restarts=SMOKE["restarts"])[
-            "cluster_scatter"],
+        "regression_scatter": lambda sp, d: _regression(sp, d)["regression_scatter"],
+        "cluster_scatter": lambda sp, d: _clustering(sp, d)["cluster_scatter"],
     }
