@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -66,14 +65,21 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the configured checkpoint folder; only when none is set (local
-    tests) create a private one."""
+    """Return the checkpoint folder the session names (``spark.checkpoint.dir``).
+
+    Only a local-mode session without one (tests) gets a private temporary
+    folder; on a cluster a machine-local folder would not survive the loss of
+    that machine, so a missing setting is an error there."""
     found = checkpoint_dir(spark)
     sc = _context(spark)
     if found:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(found)
         return found
+    master = spark.conf.get("spark.master", None) or (sc.master if sc is not None else "")
+    if not str(master).startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a shared folder (HDFS/object store) for checkpoints")
     local = tempfile.mkdtemp(prefix="tarmac-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
@@ -81,8 +87,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", local)
     return local
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{os.getpid()}"
