@@ -227,6 +227,12 @@ def weather_by_airport(source, side: str = "origin") -> DataFrame:
     )
 
 
+def weather_report(source, side: str = "origin", top_n: int = 10) -> DataFrame:
+    """Report table: every airport (zero-filled), most weather-attributed
+    flights first, with total flights, weather rate and weather minutes."""
+    return weather_by_airport(source, side).orderBy(F.desc("weather_delayed"), F.asc(side)).limit(top_n)
+
+
 def weather_top(source, side: str = "origin", top_n: int = 10) -> DataFrame:
     """Chart table: airports with a weather-attributed flight, most first."""
     return (

@@ -89,6 +89,7 @@ def delay_report(
         t[f"airport_rate_{side}"] = R.airport_rate(cube, side, min_airport_flights, top_n)
         t[f"airport_avg_{side}"] = R.airport_avg(cube, side, top_n)
         t[f"weather_{side}"] = R.weather_by_airport(cube, side)
+        t[f"weather_report_{side}"] = R.weather_report(cube, side, top_n)
     if with_events:
         t["event_delay"] = R.event_delay(cube, event_top)
         t["event_origin_delay"] = R.event_origin_delay(cube)

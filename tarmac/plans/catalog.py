@@ -51,6 +51,7 @@ def report_queries() -> dict[str, Query]:
         q[f"airport_rate_{side}"] = lambda s, d, side=side: R.airport_rate(c(s, d), side, MIN_AIRPORT_FLIGHTS, TOP_N)
         q[f"airport_avg_{side}"] = lambda s, d, side=side: R.airport_avg(c(s, d), side, TOP_N)
         q[f"weather_{side}"] = lambda s, d, side=side: R.weather_by_airport(c(s, d), side)
+        q[f"weather_report_{side}"] = lambda s, d, side=side: R.weather_report(c(s, d), side, TOP_N)
     q.update({
         "weather_top_origins": lambda s, d: R.weather_top(c(s, d), "origin", TOP_N),
         "route_delay": lambda s, d: R.route_delay(c(s, d)),

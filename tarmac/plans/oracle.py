@@ -243,6 +243,8 @@ FROM clean WHERE {side} IS NOT NULL GROUP BY {side}""")
         q[f"airport_rate_{side}"] = _airport_rate(side, min_airport_flights, top_n)
         q[f"airport_avg_{side}"] = _airport_avg(side, top_n)
         q[f"weather_{side}"] = with_ctes(_weather(side))
+        q[f"weather_report_{side}"] = with_ctes(
+            f"SELECT * FROM ({_weather(side)}) ORDER BY weather_delayed DESC, {side} LIMIT {top_n}")
     q["weather_top_origins"] = with_ctes(f"""
 SELECT origin, airport_name, weather_delayed, weather_minutes FROM ({_weather('origin')})
 WHERE weather_delayed > 0 ORDER BY weather_delayed DESC, origin LIMIT {top_n}""")
