@@ -81,9 +81,11 @@ def report_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     from tarmac.plans.catalog_eval import eval_queries, feature_queries
     from tarmac.plans.catalog_models import model_queries
+    from tarmac.plans.catalog_stream import stream_queries
 
     q = report_queries()
     q.update(eval_queries())
     q.update(feature_queries())
     q.update(model_queries())
+    q.update(stream_queries())
     return q

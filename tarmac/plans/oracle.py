@@ -307,6 +307,11 @@ SELECT count(*) AS rows, count_if(is_delayed) AS positives,
   coalesce(round(1.0 - CAST(count_if(is_delayed) AS DOUBLE) / nullif(count(*), 0), 6), 0.0) AS always_on_time_accuracy
 FROM clean""")
     q["column_profile"] = profile_sql()
+    q["stream_origin_totals"] = q["origin_delay"]
+    q["stream_event_totals"] = with_ctes(f"""
+SELECT event_name, count(*) AS flights, count_if(is_delayed) AS delayed,
+  coalesce(sum(CASE WHEN is_delayed THEN arr_delay END), 0) AS delay_minutes
+FROM enriched WHERE event_name IS NOT NULL GROUP BY event_name""", events=True)
     return q
 
 
