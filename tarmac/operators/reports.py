@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions import display_name, pct, ratio, route_key, weekday_name, ROUND_DIGITS
+from tarmac.functions import ROUND_DIGITS, display_name, pct, ratio, route_key, weather_flag, weekday_name
 from tarmac.operators.aggregates import DelayCube, delay_totals
 from tarmac.operators.clean import clean_condition
 from tarmac.schema import (
@@ -30,9 +30,6 @@ from tarmac.schema import (
     DELAY_THRESHOLD,
     NO_EVENT,
 )
-from tarmac.functions import weather_flag
-
-Source = "DataFrame | DelayCube"
 
 
 def _totals(source, keys: list[str], keep_null_keys: bool = False) -> DataFrame:

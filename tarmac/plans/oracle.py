@@ -11,7 +11,6 @@ from tarmac.schema import (
     AIRPORT_NAMES,
     CARRIER_NAMES,
     CARRIER_SHORT_NAMES,
-    DEFAULT_COSTS,
     DELAY_REASON_NAMES,
     WEEKDAY_NAMES,
 )
