@@ -58,8 +58,9 @@ def _classification(sp, d):
 
 
 def _regression(sp, d):
+    # Regression uses its own split, not stratified on the delay label.
     return _shared("regression", sp, d, lambda: MP.run_regression(
-        _data(sp, d), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"]))
+        _shared("regression_data", sp, d, lambda: MP.classification_data(flights_view(sp, d), stratify=False)), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"]))
 
 
 def _clustering(sp, d):
