@@ -76,9 +76,16 @@ def nullif_zero(c: Column | str) -> Column:
     return F.when(col != 0, col)
 
 
+_MAPS: dict[tuple, Column] = {}
+
+
 def literal_map(mapping: dict) -> Column:
-    """A constant map column; the lookup stays a JVM expression (no join)."""
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
+    """A constant map column; the lookup stays a JVM expression (no join).
+    Columns are immutable, so each distinct map is built once and reused."""
+    key = tuple(mapping.items())
+    if key not in _MAPS:
+        _MAPS[key] = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
+    return _MAPS[key]
 
 
 def display_name(code: Column | str, mapping: dict) -> Column:

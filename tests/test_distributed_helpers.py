@@ -58,3 +58,12 @@ def test_auc_bucket_count_does_not_change_result(spark):
     one = roc_auc(df, rows_per_bucket=10**9).first()["auc"]
     many = roc_auc(df, rows_per_bucket=50).first()["auc"]
     assert one == many
+
+
+def test_sample_delays_is_partition_independent(spark):
+    from tarmac.operators.reports import sample_delays
+
+    clean = load_clean(spark, SF_MID)
+    a = sample_delays(clean.repartition(3)).collect()
+    b = sample_delays(clean.repartition(29)).collect()
+    assert a == b and len(a) == 10
