@@ -89,3 +89,27 @@ class DelayCube:
         """Keep the (small) cube in memory for the many slices read from it."""
         self.table = self.table.persist()
         return self
+
+
+def reaggregate(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Roll pre-aggregated measure rows up to ``keys`` (counts and sums add,
+    the maximum takes the maximum)."""
+    return cells.groupBy(*keys).agg(*[
+        (F.max(m) if m == "arr_delay_max" else F.sum(m)).alias(m) for m in MEASURES
+    ])
+
+
+class CellTotals:
+    """Measures held at a fine grain (for example per date, origin and
+    destination, tagged with an event) and rolled up to any coarser key on
+    demand; a drop-in source for the report tables like :class:`DelayCube`."""
+
+    def __init__(self, cells: DataFrame):
+        self.table = cells
+
+    def slice(self, group: list[str], keep_null_keys: bool = False) -> DataFrame:
+        src = self.table
+        if not keep_null_keys:
+            for k in group:
+                src = src.where(F.col(k).isNotNull())
+        return reaggregate(src, group).select(*group, *MEASURES)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import ROUND_DIGITS, display_name, pct, ratio, route_key, weather_flag, weekday_name
-from tarmac.operators.aggregates import DelayCube, delay_totals
+from tarmac.operators.aggregates import CellTotals, DelayCube, delay_totals
 from tarmac.operators.clean import clean_condition
 from tarmac.schema import (
     AIRPORT_NAMES,
@@ -33,7 +33,7 @@ from tarmac.schema import (
 
 
 def _totals(source, keys: list[str], keep_null_keys: bool = False) -> DataFrame:
-    if isinstance(source, DelayCube):
+    if isinstance(source, (DelayCube, CellTotals)):
         return source.slice(keys, keep_null_keys)
     src = source
     if "route" in keys and "route" not in source.columns:

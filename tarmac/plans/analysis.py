@@ -1,8 +1,9 @@
 """The descriptive report and the chart tables as one Spark plan.
 
-``delay_report`` cleans the flights once, optionally tags events, and runs a
-single ``GROUPING SETS`` aggregate for every grouped table (one scan, one
-shuffle of partial rows). That small result is checkpointed to the shared
+``delay_report`` cleans the flights once and runs a single ``GROUPING SETS``
+aggregate for every grouped table (one scan, one shuffle of partial rows).
+Event tables come from the cube's (date, origin, dest) slice, tagged with the
+event and rolled up, so the event lookup joins reduced rows, not flights. That small result is checkpointed to the shared
 checkpoint folder, so the ~30 tables read from it never re-scan the flights
 and a lost executor does not send the job back to the source files. The
 overview comes from the cube's grand-total row plus a raw row count (metadata
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from tarmac.functions import route_key
 from tarmac.operators import reports as R
-from tarmac.operators.aggregates import DelayCube
+from tarmac.operators.aggregates import CellTotals, DelayCube
 from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events, event_dimension
 from tarmac.schema import DELAY_THRESHOLD
@@ -34,11 +35,13 @@ BASE_SETS = [
     ["reason"],
     [],
 ]
-EVENT_SETS = [["event_name"], ["event_name", "origin"]]
+# Event tables need only the flight date and both airports: the cube keeps
+# that grain, and the event lookup runs on it instead of on every flight.
+EVENT_GRAIN = ["fl_date", "origin", "dest"]
 
 
 def build_cube(clean: DataFrame, with_events: bool, checkpoint: bool = True) -> DelayCube:
-    sets = BASE_SETS + (EVENT_SETS if with_events else [])
+    sets = BASE_SETS + ([EVENT_GRAIN] if with_events else [])
     cube = DelayCube(clean, sets)
     if checkpoint:
         ensure_checkpoint_dir(clean.sparkSession)
@@ -60,8 +63,7 @@ def delay_report(
     """All report and chart tables, keyed like the query catalog."""
     base = clean_flights(flights, threshold).withColumn("route", route_key())
     with_events = schedule is not None
-    clean = enrich_events(base, event_dimension(schedule)) if with_events else base
-    cube = build_cube(clean, with_events, checkpoint)
+    cube = build_cube(base, with_events, checkpoint)
 
     t: dict[str, DataFrame] = {
         "overview": R.overview_from_cube(cube, flights.count()),
@@ -91,7 +93,11 @@ def delay_report(
         t[f"weather_{side}"] = R.weather_by_airport(cube, side)
         t[f"weather_report_{side}"] = R.weather_report(cube, side, top_n)
     if with_events:
-        t["event_delay"] = R.event_delay(cube, event_top)
-        t["event_origin_delay"] = R.event_origin_delay(cube)
-        t["event_top"] = R.event_top(cube, chart_top_n)
+        # One row per (date, origin, dest) with its measures, tagged with the
+        # event (origin first, then destination) and rolled up per event.
+        cells = enrich_events(cube.slice(EVENT_GRAIN, keep_null_keys=True), event_dimension(schedule))
+        events = CellTotals(cells)
+        t["event_delay"] = R.event_delay(events, event_top)
+        t["event_origin_delay"] = R.event_origin_delay(events)
+        t["event_top"] = R.event_top(events, chart_top_n)
     return t
