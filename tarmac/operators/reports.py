@@ -402,6 +402,16 @@ def origin_hour_heatmap(source, n_origins: int = 5) -> DataFrame:
 # Events
 # ---------------------------------------------------------------------------
 
+def event_cells(clean: DataFrame, dimension: DataFrame) -> CellTotals:
+    """Measures per (date, origin, dest), tagged with the event (origin
+    first, then destination): the event tables roll these up, so the lookup
+    joins one row per date and route instead of one per flight."""
+    from tarmac.operators.events import enrich_events
+
+    cells = delay_totals(clean, "fl_date", "origin", "dest", keep_null_keys=True)
+    return CellTotals(enrich_events(cells, dimension))
+
+
 def event_delay(source, top_n: int = 20) -> DataFrame:
     """Per event (``'none'`` pinned first, then most delayed): flights,
     delayed, rate and delayed minutes, zero-filled."""

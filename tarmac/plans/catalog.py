@@ -35,6 +35,10 @@ def load_enriched(spark: SparkSession, sf_dir: str, null_hour: int | None = None
     return enrich_events(load_clean(spark, sf_dir, null_hour), load_event_dim(spark, sf_dir))
 
 
+def load_event_cells(spark: SparkSession, sf_dir: str):
+    return R.event_cells(load_clean(spark, sf_dir), load_event_dim(spark, sf_dir))
+
+
 def report_queries() -> dict[str, Query]:
     c = load_clean
     e = load_enriched
@@ -67,9 +71,9 @@ def report_queries() -> dict[str, Query]:
         "origin_hour_heatmap": lambda s, d: R.origin_hour_heatmap(c(s, d)),
         "event_dim": lambda s, d: load_event_dim(s, d),
         "event_enriched": lambda s, d: e(s, d),
-        "event_delay": lambda s, d: R.event_delay(e(s, d), EVENT_TOP),
-        "event_origin_delay": lambda s, d: R.event_origin_delay(e(s, d)),
-        "event_top": lambda s, d: R.event_top(e(s, d), TOP_N),
+        "event_delay": lambda s, d: R.event_delay(load_event_cells(s, d), EVENT_TOP),
+        "event_origin_delay": lambda s, d: R.event_origin_delay(load_event_cells(s, d)),
+        "event_top": lambda s, d: R.event_top(load_event_cells(s, d), TOP_N),
         "sample_delays": lambda s, d: R.sample_delays(c(s, d)),
         "carrier_rate": lambda s, d: R.carrier_rate(c(s, d), TOP_N),
         "class_balance": lambda s, d: R.class_balance(c(s, d)),
