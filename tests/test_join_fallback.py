@@ -47,3 +47,28 @@ def test_hot_key_shuffle_join(spark):
     # 400 hot-origin flights + flights arriving at HOT on the two event days.
     assert counts["2024-01-01"] == 400 + sum(1 for i in range(800) if i % 9 == 0)
     assert counts["2024-01-02"] == sum(1 for i in range(800) if i % 9 == 1)
+
+
+def test_event_cells_equal_row_level_with_nulls(spark):
+    """Rolling up (date, origin, dest) cells gives the same event tables as
+    tagging every flight, also with NULL dates and airports."""
+    from tarmac.operators import reports as R
+
+    rows = [
+        {"fl_date": "2024-01-01", "origin": "HOT", "dest": "X", "arr_delay": 20, "weather_delay": 4},
+        {"fl_date": "2024-01-01", "origin": None, "dest": "HOT", "arr_delay": 30},
+        {"fl_date": "2024-01-01", "origin": "A", "dest": None, "arr_delay": 1},
+        {"fl_date": None, "origin": "HOT", "dest": "HOT", "arr_delay": 50},
+        {"fl_date": "2024-01-02", "origin": "A", "dest": "HOT", "arr_delay": 16},
+        {"fl_date": "2024-01-02", "origin": "A", "dest": "HOT", "arr_delay": 2},
+    ]
+    df = clean_flights(flights(spark, rows))
+    sched = spark.createDataFrame(
+        [(1, "NFL", "H", "S", "HOT", "Mon,2024-01-01", "A"), (2, "NFL", "H2", "S", "HOT", "Tue,2024-01-02", "B")],
+        "seq long, `League` string, `Team Name` string, `Stadium Name` string, `Primary Airport` string, "
+        "`Date` string, `Away Team` string")
+    dim = event_dimension(sched)
+    cells = R.event_cells(df, dim)
+    rowlevel = enrich_events(df, dim)
+    for fn in (R.event_delay, R.event_origin_delay, R.event_top):
+        assert _same(fn(cells), fn(rowlevel)), fn.__name__
