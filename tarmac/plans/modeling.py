@@ -174,6 +174,19 @@ def _f1(scored: DataFrame) -> float:
     return float(E.binary_metrics(scored).select("f1").first()["f1"])
 
 
+def _f1_by(scored: DataFrame, flag: str) -> dict:
+    """{flag value: (F1 of the positive class, rows)} from one aggregate."""
+    y, yhat = F.col("label") == 1, F.col("prediction") == 1
+    out = {}
+    for r in scored.groupBy(flag).agg(
+        F.count_if(y & yhat).alias("tp"), F.count_if(~y & yhat).alias("fp"),
+        F.count_if(y & ~yhat).alias("fn"), F.count(F.lit(1)).alias("n"),
+    ).collect():  # one row per flag value (two)
+        den = 2 * r["tp"] + r["fp"] + r["fn"]
+        out[r[flag]] = (round(2 * r["tp"] / den, 6) if den else 0.0, int(r["n"]))
+    return out
+
+
 def _folds(df: DataFrame, k: int, seed: int) -> DataFrame:
     from tarmac.operators.features import hash_unit
 
@@ -222,11 +235,16 @@ def learning_curve(data: DataFrame, max_rows: int = 200_000, folds: int = 3, siz
     for frac in sizes:
         tr_scores, va_scores, n_used = [], [], 0
         for f in range(folds):
-            part = base.where((F.col("_fold") != f) & (F.col("_v") < frac))
+            is_val = F.col("_fold") == f
+            part = base.where(~is_val & (F.col("_v") < frac))
             model = M.boosted_classifier(max_iter, 0.05, max_depth, 42, bins).fit(part)
-            tr_scores.append(_f1(M.score(model, part)))
-            va_scores.append(_f1(M.score(model, base.where(F.col("_fold") == f))))
-            n_used += part.count()
+            # Training and validation rows are scored together; one grouped
+            # aggregate gives both F1 values and the training size.
+            both = base.where(is_val | (F.col("_v") < frac)).withColumn("_val", is_val)
+            by_side = _f1_by(M.score(model, both, ["_val"]), "_val")
+            tr_scores.append(by_side.get(False, (0.0, 0))[0])
+            va_scores.append(by_side.get(True, (0.0, 0))[0])
+            n_used += by_side.get(False, (0.0, 0))[1]
         rows.append((float(frac), int(n_used / folds), sum(tr_scores) / folds, sum(va_scores) / folds))
     return data.sparkSession.createDataFrame(rows, "train_fraction double, train_rows long, f1_train double, "
                                                    "f1_val double")
