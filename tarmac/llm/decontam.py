@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The test n-grams form a hash set: a bitmap of their hashes, of a size fixed by
-their number, which every task probes for each window of words, and a table of
+The test n-grams form a hash set: a bitmap of hashes, of a size fixed by their
+number, which every task probes for each window of words, and a table of
 the n-grams themselves, joined by their exact words to verify what the bitmap
 let through. The documents' texts are read once and never shuffled.
 """
@@ -38,8 +38,9 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD + "+"), F.lit(0))
 
 
-def _window(words: Column, at: Column, length: int) -> Column:
-    return F.slice(words, at, length)
+def _probe(words: Column, at: Column, length: int) -> Column:
+    """Hash under which the bitmap knows a window: of its first, middle and last word."""
+    return F.xxhash64(F.get(words, at - 1), F.get(words, at - 1 + length // 2), F.get(words, at + (length - 2)))
 
 
 def _starts(words: Column, length: int) -> Column:
@@ -50,14 +51,15 @@ def _starts(words: Column, length: int) -> Column:
 
 def test_ngrams(bench: DataFrame, item_col: str, text_col: str, ngram: int) -> DataFrame:
     """One row per distinct test n-gram: ``gram`` (words joined by a blank),
-    ``len``, ``h`` (hash of the words) and ``items`` (ids as text)."""
+    ``len``, ``h`` (hash of its first, middle and last word) and ``items`` (ids as text)."""
     b = bench.select(F.col(quoted(item_col)).cast("string").alias("item"), words_of(F.col(quoted(text_col))).alias("w"))
     n = F.least(F.size("w"), F.lit(ngram))
     b = b.filter(F.size("w") > 0).withColumn("len", n)
     at = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1))
     b = b.select("item", "len", "w", at.alias("at")).select(
         "item", "len", F.slice("w", F.col("at"), F.col("len")).alias("win"))
-    return b.groupBy(F.array_join("win", " ").alias("gram"), "len", F.xxhash64("win").alias("h")).agg(
+    first, middle, last = F.get("win", 0), F.get("win", F.floor(F.col("len") / 2).cast("int")), F.get("win", F.col("len") - 1)
+    return b.groupBy(F.array_join("win", " ").alias("gram"), "len", F.xxhash64(first, middle, last).alias("h")).agg(
         F.collect_set("item").alias("items"))
 
 
@@ -99,7 +101,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
         return F.getbit(word, h.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
     def candidates(length: int) -> Column:
-        passed = F.filter(_starts(words, length), lambda i: maybe(F.xxhash64(F.slice(words, i, length))))
+        passed = F.filter(_starts(words, length), lambda i: maybe(_probe(words, i, length)))
         return F.transform(passed, lambda i: F.struct(
             (i - 1).alias("pos"), F.lit(length).alias("len"),
             F.array_join(F.slice(words, i, length), " ").alias("gram")))

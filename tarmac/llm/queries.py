@@ -9,12 +9,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import decontam, simhash
+from tarmac.llm import decontam, langid, line_dedup, packing, simhash
 from tarmac.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines removed and a digest of the remaining text."""
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines_removed", F.octet_length("text").cast("long").alias("bytes_kept"),
+                      F.sha2("text", 256).alias("text_sha256"))
+
+
+def vocabulary() -> dict[str, str]:
+    """Paths of the public vocabulary used for packing, as operator parameters."""
+    import public_tokenizers
+
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"),
+            "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), **vocabulary())
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                      F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -28,6 +53,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_language_id": op6_language_id,
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
     }
