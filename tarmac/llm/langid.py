@@ -13,7 +13,6 @@ each language at most, in expectation), by its exact gradient.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ WORD = re.compile(r"[^\W\d_]+")
 HASHES = 1 << 15
 #: Labelled documents of each language, the most characters of one of them, the
 #: words of a training segment (long documents give many), and gradient steps.
-PER_LANG, MAX_CHARS, SEGMENT, STEPS = 400, 200_000, 128, 30
+PER_LANG, MAX_CHARS, SEGMENT, STEPS = 300, 200_000, 128, 30
 #: Words scored together and cached per worker, which bound its memory.
 CHUNK_WORDS, CACHE_WORDS = 400_000, 200_000
 
@@ -36,29 +35,47 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Hashed feature ids: prefixes, suffixes, 2- and 3-grams with bounds, lexicons."""
-    b = f"<{word}>"
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    names += [b[i:i + n] for n in (2, 3) for i in range(len(b) - n + 1)]
-    names += [f"lexicon {k}" for k in lexicon.get(word, ())]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % HASHES for x in names]
+def _mix(a: np.ndarray, b: np.ndarray, c: np.ndarray, salt: int) -> np.ndarray:
+    x = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D) + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((x ^ (x >> np.uint32(16))) & np.uint32(HASHES - 1)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature ids of words: ``grams`` (2, characters) of the 2- and 3-grams that
+    start at each character of the bounded words laid end to end, ``starts`` of
+    the words there, and ``fixed`` (words, 7): prefixes and suffixes of 1 to 3
+    characters and the lexicon. Id ``HASHES`` stands for no feature."""
+    c = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts, ends = np.flatnonzero(c == ord("<")), np.flatnonzero(c == ord(">"))
+    ahead = np.concatenate([c, np.zeros(3, dtype=np.uint32)])
+    nil = np.uint32(0)
+    one, two = ahead[1:len(c) + 1], ahead[2:len(c) + 2]
+    last = c == ord(">")
+    grams = np.stack([np.where(last, HASHES, _mix(c, one, nil, 1)),
+                      np.where(last | (one == ord(">")), HASHES, _mix(c, one, two, 2))])
+    size = ends - starts - 1
+    head = [np.where(size > k, ahead[starts + 1 + k], nil) for k in range(3)]
+    tail = [np.where(size > k, c[np.maximum(ends - 1 - k, 0)], nil) for k in range(3)]
+    fixed = [_mix(x[0], x[1] if n > 1 else nil, x[2] if n > 2 else nil, salt + n)
+             for x, salt in ((head, 10), (tail, 20)) for n in (1, 2, 3)]
+    known = np.fromiter((lexicon.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    fixed.append(np.where(known < 0, HASHES, _mix(known.astype(np.uint32), nil, nil, 30)))
+    return grams, starts, np.stack(fixed, axis=1)
 
 
 class Field:
     """Parameters: ``weights`` (hash, label), ``trans`` (label, label), ``lexicon``."""
 
-    def __init__(self, labels: list[str], lexicon: dict[str, list[int]]):
+    def __init__(self, labels: list[str], lexicon: dict[str, int]):
         self.labels, self.lexicon = labels, lexicon
-        self.weights = np.zeros((HASHES, len(labels)), dtype=np.float32)
+        self.weights = np.zeros((HASHES + 1, len(labels)), dtype=np.float32)  # the last row stays zero
         self.trans = np.zeros((len(labels), len(labels)), dtype=np.float32)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of words, (len(words), labels)."""
-        feats = [features(w, self.lexicon) for w in words]
-        sizes = np.array([len(f) for f in feats])
-        flat = np.fromiter((x for f in feats for x in f), dtype=np.int64, count=int(sizes.sum()))
-        return np.add.reduceat(self.weights[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+    def emissions(self, grams: np.ndarray, starts: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        """Scores of words from their features, (words, labels)."""
+        w = self.weights
+        return np.add.reduceat(w[grams[0]] + w[grams[1]], starts, axis=0) + w[fixed].sum(axis=1)
 
 
 def _time_major(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +127,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Field:
     for y, words in docs:
         for w in words:
             counts.setdefault(w, np.zeros(len(labels)))[y] += 1
-    lexicon = {w: [int(c.argmax())] for w, c in counts.items() if c.sum() >= 5 and c.max() >= 0.8 * c.sum()}
+    lexicon = {w: int(c.argmax()) for w, c in counts.items() if c.sum() >= 5 and c.max() >= 0.8 * c.sum()}
     field = Field(labels, lexicon)
     segs = sorted(((y, words[i:i + SEGMENT]) for y, words in docs for i in range(0, len(words), SEGMENT)),
                   key=lambda s: -len(s[1]))
@@ -122,25 +139,30 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Field:
     ids, gold = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
     ids[place] = np.fromiter((vocab[w] for _, ws in segs for w in ws), dtype=np.int64)
     gold[place] = np.repeat([y for y, _ in segs], sizes)
-    feats = [features(w, lexicon) for w in vocab]
-    flat = np.fromiter((x for f in feats for x in f), dtype=np.int64)
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    starts = np.searchsorted(owner, np.arange(len(feats)))
+    feats = features(list(vocab), lexicon)
+    grams, starts, fixed = feats
+    owner = np.repeat(np.arange(len(vocab)), np.diff(np.append(starts, grams.shape[1])))
     k, n = len(labels), len(ids)
     real_pairs = np.diag(np.bincount([y for y, w in segs], weights=np.maximum(sizes - 1, 0), minlength=k))
     square_w, square_t = np.full((HASHES, k), 1e-8), np.full((k, k), 1e-8)
+
+    def pulled(weights: np.ndarray) -> np.ndarray:
+        out = np.bincount(grams[0], weights=weights[owner], minlength=HASHES + 1)
+        out += np.bincount(grams[1], weights=weights[owner], minlength=HASHES + 1)
+        out += np.bincount(fixed.ravel(), weights=np.repeat(weights, fixed.shape[1]), minlength=HASHES + 1)
+        return out[:HASHES]
+
     for _ in range(steps):
-        emit = np.add.reduceat(field.weights[flat], starts, axis=0)
+        emit = field.emissions(*feats)
         gamma, pairs = forward_backward(emit[ids], running, field.trans, want_pairs=True)
         miss = -gamma
         miss[np.arange(n), gold] += 1
-        per_word = np.stack([np.bincount(ids, weights=miss[:, j], minlength=len(feats)) for j in range(k)], axis=1)
-        grad = np.stack([np.bincount(flat, weights=per_word[owner, j], minlength=HASHES) for j in range(k)], axis=1)
-        grad = grad / n - 1e-6 * field.weights
+        per_word = [np.bincount(ids, weights=miss[:, j], minlength=len(vocab)) for j in range(k)]
+        grad = np.stack([pulled(x) for x in per_word], axis=1) / n - 1e-6 * field.weights[:HASHES]
         step_t = (real_pairs - pairs) / n - 1e-3 * field.trans
         square_w += grad**2
         square_t += step_t**2
-        field.weights += (0.3 * grad / np.sqrt(square_w)).astype(np.float32)
+        field.weights[:HASHES] += (0.3 * grad / np.sqrt(square_w)).astype(np.float32)
         field.trans += (0.3 * step_t / np.sqrt(square_t)).astype(np.float32)
     return field
 
@@ -162,7 +184,7 @@ class Tagger:
             top = len(known) + len(new)
             if top > len(self.table):
                 self.table = np.concatenate([self.table, np.empty((top, self.table.shape[1]), dtype=np.float32)])
-            self.table[len(known):top] = self.field.emissions(new)
+            self.table[len(known):top] = self.field.emissions(*features(new, self.field.lexicon))
             known.update(zip(new, range(len(known), top)))
         return np.fromiter((known[w] for ws in docs for w in ws), dtype=np.int64)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import quoted, shared_table
+from tarmac.llm.common import join_on_key, quoted, shared_table, with_key
 from tarmac.llm.graph import components
 
 SEED = 42
@@ -177,6 +177,17 @@ def forest(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     return np.stack([nodes[moved].view(np.int64), nodes[root[moved]].view(np.int64)], axis=1)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """``__id``, ``__tk`` (document key), ``__fp`` and ``__group`` of every row."""
+    keyed = with_key(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text")), id_col, "__text")
+    rows = shared_table(with_fingerprints(keyed.select("__id", "__tk", "__text"), "__text", shingle), "fingerprints")
+    fps = rows.select(F.col("__fp").alias("fp")).distinct()
+    comp = components(links(fps, max_bits))
+    named = fps.join(comp, fps["fp"] == comp["node"], "left").select(
+        "fp", F.coalesce("component", "fp").alias("__group"))
+    return rows.join(named, rows["__fp"] == named["fp"]).drop("fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits) and
@@ -186,24 +197,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short texts are one shingle. Repeated rows get equal answers. A null id is
     never a component id unless no member has one. Extra columns are ignored.
     """
-    rows = shared_table(with_fingerprints(
-        docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), "text", shingle),
-        "fingerprints")
-    classes = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least"))
-    comp = components(links(classes.select("fp"), max_bits))
-    named = classes.join(comp, classes["fp"] == comp["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(firsts, "component").select("fp", "component_id")
-    return rows.join(named, rows["__fp"] == named["fp"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _grouped(docs, id_col, text_col, shingle, max_bits)
+    firsts = rows.groupBy("__group").agg(F.min("__id").alias("component_id"))
+    return rows.join(firsts, "__group").select(
+        F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                      max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id
-    (rows that repeat this id: the one with the smallest text)."""
-    g = simhash_groups(docs, id_col, text_col, shingle, max_bits)
-    gone = g.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(quoted(id_col)).eqNullSafe(F.col("__gone")), "left_anti")
-    return left
+    """``docs`` with one row of each group: the document with the smallest id
+    (null ids last, equal ids by text hash), once if it is listed repeatedly."""
+    rows = _grouped(docs, id_col, text_col, shingle, max_bits)
+    first = rows.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("n"), "__id", "__tk")).alias("k"))
+    kept = join_on_key(with_key(docs, id_col, text_col), first.select("k.__id", "k.__tk"), "left_semi")
+    return kept.dropDuplicates(["__id", "__tk"]).drop("__id", "__tk")
