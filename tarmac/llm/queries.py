@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import decontam, langid, line_dedup, packing, simhash
+from tarmac.llm import decontam, langid, line_dedup, packing, pq_dedup, simhash
 from tarmac.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("text", 256).alias("text_sha256"))
 
 
+def op2_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def vocabulary() -> dict[str, str]:
     """Paths of the public vocabulary used for packing, as operator parameters."""
     import public_tokenizers
@@ -54,6 +58,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_pq_near_dedup": op2_pq_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op8_decontamination": op8_decontamination,
@@ -90,5 +95,27 @@ FROM d LEFT JOIN cnt USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+OP2_SQL = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id IS NOT NULL AND len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+              THEN CAST(embedding AS DOUBLE[]) END AS v
+  FROM embeddings),
+u AS (SELECT rid, vec_id, v, len(v) AS n, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE v IS NOT NULL),
+p AS (SELECT a.rid, a.vec_id, b.vec_id AS other
+      FROM u a JOIN u b ON a.rid <> b.rid AND a.n = b.n
+      WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+n AS (SELECT rid, count(*) AS n_links FROM p GROUP BY rid),
+r AS (SELECT DISTINCT vec_id AS s, vec_id AS t FROM u
+      UNION SELECT r.s, p.other FROM r JOIN p ON r.t = p.vec_id),
+c AS (SELECT s, min(t) AS component_id FROM r GROUP BY s)
+SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       coalesce(coalesce(component_id, e.vec_id) = e.vec_id, false) AS kept
+FROM e LEFT JOIN n USING (rid) LEFT JOIN c ON c.s = e.vec_id
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op2_pq_near_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
