@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import decontam, langid, line_dedup, packing, pq_dedup, simhash
+from tarmac.llm import decontam, langid, line_dedup, packing, pq_dedup, simhash, suffix
 from tarmac.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -61,6 +66,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_pq_near_dedup": op2_pq_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_language_id": op6_language_id,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
     }
