@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import decontam, langid, line_dedup, packing, pq_dedup, simhash, suffix
+from tarmac.llm import (
+    decontam, langid, line_dedup, packing, pii, pq_dedup, pseudo_lm, quality, simhash, suffix,
+)
 from tarmac.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +40,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), **vocabulary())
 
 
+#: Stands in for the caller's secret in the registered query.
+PSEUDONYM_KEY = "registered query"
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return out.select("doc_id", "n_replaced", "text")
+
+
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
@@ -60,15 +75,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_pq_near_dedup": op2_pq_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_pii_pseudonyms": op4_pii_pseudonyms,
+        "op5_quality_cotraining": op5_quality_cotraining,
         "op6_language_id": op6_language_id,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
+        "op10_pseudo_likelihood": op10_pseudo_likelihood,
     }
 
 
