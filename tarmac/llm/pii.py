@@ -16,7 +16,7 @@ from tarmac.llm.common import quoted
 
 ROUNDS = 8
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w.-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -24,7 +24,9 @@ ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 ISO_DATE = r"(?<![\w-])(?:19|20)\d\d-\d\d-\d\d(?![\w-])"
 US_DATE = r"(?<![\w/])\d\d/\d\d/(?:19|20)\d\d(?![\w/])"
 EU_DATE = r"(?<![\w.])\d\d\.\d\d\.(?:19|20)\d\d(?!\w|\.\d)"
-ANY = "|".join([EMAIL, ISO_DATE, US_DATE, EU_DATE, PHONE, SSN, CARD, ADDRESS])
+#: The first character is tested before anything else: most positions fail there.
+NUMERIC = "(?=[0-9+(])(?:" + "|".join([ISO_DATE, US_DATE, EU_DATE, PHONE, SSN, CARD, ADDRESS]) + ")"
+ANY = f"{NUMERIC}|{EMAIL}"
 #: Dates are permuted within 1900 to 2099, which has 17 x 4297 days.
 DAYS = (17, 4297)
 
@@ -39,13 +41,18 @@ def feistel(key: str, tag: str, left: Column, right: Column, a: Column, b: Colum
     """Permutation of [0, a) x [0, b) as a struct ``l``, ``r``."""
 
     def turn(s: Column, i: Column) -> Column:
-        new = F.pmod(s["l"] + _round(key, tag, i, s["r"]), a)
-        return F.struct(new.alias("l"), F.pmod(s["r"] + _round(key, tag, -i, new), b).alias("r"))
+        return _let(F.pmod(s["l"] + _round(key, tag, i, s["r"]), a), lambda new: F.struct(
+            new.alias("l"), F.pmod(s["r"] + _round(key, tag, -i, new), b).alias("r")))
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _number(text: Column, at, size) -> Column:
     return F.substr(text, _c(at), _c(size)).cast("long")
 
@@ -87,56 +94,73 @@ def luhn_digit(body: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    d = _digits(value)
-    n = F.length(d) - 1
-    body = F.substr(d, F.lit(1), n)
-    u = F.floor(n / 2).cast("int")
-    v = (n - u).cast("int")
-    size = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    p = feistel(key, "card", _number(body, 1, u), _number(body, u + 1, v), size(u), size(v))
-    new = F.concat(_pad(p["l"], u), _pad(p["r"], v))
-    valid = luhn_digit(body).cast("string") == F.substr(d, n + 1, F.lit(1))
-    return F.when(valid, _refill(value, F.concat(new, luhn_digit(new).cast("string"))))
+    def size(k: Column) -> Column:
+        return F.pow(F.lit(10.0), k).cast("long")
+
+    def permuted(d: Column) -> Column:
+        n = F.length(d) - 1
+        body, u = F.substr(d, F.lit(1), n), F.floor(n / 2).cast("int")
+        v = (n - u).cast("int")
+        p = feistel(key, "card", _number(d, 1, u), _number(d, u + 1, v), size(u), size(v))
+        new = _let(p, lambda x: F.concat(_pad(x["l"], u), _pad(x["r"], v)))
+        whole = _let(new, lambda x: F.concat(x, luhn_digit(x).cast("string")))
+        valid = luhn_digit(body).cast("string") == F.substr(d, n + 1, F.lit(1))
+        return F.when(valid, _let(whole, lambda x: _refill(value, x)))
+
+    return _let(_digits(value), permuted)
 
 
 def _phone(value: Column, key: str) -> Column:
-    d = _digits(value)
-    extra = F.length(d) - 10
-    local = F.substr(d, extra + 1, F.lit(10))
-    p = feistel(key, "phone", _number(local, 1, 3) - 200, _number(local, 4, 7) - 2_000_000,
-                F.lit(800).cast("long"), F.lit(8_000_000).cast("long"))
-    new = F.concat(F.substr(d, F.lit(1), extra), (p["l"] + 200).cast("string"), (p["r"] + 2_000_000).cast("string"))
-    return F.when(local.rlike(r"^[2-9]\d\d[2-9]\d{6}$"), _refill(value, new))
+    def permuted(d: Column) -> Column:
+        extra = F.length(d) - 10
+        local = F.substr(d, extra + 1, F.lit(10))
+        p = feistel(key, "phone", _number(local, 1, 3) - 200, _number(local, 4, 7) - 2_000_000,
+                    F.lit(800).cast("long"), F.lit(8_000_000).cast("long"))
+        new = _let(p, lambda x: F.concat(F.substr(d, F.lit(1), extra), (x["l"] + 200).cast("string"),
+                                         (x["r"] + 2_000_000).cast("string")))
+        return F.when(local.rlike(r"^[2-9]\d\d[2-9]\d{6}$"), _let(new, lambda x: _refill(value, x)))
+
+    return _let(_digits(value), permuted)
 
 
 def _ssn(value: Column, key: str) -> Column:
-    d = _digits(value)
-    area, rest = _number(d, 1, 3), _number(d, 4, 2) * 10_000 + _number(d, 6, 4)
-    rank = area - 1 - F.when(area > 666, 1).otherwise(0)
-    tail = (_number(d, 4, 2) - 1) * 9999 + _number(d, 6, 4) - 1
-    p = feistel(key, "ssn", rank, tail, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"))
-    new = p["l"] + 1 + F.when(p["l"] + 1 >= 666, 1).otherwise(0)
-    out = F.concat(_pad(new, 3), _pad(F.floor(p["r"] / 9999) + 1, 2), _pad(F.pmod(p["r"], F.lit(9999)) + 1, 4))
-    valid = (area > 0) & (area != 666) & (area < 900) & (rest >= 10_000) & (F.pmod(rest, F.lit(10_000)) > 0)
-    return F.when(valid, _refill(value, out))
+    def permuted(d: Column) -> Column:
+        area, group, serial = _number(d, 1, 3), _number(d, 4, 2), _number(d, 6, 4)
+        rank = area - 1 - F.when(area > 666, 1).otherwise(0)
+        p = feistel(key, "ssn", rank, (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"),
+                    F.lit(99 * 9999).cast("long"))
+        new = _let(p, lambda x: F.concat(
+            _pad(x["l"] + 1 + F.when(x["l"] + 1 >= 666, 1).otherwise(0), 3),
+            _pad(F.floor(x["r"] / 9999) + 1, 2), _pad(F.pmod(x["r"], F.lit(9999)) + 1, 4)))
+        valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+        return F.when(valid, _let(new, lambda x: _refill(value, x)))
+
+    return _let(_digits(value), permuted)
 
 
 def _address(value: Column, key: str) -> Column:
-    o = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    two = F.lit(65536).cast("long")
-    p = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], two, two)
-    parts = [F.floor(p["l"] / 256), F.pmod(p["l"], F.lit(256)), F.floor(p["r"] / 256), F.pmod(p["r"], F.lit(256))]
-    return F.when(F.forall(o, lambda x: x < 256), F.concat_ws(".", *[x.cast("string") for x in parts]))
+    def permuted(o: Column) -> Column:
+        two, low = F.lit(65536).cast("long"), F.lit(256)
+        p = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], two, two)
+        new = _let(p, lambda x: F.concat_ws(".", *[n.cast("string") for n in (
+            F.floor(x["l"] / 256), F.pmod(x["l"], low), F.floor(x["r"] / 256), F.pmod(x["r"], low))]))
+        return F.when(F.forall(o, lambda x: x < 256), new)
+
+    return _let(F.transform(F.split(value, r"\."), lambda x: x.cast("long")), permuted)
 
 
 def _date(value: Column, key: str, year: int, month: int, day: int, pattern: str) -> Column:
-    iso = F.concat_ws("-", F.substring(value, year, 4), F.substring(value, month, 2), F.substring(value, day, 2))
-    found = iso.try_cast("date")
-    rank = F.datediff(found, F.lit("1900-01-01").cast("date"))
+    first = F.lit("1900-01-01").cast("date")
     a, b = (F.lit(x).cast("long") for x in DAYS)
-    p = feistel(key, "date", F.floor(rank / DAYS[1]), F.pmod(rank, F.lit(DAYS[1])), a, b)
-    new = F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
-    return F.when(found.isNotNull(), F.date_format(new, pattern))
+
+    def permuted(found: Column) -> Column:
+        rank = F.datediff(found, first)
+        p = feistel(key, "date", F.floor(rank / DAYS[1]), F.pmod(rank, F.lit(DAYS[1])), a, b)
+        new = _let(p, lambda x: F.date_add(first, (x["l"] * DAYS[1] + x["r"]).cast("int")))
+        return F.when(found.isNotNull(), F.date_format(new, pattern))
+
+    iso = F.concat_ws("-", F.substring(value, year, 4), F.substring(value, month, 2), F.substring(value, day, 2))
+    return _let(iso.try_cast("date"), permuted)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -148,25 +172,30 @@ def _email(value: Column, key: str) -> Column:
 
     def shifted(text: Column, other: Column, turn: Column) -> Column:
         # Letters that differ only in case are one address: the stream ignores case.
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), turn.cast("string"), F.lower(other)), 256)
+        keyed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), turn.cast("string"), F.lower(other)), 256)
+
+        def moved(stream: Column) -> Column:
+            def move(ch: Column, i: Column) -> Column:
+                by = F.conv(F.substr(stream, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+                code = F.ascii(ch)
+
+                def ring(low: int, size: int) -> Column:
+                    return F.char(F.pmod(code - low + by, F.lit(size)) + low)
+
+                return (F.when(code.between(48, 57), ring(48, 10)).when(code.between(65, 90), ring(65, 26))
+                        .when(code.between(97, 122), ring(97, 26)).otherwise(ch))
 
-        def move(ch: Column, i: Column) -> Column:
-            by = F.conv(F.substr(stream, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-            code = F.ascii(ch)
-            def ring(low: int, size: int) -> Column:
-                return F.char(F.pmod(code - low + by, F.lit(size)) + low)
-            return (F.when(code.between(48, 57), ring(48, 10)).when(code.between(65, 90), ring(65, 26))
-                    .when(code.between(97, 122), ring(97, 26)).otherwise(ch))
+            return F.array_join(F.transform(F.split(text, ""), move), "")
 
-        return F.array_join(F.transform(F.split(text, ""), move), "")
+        return _let(keyed, moved)
 
     def turn(s: Column, i: Column) -> Column:
-        new = shifted(s["l"], s["r"], i)
-        return F.struct(new.alias("l"), shifted(s["r"], new, -i).alias("r"))
+        return _let(shifted(s["l"], s["r"], i), lambda new: F.struct(
+            new.alias("l"), shifted(s["r"], new, -i).alias("r")))
 
     start = F.struct(F.substr(local, F.lit(1), u).alias("l"), F.substr(local, u + 1, n).alias("r"))
     p = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn)
-    return F.concat(p["l"], p["r"], F.lit("@"), domain)
+    return _let(p, lambda x: F.concat(x["l"], x["r"], F.lit("@"), domain))
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -193,15 +222,23 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     ``key`` is a secret of the caller; the same key keeps values linked.
     """
     text = F.col(quoted(text_col))
-    some = text.rlike("[0-9@]")
-    found = F.when(some, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    pairs = F.transform(F.coalesce(found, F.array().cast("array<string>")),
-                        lambda v: F.struct(v.alias("v"), pseudonym(v, key).alias("new")))
-    done = docs.withColumn("__p", pairs)
-    gaps = F.split(text, ANY, -1)
-    new = F.array_join(F.zip_with(gaps, F.col("__p"), lambda g, p: F.concat(
-        g, F.coalesce(p["new"], p["v"], F.lit("")))), "")
-    changed = F.size(F.filter("__p", lambda p: p["new"].isNotNull())).cast("long")
+    none = F.array().cast("array<string>")
+    # Two passes over rows with a digit or @ only. Each level of the arrays
+    # below is evaluated once and used by the next.
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))).otherwise(none)
+
+    def replaced(values: Column) -> Column:
+        return F.struct(values.alias("old"), F.transform(values, lambda v: pseudonym(v, key)).alias("new"))
+
+    def rebuilt(p: Column) -> Column:
+        gaps = F.split(text, ANY, -1)
+        new = F.zip_with(p["old"], p["new"], lambda old, fresh: F.coalesce(fresh, old))
+        joined = F.array_join(F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+        changed = F.size(F.filter(p["new"], lambda v: v.isNotNull())).cast("long")
+        return F.struct(F.when(changed > 0, joined).otherwise(text).alias("text"), changed.alias("n"))
+
+    done = F.transform(F.transform(F.array(F.coalesce(found, none)), replaced), rebuilt)
     keep = [c for c in docs.columns if c != "n_replaced"]
-    return done.select(*[F.when(changed > 0, new).otherwise(text).alias(c) if c == text_col else F.col(quoted(c))
-                         for c in keep], changed.alias("n_replaced"))
+    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.explode(done).alias("__p"))
+    return rows.select(*[F.col("__p.text").alias(c) if c == text_col else F.col(quoted(c)) for c in keep],
+                       F.col("__p.n").alias("n_replaced"))
