@@ -300,7 +300,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``__id``, ``__tk`` (document key), overlapping ranges as they were found."""
     rows = with_key(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text")), id_col, "__text")
     every = _anchor_table(rows, length)
-    often = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # As a table of its own, so that the join's shuffle can split a common anchor.
+    often = shared_table(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
     region = shared_table(every.join(often, "h"), "regions")
     slices = region.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__tk", "p", "q")).alias("at"))
     shards = region.groupBy("h").agg(F.approx_count_distinct("c").alias("m")).select(
