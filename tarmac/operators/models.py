@@ -98,9 +98,15 @@ def logistic(max_iter: int = 200, reg: float = 0.0, weight_col: str | None = "we
     return lr
 
 
+def _depth(max_depth: int) -> int:
+    if max_depth > MAX_TREE_DEPTH:
+        raise ValueError(f"trees deeper than {MAX_TREE_DEPTH} are not supported: {max_depth}")
+    return max_depth
+
+
 def random_forest(num_trees: int = 200, max_depth: int = 10, seed: int = 42, max_bins: int = 32,
                   weight_col: str | None = "weight") -> RandomForestClassifier:
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed,
+    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=_depth(max_depth), seed=seed,
                                 maxBins=max_bins, featuresCol="features", labelCol="label")
     if weight_col:
         rf.setWeightCol(weight_col)
@@ -110,7 +116,7 @@ def random_forest(num_trees: int = 200, max_depth: int = 10, seed: int = 42, max
 def boosted_classifier(max_iter: int = 300, step: float = 0.05, max_depth: int = 5, seed: int = 42,
                        max_bins: int = 32, min_instances: int = 1, subsampling: float = 1.0,
                        feature_subset: str = "all", weight_col: str | None = "weight") -> GBTClassifier:
-    gbt = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed,
+    gbt = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=_depth(max_depth), seed=seed,
                         maxBins=max_bins, minInstancesPerNode=min_instances, subsamplingRate=subsampling,
                         featureSubsetStrategy=feature_subset, featuresCol="features", labelCol="label")
     if weight_col:
@@ -120,7 +126,7 @@ def boosted_classifier(max_iter: int = 300, step: float = 0.05, max_depth: int =
 
 def boosted_regressor(max_iter: int = 200, step: float = 0.05, max_depth: int = 5, seed: int = 42,
                       max_bins: int = 32) -> GBTRegressor:
-    return GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed,
+    return GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=_depth(max_depth), seed=seed,
                         maxBins=max_bins, featuresCol="features", labelCol="label")
 
 

@@ -18,13 +18,11 @@ from tarmac.session import ensure_checkpoint_dir
 from tarmac.sources.testview import flights_view
 from tarmac.streaming import read_flight_stream, start_totals, streaming_totals
 
-INPUT_FILES = 4
-
 
 def _stream_totals(spark: SparkSession, sf_dir: str, keys: list[str], with_events: bool) -> DataFrame:
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-runs/{uuid.uuid4().hex}"
     flights = flights_view(spark, sf_dir)
-    flights.repartition(INPUT_FILES).write.parquet(f"{base}/input")
+    flights.write.parquet(f"{base}/input")
     stream = read_flight_stream(spark, f"{base}/input", schema=flights.schema)
     dim = load_event_dim(spark, sf_dir) if with_events else None
     query = start_totals(streaming_totals(stream, keys, dimension=dim), f"{base}/sink", f"{base}/state")

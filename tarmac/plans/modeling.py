@@ -270,10 +270,11 @@ def complexity_curve(data: DataFrame, depths=(3, 5, 7, 9, 11), max_rows: int = 3
 # ---------------------------------------------------------------------------
 
 def run_regression(data: DataFrame, *, gb_iter: int = 200, boost_iter: int = 300, seed: int = 42,
-                   residual_bins: int = 60, scatter_rows: int = 200_000) -> dict[str, DataFrame]:
+                   residual_bins: int = 60) -> dict[str, DataFrame]:
     """Mean baseline, linear regression (scaled numerics), boosted trees on
     numerics (depth 5) and on numerics + categoricals (depth 7), all scored on
-    the test rows; residual histogram and a scatter sample of the last."""
+    the test rows; residual histogram, scatter (all test rows) and its axis
+    range for the last."""
     reg = data.withColumn("label", F.col("arr_delay"))
     train, test = reg.where(~F.col("is_test")), reg.where(F.col("is_test"))
     lin = M.fit(M.scaled_numeric(MODEL_NUMERIC, "features") + [M.linear_regression()], train)
@@ -293,13 +294,12 @@ def run_regression(data: DataFrame, *, gb_iter: int = 200, boost_iter: int = 300
         E.regression_metrics(pred(gb)).select(F.lit("gradient_boosting").alias("model"), "n", "rmse", "mae"),
         E.regression_metrics(boost_pred).select(F.lit("boosted_categorical").alias("model"), "n", "rmse", "mae"),
     ])
-    sample = subsample(boost_pred, scatter_rows, 13)
     return {
         "regression_models": table,
         "residual_histogram": E.residual_histogram(boost_pred, residual_bins),
-        "regression_scatter": sample,
-        "regression_axis": sample.agg(F.least(F.min("y"), F.min("yhat")).alias("lo"),
-                                      F.greatest(F.max("y"), F.max("yhat")).alias("hi")),
+        "regression_scatter": boost_pred,
+        "regression_axis": boost_pred.agg(F.least(F.min("y"), F.min("yhat")).alias("lo"),
+                                          F.greatest(F.max("y"), F.max("yhat")).alias("hi")),
     }
 
 
@@ -307,17 +307,18 @@ def run_regression(data: DataFrame, *, gb_iter: int = 200, boost_iter: int = 300
 # Clustering
 # ---------------------------------------------------------------------------
 
-def run_clustering(data: DataFrame, *, k: int = 5, restarts: int = 10, max_rows: int = 300_000, seed: int = 21,
-                   elbow_ks=None, elbow_restarts: int = 10, scatter_rows: int = 200_000) -> dict[str, DataFrame]:
+def run_clustering(data: DataFrame, *, k: int = 5, restarts: int = 10, elbow_ks=None,
+                   elbow_restarts: int = 10) -> dict[str, DataFrame]:
     """k-means on scaled distance/elapsed/departure features (best of
     ``restarts`` seeds); cluster sizes, feature means, delay rate and mean
-    delay per cluster; optional elbow/silhouette table over ``elbow_ks``."""
+    delay per cluster, by falling delay rate; the scatter holds all rows;
+    optional elbow/silhouette table over ``elbow_ks``."""
     feats = [c for c in CLUSTER_FEATURES if c in data.columns]
     spark = data.sparkSession
     if len(feats) < 3:
         return {}
     rows = data.select(*feats, "arr_delay").dropna(subset=feats)
-    rows = materialize(subsample(rows, max_rows, seed))
+    rows = materialize(rows)
     prep = M.fit(M.scaled_numeric(feats, "features"), rows)
     scaled = materialize(prep.transform(rows).select(*feats, "arr_delay", "features"))
     model, cost = M.best_of_restarts(scaled, k, [42 + i for i in range(restarts)])
@@ -327,10 +328,10 @@ def run_clustering(data: DataFrame, *, k: int = 5, restarts: int = 10, max_rows:
         *[_r(F.avg(c)).alias(f"mean_{c}") for c in feats],
         _r(F.avg((F.col("arr_delay") >= DELAY_THRESHOLD).cast("double"))).alias("delay_rate_ge_15min"),
         _r(F.avg("arr_delay")).alias("avg_arr_delay_min"),
-    )
+    ).orderBy(F.desc("delay_rate_ge_15min"), "cluster")
     out = {
         "cluster_profile": profile,
-        "cluster_scatter": subsample(clustered.select("distance", "dep_hour", "cluster"), scatter_rows, 7),
+        "cluster_scatter": clustered.select("distance", "dep_hour", "cluster"),
     }
     if elbow_ks:
         pts = []
@@ -350,7 +351,8 @@ def _linear_or_forest(model_type: str, numeric, categorical, train: DataFrame, s
     if model_type == "rf":
         stages = M.linear_features(numeric, categorical) + [M.random_forest(rf_trees, rf_depth, seed)]
     else:
-        stages = M.linear_features(numeric, categorical) + [M.logistic(lr_iter, 0.0)]
+        penalty = M.l2_for_sklearn_c(train.agg(F.sum("weight")).first()[0])  # C = 1
+        stages = M.linear_features(numeric, categorical) + [M.logistic(lr_iter, penalty)]
     return M.fit(stages, train)
 
 

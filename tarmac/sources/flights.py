@@ -25,7 +25,7 @@ def _coerce(name: str, dtype: T.DataType) -> Column:
         # Integer columns are sometimes written as "1252.0".
         as_double = F.expr(f"try_cast(`{name}` AS DOUBLE)")
         parsed = F.when(F.trim(F.col(name)).isin(*NULL_TOKENS), None).otherwise(as_double)
-        return F.when(~F.isnan(parsed), parsed.cast("int")).alias(name)
+        return F.when(~F.isnan(parsed), parsed.try_cast("int")).alias(name)
     parsed = F.when(F.trim(F.col(name)).isin(*NULL_TOKENS), None).otherwise(
         F.expr(f"try_cast(`{name}` AS {dtype.simpleString()})")
     )
@@ -53,7 +53,9 @@ def read_flights_csv(
     # the text schema, so files with any subset of the columns are accepted.
     present = spark.read.option("header", True).csv(path).columns
     text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in present])
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(text_schema).csv(path)
+    # Files whose header differs are an error: columns are never swapped.
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+           .schema(text_schema).csv(path))
     types = dict(FLIGHT_COLUMNS)
     df = raw.select(*[
         _coerce(n, types[n]) if n in present else F.lit(None).cast(types[n]).alias(n) for n in wanted
@@ -66,13 +68,27 @@ def read_flights_parquet(spark: SparkSession, path: str | list[str], columns: li
     df = spark.read.parquet(*(path if isinstance(path, list) else [path]))
     types = dict(FLIGHT_COLUMNS)
     wanted = columns or [c for c in df.columns if c in types]
-    return df.select(*[F.col(c).cast(types[c]).alias(c) for c in wanted])
+    return conform(df).select(*[c if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in wanted])
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast known flight columns to their declared types; keep the rest."""
+    """Known flight columns with their declared types, NaN and values that do
+    not fit as NULL; other columns as they are."""
     types = dict(FLIGHT_COLUMNS)
-    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+    def cell(c: str) -> Column:
+        value = F.col(c)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+        return (value.try_cast(types[c]) if c in types else value).alias(c)
+
+    return df.select(*[cell(c) for c in df.columns])
+
+
+def from_text(df: DataFrame) -> DataFrame:
+    """Text columns of flight files with their declared types (``_coerce``)."""
+    types = dict(FLIGHT_COLUMNS)
+    return df.select(*[_coerce(c, types[c]) if c in types else F.col(c) for c in df.columns])
 
 
 def column_profile(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -31,7 +31,9 @@ def read_schedule_csv(spark: SparkSession, path: str, keep_rejects: bool = False
     try:
         header = spark.read.option("header", True).csv(path)
         present = header.columns
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty_schedule(spark)
     if not all(c in present for c in SCHEDULE_REQUIRED):
         return empty_schedule(spark)

@@ -15,25 +15,30 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tarmac.operators.aggregates import delay_measures
 from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events
 from tarmac.schema import DELAY_THRESHOLD, FLIGHT_SCHEMA
 from tarmac.session import ensure_checkpoint_dir
+from tarmac.sources.flights import conform, from_text
 
 
 def read_flight_stream(spark: SparkSession, folder: str, schema: StructType | None = None, fmt: str = "parquet",
                        max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream of flight rows from files arriving in ``folder`` (declared
     schema: streaming file sources do not infer one)."""
-    reader = spark.readStream.schema(schema or FLIGHT_SCHEMA).format(fmt)
+    fields = schema or FLIGHT_SCHEMA
+    if fmt == "csv":  # as text, so that the batch reader's rules for cells hold
+        fields = StructType([StructField(f.name, StringType()) for f in fields])
+    reader = spark.readStream.schema(fields).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(folder)
+    stream = reader.load(folder)
+    return from_text(stream) if fmt == "csv" else conform(stream)
 
 
 def streaming_totals(stream: DataFrame, keys: list[str], threshold: float = DELAY_THRESHOLD,

@@ -103,30 +103,29 @@ def test_event_origin_before_dest(spark):
     assert names == [("AAA", "2024-01-01", "AAA)"), ("AAA", "2024-01-02", "none"), ("CCC", "2024-01-01", "BBB)")]
 
 
-def test_reference_chart_fixture(spark):
-    """The three-flight fixture of the reference's chart test, by hand."""
+def test_report_tables_by_hand(spark):
+    """Four flights whose tables are worked out by hand."""
     df = flights(spark, [
-        {"fl_date": "2024-01-01", "origin": "AAA", "dest": "BBB", "op_unique_carrier": "XX", "crs_dep_time": 800,
-         "arr_delay": 20, "month": 1, "day_of_week": 1, "distance": 500, "weather_delay": 5},
-        {"fl_date": "2024-01-01", "origin": "BBB", "dest": "AAA", "op_unique_carrier": "YY", "crs_dep_time": 1500,
-         "arr_delay": -5, "month": 1, "day_of_week": 1, "distance": 600, "weather_delay": 0},
-        {"fl_date": "2024-02-02", "origin": "AAA", "dest": "CCC", "op_unique_carrier": "XX", "crs_dep_time": 930,
-         "arr_delay": 30, "month": 2, "day_of_week": 5, "distance": 700, "weather_delay": 10},
+        {"fl_date": "2023-05-06", "origin": "DDD", "dest": "EEE", "op_unique_carrier": "PP", "crs_dep_time": 615,
+         "arr_delay": 45, "month": 5, "day_of_week": 6, "weather_delay": 12},
+        {"fl_date": "2023-05-06", "origin": "EEE", "dest": "FFF", "op_unique_carrier": "QQ", "crs_dep_time": 1740,
+         "arr_delay": 3, "month": 5, "day_of_week": 6},
+        {"fl_date": "2023-09-12", "origin": "DDD", "dest": "FFF", "op_unique_carrier": "PP", "crs_dep_time": 640,
+         "arr_delay": 14, "month": 9, "day_of_week": 2},
+        {"fl_date": "2023-09-12", "origin": "DDD", "dest": "EEE", "op_unique_carrier": "QQ", "crs_dep_time": 2200,
+         "arr_delay": 90, "month": 9, "day_of_week": 2, "weather_delay": 60},
     ])
     clean = clean_flights(df, null_hour=-1)
-    assert {r["month"]: r["delay_rate_pct"] for r in R.month_rate(clean).collect()} == {1: 50.0, 2: 100.0}
-    assert {r["dep_hour"]: r["delay_rate_pct"] for r in R.hour_rate(clean, with_unknown=True).collect()} == {
-        8: 100.0, 9: 100.0, 15: None}
-    assert {r["day_of_week"]: r["delay_rate_pct"] for r in R.weekday_rate(clean).collect()} == {1: 50.0, 5: 100.0}
+    assert {r["month"]: r["delay_rate_pct"] for r in R.month_rate(clean).collect()} == {5: 50.0, 9: 50.0}
+    assert {r["day_of_week"]: r["delay_rate_pct"] for r in R.weekday_rate(clean).collect()} == {6: 50.0, 2: 50.0}
     w = R.weather_top(clean, "origin").collect()
-    assert [(r["origin"], r["weather_delayed"], r["weather_minutes"]) for r in w] == [("AAA", 2, 15.0)]
-    sched = _schedule(spark, [(1, "NFL", "Team A", "Stadium A", "AAA", "Mon,2024-01-01", "Team B")])
+    assert [(r["origin"], r["weather_delayed"], r["weather_minutes"]) for r in w] == [("DDD", 2, 72.0)]
+    sched = _schedule(spark, [(1, "MLS", "Rovers", "Field", "EEE", "Sat,2023-05-06", "Harbour")])
     ev = {r["event_name"]: r["flights"] for r in
           R.event_delay(enrich_events(clean, event_dimension(sched))).collect()}
-    assert ev == {"none": 1, "2024-01-01 | NFL: Team B @ Team A (Stadium A / AAA)": 2}
-    rates = R.carrier_rate(clean).collect()
-    assert [(r["op_unique_carrier"], r["delay_rate_pct"], r["total_flights"]) for r in rates] == [
-        ("XX", 100.0, 3), ("YY", 0.0, 3)]
+    assert sorted(ev.values()) == [2, 2] and ev["none"] == 2
+    rates = {r["op_unique_carrier"]: (r["delay_rate_pct"], r["total_flights"]) for r in R.carrier_rate(clean).collect()}
+    assert rates == {"PP": (50.0, 4), "QQ": (50.0, 4)}
 
 
 def test_month_extremes_first_on_ties(spark):
