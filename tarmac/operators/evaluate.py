@@ -194,7 +194,8 @@ def score_histogram(scored: DataFrame, label: str = "label", p: str = "p") -> Da
 
 def roc_points(scored: DataFrame, label: str = "label", p: str = "p", **kw) -> DataFrame:
     """One ROC point per distinct score s (predict positive when p >= s):
-    true/false positives, their rates. Cumulative counts come from the
+    true/false positives, their rates; and the starting point (0, 0), above
+    every score, with a NULL threshold. Cumulative counts come from the
     bucketed running totals, so no task ever holds all distinct scores."""
     hist = score_histogram(scored, label, p)
     cum = running_totals(hist, "score", ["pos", "neg"], **kw)
@@ -204,13 +205,16 @@ def roc_points(scored: DataFrame, label: str = "label", p: str = "p", **kw) -> D
     big_p, big_n = int(pn["P"] or 0), int(pn["N"] or 0)
     tp = F.lit(big_p) - F.col("cum_pos") + F.col("pos")
     fp = F.lit(big_n) - F.col("cum_neg") + F.col("neg")
-    return cum.select(
+    start = cum.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"),
+        F.lit(0).cast("long").alias("fp"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return start.unionByName(cum.select(
         F.col("score").alias("threshold"),
         tp.cast("long").alias("tp"),
         fp.cast("long").alias("fp"),
         _r(_div0(tp, F.lit(big_p))).alias("tpr"),
         _r(_div0(fp, F.lit(big_n))).alias("fpr"),
-    )
+    ))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", p: str = "p", **kw) -> DataFrame:

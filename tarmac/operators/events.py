@@ -54,13 +54,20 @@ def enrich_events(
     duplicated. The dimension is broadcast only when its row count is proven
     below ``max_broadcast_rows``; then both lookups are hash probes in the same
     stage and the flight table is never shuffled. Larger dimensions fall back
-    to shuffle joins, where AQE splits a skewed (date, airport) partition.
+    to shuffle joins, where AQE splits a skewed (date, airport) partition and
+    flights with a NULL key, which match nothing, are dealt by a hash of the row.
     """
-    # The dimension is read three times (size check, origin and destination
-    # lookups); keep it once in memory. It is small next to the flights, and
-    # a lost block is rebuilt from the schedule file.
-    dim, _ = broadcast_if_small(dimension.select("event_date", "airport", "event_name").persist(),
-                                max_broadcast_rows)
+    dim, small = broadcast_if_small(dimension.select("event_date", "airport", "event_name"), max_broadcast_rows)
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in flights.columns]).cast("string")
+
+    def on(airport: str, side: str):
+        date_key, airport_key = F.col(date_col), F.col(airport)
+        if not small:
+            lost = date_key.isNull() | airport_key.isNull()
+            # A NULL date never matches; the hash only spreads such rows.
+            date_key, airport_key = F.when(~lost, date_key), F.when(lost, row_hash).otherwise(airport_key)
+        return (date_key == F.col(f"_{side}_date")) & (airport_key == F.col(f"_{side}_airport"))
+
     at_origin = dim.select(
         F.col("event_date").alias("_eo_date"), F.col("airport").alias("_eo_airport"),
         F.col("event_name").alias("_eo_name"),
@@ -69,18 +76,10 @@ def enrich_events(
         F.col("event_date").alias("_ed_date"), F.col("airport").alias("_ed_airport"),
         F.col("event_name").alias("_ed_name"),
     )
-    out = flights.join(
-        at_origin,
-        (F.col(date_col) == F.col("_eo_date")) & (F.col("origin") == F.col("_eo_airport")),
-        "left",
-    ).join(
-        at_dest,
-        (F.col(date_col) == F.col("_ed_date")) & (F.col("dest") == F.col("_ed_airport")),
-        "left",
-    )
+    out = flights.join(at_origin, on("origin", "eo"), "left").join(at_dest, on("dest", "ed"), "left")
     return out.withColumn(
         "event_name", F.coalesce(F.col("_eo_name"), F.col("_ed_name"), F.lit(NO_EVENT))
-    ).drop("_eo_date", "_eo_airport", "_eo_name", "_ed_date", "_ed_airport", "_ed_name")
+    ).drop(*at_origin.columns, *at_dest.columns)
 
 
 def with_event_flag(df: DataFrame) -> DataFrame:

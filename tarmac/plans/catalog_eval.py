@@ -25,7 +25,8 @@ def eval_queries() -> dict[str, Query]:
         "roc_points": lambda sp, d: E.roc_points(s(sp, d)),
         "roc_auc": lambda sp, d: E.roc_auc(s(sp, d)),
         "regression_metrics": lambda sp, d: E.regression_metrics(s(sp, d)),
-        "mean_baseline": lambda sp, d: E.mean_baseline(s(sp, d), s(sp, d)),
+        "mean_baseline": lambda sp, d: E.mean_baseline(
+            s(sp, d).where("prediction = 0"), s(sp, d).where("prediction = 1")),
         "residual_histogram": lambda sp, d: E.residual_histogram(s(sp, d)),
         "class_weights": lambda sp, d: class_weights(s(sp, d), "label"),
     }

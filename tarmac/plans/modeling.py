@@ -468,13 +468,15 @@ def baseline_report(flights: DataFrame, model_type: str = "logreg", test_fractio
 def route_event_report(flights: DataFrame, schedule: DataFrame | None, model_type: str = "logreg",
                        test_fraction: float = 0.2, seed: int = 42, top_routes: int = 10,
                        min_route_flights: int = 50, **kw) -> dict[str, DataFrame]:
-    """Route/event classifier: metrics on the test rows, then the route and
+    """Route/event classifier: row count and positive rate, metrics on the test rows, then the route and
     event risk tables from the predicted probabilities."""
     rows = route_model_rows(flights, schedule)
     kw.setdefault("lr_iter", 300)
     _, scored, tables = train_and_evaluate(rows, ROUTE_NUMERIC, ROUTE_CATEGORICAL, model_type=model_type,
                                            test_fraction=test_fraction, seed=seed, **kw)
     return {
+        "class_balance": rows.agg(F.count(F.lit(1)).alias("rows"),
+                                  _r(F.avg(F.col("is_delayed").cast("double"))).alias("positive_rate")),
         "metrics": tables["metrics"],
         "classification_report": tables["classification_report"],
         "route_risk": route_risk(scored, top_routes, min_route_flights),

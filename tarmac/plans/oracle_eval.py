@@ -77,7 +77,8 @@ FROM ({sweep})""")
 SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
   round(coalesce(CAST(tp AS DOUBLE) / nullif(P, 0), 0.0), 6) AS tpr, round(coalesce(CAST(fp AS DOUBLE) / nullif(N, 0), 0.0), 6) AS fpr
 FROM (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp,
-             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM hist)""", extra=HIST)
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM hist)
+UNION ALL SELECT NULL, 0, 0, 0.0, 0.0""", extra=HIST)
     q["roc_auc"] = _s("""
 SELECT round(sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 10) AS auc,
   CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives
@@ -89,7 +90,7 @@ FROM scored""")
     q["mean_baseline"] = _s("""
 SELECT count(*) AS n, round(sqrt(avg((y - m) * (y - m))), 6) AS rmse, round(avg(abs(y - m)), 6) AS mae,
   round(max(m), 6) AS train_mean
-FROM scored, (SELECT avg(y) AS m FROM scored)""")
+FROM scored, (SELECT avg(y) AS m FROM scored WHERE prediction = 0) WHERE prediction = 1""")
     q["residual_histogram"] = _s("""
 SELECT b.bin, round(lo + (b.bin - 1) * ((hi - lo) / 60), 6) AS bin_start, round(lo + b.bin * ((hi - lo) / 60), 6) AS bin_end,
   CAST(coalesce(c.cnt, 0) AS BIGINT) AS count

@@ -72,3 +72,18 @@ def test_event_cells_equal_row_level_with_nulls(spark):
     rowlevel = enrich_events(df, dim)
     for fn in (R.event_delay, R.event_origin_delay, R.event_top):
         assert _same(fn(cells), fn(rowlevel)), fn.__name__
+
+
+def test_null_keys_are_spread_in_the_shuffle_join(spark):
+    """Flights without a date or an airport match nothing and do not meet in
+    one partition."""
+    rows = [{"fl_date": None, "origin": "HOT", "dest": "HOT", "arr_delay": i} for i in range(200)]
+    rows += [{"fl_date": "2024-01-01", "origin": None, "dest": "HOT", "arr_delay": 500 + i} for i in range(200)]
+    df = clean_flights(flights(spark, rows))
+    dim = spark.sql("SELECT DATE'2024-01-01' AS event_date, 'HOT' AS airport, 'game' AS event_name "
+                    "UNION ALL SELECT DATE'2024-01-01', NULL, 'lost'")
+    out = enrich_events(df, dim, max_broadcast_rows=0)
+    assert _same(enrich_events(df, dim), out)
+    assert {r[0]: r[1] for r in out.groupBy("event_name").count().collect()} == {"none": 200, "game": 200}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") >= 2
