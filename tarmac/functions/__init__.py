@@ -8,7 +8,6 @@ from tarmac.functions.columns import (  # noqa: F401
     event_label,
     fixed_airport,
     is_delayed,
-    nullif_zero,
     pct,
     ratio,
     route_key,

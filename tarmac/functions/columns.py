@@ -15,7 +15,6 @@ from tarmac.schema import (
     AIRPORT_FIXES,
     DELAY_REASON_COLUMNS,
     DELAY_THRESHOLD,
-    NO_EVENT,
     UNKNOWN_REASON,
     WEEKDAY_NAMES,
 )
@@ -71,11 +70,6 @@ def ratio(numerator: Column | str, denominator: Column | str, digits: int = ROUN
     return F.round(F.try_divide(num.cast("double"), den.cast("double")), digits)
 
 
-def nullif_zero(c: Column | str) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(col != 0, col)
-
-
 _MAPS: dict[tuple, Column] = {}
 
 
@@ -124,7 +118,3 @@ def event_label(date_col: Column, league: Column, home: Column, away: Column,
         F.lit(" | "), txt(league), F.lit(": "), txt(away), F.lit(" @ "), txt(home),
         F.lit(" ("), txt(stadium), F.lit(" / "), txt(airport), F.lit(")"),
     )
-
-
-def no_event() -> Column:
-    return F.lit(NO_EVENT)

@@ -85,11 +85,6 @@ class DelayCube:
                 out = out.where(F.col(k).isNotNull())
         return out.select(*group, *MEASURES)
 
-    def persist(self) -> "DelayCube":
-        """Keep the (small) cube in memory for the many slices read from it."""
-        self.table = self.table.persist()
-        return self
-
 
 def reaggregate(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Roll pre-aggregated measure rows up to ``keys`` (counts and sums add,

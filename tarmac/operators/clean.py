@@ -33,8 +33,3 @@ def clean_flights(
     if with_reason:
         out = out.withColumn("reason", delay_reason())
     return out
-
-
-def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Drop rows with a NULL in any of ``columns`` (feature/target lists)."""
-    return df.dropna(subset=columns)

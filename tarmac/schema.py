@@ -70,14 +70,6 @@ SCHEDULE_COLUMNS = [
 ]
 SCHEDULE_REQUIRED = ("Date", "Primary Airport")
 
-EVENT_DIM_SCHEMA = T.StructType(
-    [
-        T.StructField("event_date", T.DateType(), True),
-        T.StructField("airport", _STR, True),
-        T.StructField("event_name", _STR, True),
-    ]
-)
-
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results).
 # ---------------------------------------------------------------------------
