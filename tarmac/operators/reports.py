@@ -370,17 +370,21 @@ def origin_hour_grid(source, n_origins: int = 5) -> DataFrame:
     """The ``n_origins`` origins with most delayed flights x hours 0..23, with
     flights and delayed (0 when none) and the rate (NULL without flights).
 
-    The grid is generated with ``explode(sequence(0, 23))`` on the top-n rows
-    (n x 24 rows), then left-joined to the origin-hour totals on both keys.
+    Flights are aggregated once, by origin and hour (unknown hours count for
+    the ranking). Each origin then keeps its at most 24 hours as a map, and the
+    grid is ``explode(sequence(0, 23))`` on the top-n rows.
     """
+    hours = _totals(source, ["origin", "dep_hour"], keep_null_keys=True).where(F.col("origin").isNotNull())
+    entry = F.when(F.col("dep_hour").between(0, 23), F.struct("dep_hour", F.struct("flights", "delayed")))
     top = (
-        _totals(source, ["origin"])
-        .orderBy(F.desc("delayed"), F.asc("origin"))
+        hours.groupBy("origin")
+        .agg(F.sum("delayed").alias("_all"), F.map_from_entries(F.collect_list(entry)).alias("_hours"))
+        .orderBy(F.desc("_all"), F.asc("origin"))
         .limit(n_origins)
-        .select("origin", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("dep_hour"))
+        .select("origin", "_hours", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("dep_hour"))
     )
-    cells = origin_hour(source)
-    return top.join(cells, ["origin", "dep_hour"], "left").select(
+    cell = F.element_at("_hours", F.col("dep_hour"))
+    return top.select("origin", "dep_hour", cell["flights"].alias("flights"), cell["delayed"].alias("delayed")).select(
         "origin",
         display_name("origin", AIRPORT_NAMES).alias("origin_name"),
         "dep_hour",

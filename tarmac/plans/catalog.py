@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarmac.operators import reports as R
 from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events, event_dimension
-from tarmac.sources.flights import column_profile
+from tarmac.session import run_folder
+from tarmac.sources.flights import column_profile, read_flights_csv
 from tarmac.sources.testview import flights_view, schedule_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,12 +84,31 @@ def report_queries() -> dict[str, Query]:
     return q
 
 
+def scan_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flights written as CSV text with bad cells planted (a number that
+    overflows, ``NaN``, ``NA``, a text in place of a date, whole numbers with a
+    decimal point) and read back by the flight reader."""
+    flights = flights_view(spark, sf_dir)
+    number = F.col("op_carrier_fl_num").cast("long")
+    planted = {
+        "crs_dep_time": F.when(number % 83 == 0, "99999999999").otherwise(F.concat(F.col("crs_dep_time"), F.lit(".0"))),
+        "arr_delay": F.when(number % 79 == 0, "NaN").otherwise(F.col("arr_delay").cast("string")),
+        "distance": F.when(number % 73 == 0, "NA").otherwise(F.col("distance").cast("string")),
+        "fl_date": F.when(number % 71 == 0, "not a date").otherwise(F.col("fl_date").cast("string")),
+    }
+    path = run_folder(spark, "flight-files")
+    flights.select(*[planted[c].alias(c) if c in planted else c for c in flights.columns]).write.option(
+        "header", True).csv(path)
+    return read_flights_csv(spark, path, columns=flights.columns)
+
+
 def all_queries() -> dict[str, Query]:
     from tarmac.plans.catalog_eval import eval_queries, feature_queries
     from tarmac.plans.catalog_models import model_queries
     from tarmac.plans.catalog_stream import stream_queries
 
     q = report_queries()
+    q["scan_flights"] = scan_flights
     q.update(eval_queries())
     q.update(feature_queries())
     q.update(model_queries())

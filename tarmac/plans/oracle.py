@@ -81,7 +81,7 @@ schedule AS (
        ELSE ({CODES})[CAST(c_nationkey AS INT) + 1] END AS "Primary Airport",
   CASE WHEN o_orderkey % 35 = 0 THEN 'bad date' ELSE strftime(o_orderdate, '%a,%Y-%m-%d') END AS "Date",
   concat('Team ', CAST(o_custkey % 29 AS VARCHAR)) AS "Away Team"
- FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0),
+ FROM orders JOIN customer ON o_custkey = c_custkey),
 event_dim AS (
  SELECT event_date, airport, max_by(event_name, seq) event_name FROM (
   SELECT seq, event_date, airport,
@@ -311,6 +311,13 @@ FROM clean""")
 SELECT event_name, count(*) AS flights, count_if(is_delayed) AS delayed,
   coalesce(sum(CASE WHEN is_delayed THEN arr_delay END), 0) AS delay_minutes
 FROM enriched WHERE event_name IS NOT NULL GROUP BY event_name""", events=True)
+    q["stream_event_enriched"] = q["event_enriched"]
+    every = lambda n: f"CAST(op_carrier_fl_num AS BIGINT) % {n} = 0"
+    q["scan_flights"] = with_ctes(f"""
+SELECT * REPLACE (CASE WHEN {every(83)} THEN NULL ELSE crs_dep_time END AS crs_dep_time,
+  CASE WHEN {every(79)} THEN NULL ELSE arr_delay END AS arr_delay,
+  CASE WHEN {every(73)} THEN NULL ELSE distance END AS distance,
+  CASE WHEN {every(71)} THEN NULL ELSE fl_date END AS fl_date) FROM flights""")
     return q
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -87,3 +88,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", local)
     return local
 
+
+def run_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared checkpoint folder; what is written
+    there goes when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+

@@ -60,15 +60,27 @@ def start_totals(
     available_now: bool = True,
     processing_time: str | None = None,
 ) -> StreamingQuery:
-    """Write the complete totals table to ``sink_dir`` after every
-    micro-batch (parquet, overwrite), through ``foreachBatch``."""
+    """Write the complete totals table after every micro-batch, through
+    ``foreachBatch``, as a new version under ``sink_dir``; :func:`read_totals`
+    reads the latest.
+
+    A version counts once its marker is written, after its data. The version
+    before it stays until the next one is complete, so a crash at any point
+    leaves a whole table, and a repeated batch overwrites only its own version.
+    """
     spark = totals.sparkSession
     if checkpoint_location is None:
         tag = hashlib.sha1(sink_dir.encode()).hexdigest()[:16]
         checkpoint_location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{tag}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/version-{batch_id}")
+        marker = session.range(batch_id, batch_id + 1, 1, 1).toDF("version")
+        marker.write.mode("overwrite").parquet(f"{sink_dir}/done/{batch_id}")
+        for old in (f"done/{batch_id - 2}", f"version-{batch_id - 2}"):
+            path = session._jvm.org.apache.hadoop.fs.Path(f"{sink_dir}/{old}")
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint_location)
     if available_now:
@@ -78,6 +90,12 @@ def start_totals(
     return writer.start()
 
 
+def read_totals(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The latest complete table that :func:`start_totals` has written."""
+    last = spark.read.schema("version long").parquet(f"{sink_dir}/done/*").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{sink_dir}/version-{last}")
+
+
 def enriched_stream(stream: DataFrame, dimension: DataFrame, threshold: float = DELAY_THRESHOLD) -> DataFrame:
     """Row-level stream of clean flights with ``event_name`` (append mode)."""
     return enrich_events(clean_flights(stream, threshold), dimension)

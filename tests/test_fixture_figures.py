@@ -33,10 +33,10 @@ def test_planted_null_cases(spark):
 
 
 def test_events(spark):
-    assert schedule_view(spark, SF_MID).count() == 1031
-    assert load_event_dim(spark, SF_MID).count() == 872
+    assert schedule_view(spark, SF_MID).count() == 15000
+    assert load_event_dim(spark, SF_MID).count() == 12956
     enriched = load_enriched(spark, SF_MID)
-    assert enriched.where("event_name <> 'none'").count() == 1594
+    assert enriched.where("event_name <> 'none'").count() == 20866
 
 
 def test_scored_figures(spark):
