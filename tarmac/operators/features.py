@@ -18,6 +18,9 @@ from tarmac.schema import MODEL_CATEGORICAL, MODEL_NUMERIC, MODEL_RAW_NUMERIC
 UNKNOWN = "Unknown"
 _TWO_PI = 2 * math.pi
 _HASH_BITS = 53
+# Equal rows numbered in one go, and hash buckets of the subsample's histogram.
+COPIES = 10_000
+SAMPLE_BUCKETS = 1 << 16
 
 
 def engineered_columns(flights: DataFrame) -> DataFrame:
@@ -60,7 +63,12 @@ def model_features(flights: DataFrame, exact_median: bool = True) -> DataFrame:
     Unlike the report tables this keeps cancelled and diverted flights that
     have an arrival delay, as the modeling plan of the reference does.
     """
-    base = engineered_columns(flights)
+    return filled_features(engineered_columns(flights), exact_median)
+
+
+def filled_features(base: DataFrame, exact_median: bool = True) -> DataFrame:
+    """:func:`model_features` of already engineered columns. They are read
+    twice (medians, rows), so plans materialise them before."""
     medians = column_medians(base, MODEL_NUMERIC, exact_median)
     fills = {c: v for c, v in medians.items() if v is not None}
     filled = base.fillna(fills) if fills else base
@@ -107,17 +115,36 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def with_class_weight(df: DataFrame, label: str = "label", weight_col: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class. The per-class table has
-    one row per class, so it is broadcast."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label, "left")
+def class_weight_column(df: DataFrame, label: str = "label") -> Column:
+    """Balanced weight of a row's class, as a CASE over the classes of ``df``;
+    one number per class reaches the driver."""
+    out = F.lit(None).cast("double")
+    for r in class_weights(df, label).collect():
+        out = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(float(r["weight"]))).otherwise(out)
+    return out
 
 
 # ---------------------------------------------------------------------------
 # Seeded, partition-independent sampling
 # ---------------------------------------------------------------------------
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add ``_row_key``, a hash of the row and of its number among equal rows:
+    repeated rows are then split and sampled one by one.
+
+    Equal rows are counted (combined before the shuffle) and numbered from the
+    count, in chunks of ``COPIES`` that are dealt out over the tasks: a row that
+    makes up a third of the table is neither gathered nor expanded in one task.
+    """
+    cols = df.columns
+    step = F.lit(COPIES).cast("long")
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, step)))
+    copies = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + step, F.col("_n")) - 1))
+    numbered = chunks.repartition(*cols, "_from").withColumn("_copy", copies)
+    return numbered.select(*cols, F.xxhash64(*cols, "_copy").alias("_row_key"))
+
+
 def hash_unit(cols: list[str], seed: int) -> Column:
     """A value in [0, 1) from a 64-bit hash of the row's columns and the seed.
     Depends only on the row, never on partitioning or task order. Rows that
@@ -170,21 +197,20 @@ def subsample(df: DataFrame, max_rows: int, seed: int = 42, key_cols: list[str]
     """At most ``max_rows`` rows, uniformly without replacement, seeded and
     independent of partitioning: the rows with the smallest hash units.
 
-    With ``N`` rows (one count) the input is returned whole when
-    ``N <= max_rows``. Otherwise a narrow filter keeps rows whose unit is
-    below ``max_rows / N`` plus a six-sigma margin, and only those candidates
-    go through the top-``max_rows`` selection (per-partition heaps merged
-    once). If the margin ever falls short, the exact selection runs on all rows.
+    An exact histogram of the hash over a fixed number of buckets gives the
+    bucket in which row ``max_rows`` falls. Rows of lower buckets are kept by a
+    filter, and only rows of that one bucket go through a top-n selection. An
+    input of at most ``max_rows`` rows is returned whole.
     """
-    n_rows = df.count()
-    if n_rows <= max_rows:
-        return df
     keys = key_cols or df.columns
-    with_u = df.withColumn("_u", hash_unit(keys, seed))
-    order = ["_u", *[F.asc_nulls_first(c) for c in keys]]
-    frac = max_rows / n_rows
-    margin = 6.0 * math.sqrt(max_rows) / n_rows + 16.0 / n_rows
-    candidates = with_u.where(F.col("_u") < F.lit(min(1.0, frac + margin)))
-    if candidates.count() < max_rows:
-        candidates = with_u
-    return candidates.orderBy(*order).limit(max_rows).drop("_u")
+    unit = df.withColumn("_u", hash_unit(keys, seed))
+    with_b = unit.withColumn("_b", F.floor(F.col("_u") * SAMPLE_BUCKETS).cast("int"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # over the buckets, not the rows
+    hist = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(upto))
+    last = hist.where(F.col("_cum") > max_rows).orderBy("_b").first()
+    if last is None:
+        return df
+    lower = with_b.where(F.col("_b") < last["_b"])
+    rest = max_rows - (last["_cum"] - last["_n"])
+    edge = with_b.where(F.col("_b") == last["_b"]).orderBy("_u", *[F.asc_nulls_first(c) for c in keys]).limit(rest)
+    return lower.unionByName(edge).drop("_u", "_b")

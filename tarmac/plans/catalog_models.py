@@ -22,7 +22,6 @@ SMOKE = {
     "gbt_iter": 20,
     "gb_iter": 20,
     "boost_iter": 20,
-    "restarts": 3,
     "curve_iter": 5,
     # Routes have 11-281 clean flights at sf0.01, so a 20 % test split needs
     # a lower route minimum than the reference's 50.
@@ -30,51 +29,28 @@ SMOKE = {
 }
 
 
-# Several catalog entries are tables of the same trained plan (metrics,
-# importances, sweep of one classification run). The plan is trained once per
-# Spark application and data folder; its outputs read checkpointed data, so
-# they stay valid for the life of the application.
-_PLANS: dict[tuple, object] = {}
-
-
-def _shared(name: str, sp, d, build):
-    try:
-        app = sp.sparkContext.applicationId
-    except Exception:  # no SparkContext handle: key on the session object
-        app = id(sp)
-    key = (name, app, d)
-    if key not in _PLANS:
-        _PLANS[key] = build()
-    return _PLANS[key]
-
-
 def _data(sp, d):
-    return _shared("data", sp, d, lambda: MP.classification_data(flights_view(sp, d)))
+    return MP.classification_data(flights_view(sp, d))
 
 
-def _classification(sp, d):
-    return _shared("classification", sp, d, lambda: MP.run_classification(
-        _data(sp, d), rf_trees=SMOKE["rf_trees"], gbt_iter=SMOKE["gbt_iter"]))
+def _classification(sp, d, models=("logreg", "random_forest", "gbt")):
+    return MP.run_classification(_data(sp, d), rf_trees=SMOKE["rf_trees"], gbt_iter=SMOKE["gbt_iter"], models=models)
 
 
 def _regression(sp, d):
     # Regression uses its own split, not stratified on the delay label.
-    return _shared("regression", sp, d, lambda: MP.run_regression(
-        _shared("regression_data", sp, d, lambda: MP.classification_data(flights_view(sp, d), stratify=False)), gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"]))
+    return MP.run_regression(MP.classification_data(flights_view(sp, d), stratify=False),
+                             gb_iter=SMOKE["gb_iter"], boost_iter=SMOKE["boost_iter"])
 
 
 def _clustering(sp, d):
-    return _shared("clustering", sp, d, lambda: MP.run_clustering(_data(sp, d), restarts=SMOKE["restarts"]))
+    return MP.run_clustering(_data(sp, d))
 
 
 def _route_scored(sp, d):
-    def build():
-        rows = MP.route_model_rows(flights_view(sp, d), schedule_view(sp, d))
-        _, scored, _ = MP.train_and_evaluate(rows, ROUTE_NUMERIC, ROUTE_CATEGORICAL, model_type="logreg",
-                                             lr_iter=300)
-        return scored
-
-    return _shared("route", sp, d, build)
+    rows = MP.route_model_rows(flights_view(sp, d), schedule_view(sp, d))
+    _, scored, _ = MP.train_and_evaluate(rows, ROUTE_NUMERIC, ROUTE_CATEGORICAL, model_type="logreg", lr_iter=300)
+    return scored
 
 
 def _baseline(sp, d):
@@ -106,8 +82,8 @@ def model_queries() -> dict[str, Query]:
         "baseline_forest_report": _baseline_forest,
         "onehot_slots": _onehot,
         "classifier_metrics": lambda sp, d: _classification(sp, d)["classifier_metrics"],
-        "feature_importance": lambda sp, d: _classification(sp, d)["feature_importance"],
-        "model_threshold_sweep": lambda sp, d: _classification(sp, d)["threshold_sweep"],
+        "feature_importance": lambda sp, d: _classification(sp, d, ("gbt",))["feature_importance"],
+        "model_threshold_sweep": lambda sp, d: _classification(sp, d, ("gbt",))["threshold_sweep"],
         "route_risk": lambda sp, d: MP.route_risk(_route_scored(sp, d), 10, SMOKE["min_route_flights"]),
         "event_risk": lambda sp, d: MP.event_risk(_route_scored(sp, d), 20),
         "regression_models": lambda sp, d: _regression(sp, d)["regression_models"],

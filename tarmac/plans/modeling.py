@@ -19,7 +19,14 @@ from tarmac.operators import evaluate as E
 from tarmac.operators import models as M
 from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events, event_dimension, with_event_flag
-from tarmac.operators.features import model_features, stratified_split, subsample, with_class_weight
+from tarmac.operators.features import (
+    class_weight_column,
+    engineered_columns,
+    filled_features,
+    stratified_split,
+    subsample,
+    with_row_key,
+)
 from tarmac.schema import (
     BASELINE_CATEGORICAL,
     BASELINE_NUMERIC,
@@ -65,15 +72,27 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # Data preparation
 # ---------------------------------------------------------------------------
 
+def feature_rows(flights: DataFrame, threshold: float = DELAY_THRESHOLD) -> DataFrame:
+    """Feature frame with ``label`` and ``_row_key``, materialised. The flights
+    are read once: medians and rows come from the materialised columns."""
+    feats = filled_features(materialize(engineered_columns(flights)))
+    return materialize(with_row_key(feats.withColumn("label", (F.col("arr_delay") >= threshold).cast("int"))))
+
+
+def split_rows(feats: DataFrame, test_fraction: float = 0.2, seed: int = 42, stratify: bool = True) -> DataFrame:
+    """``feats`` (with ``label`` and ``_row_key``) with ``is_test`` and balanced
+    ``weight``: class weights of the training rows, 1 for test rows. Both are
+    column expressions over the rows given."""
+    split = stratified_split(feats, "label", test_fraction, seed, key_cols=["_row_key"], stratify=stratify)
+    weight = class_weight_column(split.where(~F.col("is_test")), "label")
+    return split.withColumn("weight", F.when(F.col("is_test"), F.lit(1.0)).otherwise(weight))
+
+
 def classification_data(flights: DataFrame, threshold: float = DELAY_THRESHOLD, test_fraction: float = 0.2,
                         seed: int = 42, stratify: bool = True) -> DataFrame:
     """Feature frame with ``label``, ``is_test`` and balanced ``weight``
-    (class weights from the training rows only), materialised."""
-    feats = model_features(flights).withColumn("label", (F.col("arr_delay") >= threshold).cast("int"))
-    split = stratified_split(feats, "label", test_fraction, seed, stratify=stratify)
-    train_w = with_class_weight(split.where(~F.col("is_test")), "label")
-    test = split.where(F.col("is_test")).withColumn("weight", F.lit(1.0))
-    return materialize(train_w.unionByName(test))
+    (class weights from the training rows only) over materialised rows."""
+    return split_rows(feature_rows(flights, threshold), test_fraction, seed, stratify)
 
 
 def baseline_rows(flights: DataFrame, threshold: float = DELAY_THRESHOLD) -> DataFrame:
@@ -110,25 +129,30 @@ def run_classification(
     rf_depth: int = 10,
     gbt_iter: int = 300,
     gbt_params: dict | None = None,
+    models: tuple = ("logreg", "random_forest", "gbt"),
     seed: int = 42,
 ) -> dict[str, DataFrame]:
     """Logistic regression (scaled numerics), random forest (numerics) and
     boosted trees (numerics + categoricals) on the training rows; metrics,
-    threshold sweep, profit curve and importances on the test rows."""
+    threshold sweep, profit curve and importances on the test rows. ``models``
+    may leave out the first two; sweep, curve and importances need the last."""
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     sum_w = train.agg(F.sum("weight")).first()[0] or 1.0
 
-    lr_model = M.fit(M.scaled_numeric(MODEL_NUMERIC, "features") +
-                     [M.logistic(lr_iter, M.l2_for_sklearn_c(sum_w))], train)
-    rf_model = M.fit([M.assembler(MODEL_NUMERIC), M.random_forest(rf_trees, rf_depth, seed)], train)
+    fitted = {}
+    if "logreg" in models:
+        fitted["logreg"] = M.fit(M.scaled_numeric(MODEL_NUMERIC, "features") +
+                                 [M.logistic(lr_iter, M.l2_for_sklearn_c(sum_w))], train)
+    if "random_forest" in models:
+        fitted["random_forest"] = M.fit([M.assembler(MODEL_NUMERIC), M.random_forest(rf_trees, rf_depth, seed)], train)
     bins = M.max_bins_for(train, MODEL_CATEGORICAL)
     gp = {"max_depth": 5, **(gbt_params or {})}
     gbt_model = M.fit(M.tree_features(MODEL_NUMERIC, MODEL_CATEGORICAL) +
                       [M.boosted_classifier(gbt_iter, 0.05, gp.pop("max_depth"), seed, bins, **gp)], train)
 
-    scored = {name: materialize(M.score(m, test)) for name, m in
-              (("logreg", lr_model), ("random_forest", rf_model), ("gbt", gbt_model))}
+    fitted["gbt"] = gbt_model
+    scored = {name: materialize(M.score(m, test)) for name, m in fitted.items()}
     gbt_scored = scored["gbt"]
     names = M.feature_names(gbt_model, train)
     importances = gbt_model.stages[-1].featureImportances.toArray().tolist()
@@ -227,8 +251,8 @@ def learning_curve(data: DataFrame, max_rows: int = 200_000, folds: int = 3, siz
     from tarmac.operators.features import hash_unit
 
     base = subsample(data.where(~F.col("is_test")), max_rows, seed)
-    base = _folds(base, folds, seed).withColumn("_v", hash_unit(["_fold", "label", "arr_delay"] + MODEL_NUMERIC,
-                                                                seed + 1))
+    keys = ["_row_key"] if "_row_key" in base.columns else base.columns
+    base = _folds(base, folds, seed).withColumn("_v", hash_unit(keys, seed + 1))
     base = _vectorised(base, ["_fold", "_v"])
     bins = _bins(base)
     rows = []
@@ -255,7 +279,8 @@ def complexity_curve(data: DataFrame, depths=(3, 5, 7, 9, 11), max_rows: int = 3
     """Train and validation F1 per tree depth on a stratified 80/20 split of
     at most ``max_rows`` training rows."""
     base = subsample(data.where(~F.col("is_test")), max_rows, seed).drop("is_test")
-    split = _vectorised(stratified_split(base, "label", 0.2, seed), ["is_test"])
+    keys = ["_row_key"] if "_row_key" in base.columns else None
+    split = _vectorised(stratified_split(base, "label", 0.2, seed, key_cols=keys), ["is_test"])
     tr, va = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     bins = _bins(split)
     rows = []
@@ -361,12 +386,10 @@ def train_and_evaluate(rows: DataFrame, numeric, categorical, *, model_type: str
                        rf_depth: int = 20):
     """Stratified split, balanced weights, fit, and the metric tables on
     the test rows. Returns (model, scored test rows, tables)."""
-    data = rows.withColumn("label", F.col("is_delayed").cast("int"))
-    split = stratified_split(data, "label", test_fraction, seed)
-    train = with_class_weight(split.where(~F.col("is_test")), "label")
-    test = materialize(split.where(F.col("is_test")))
-    model = _linear_or_forest(model_type, numeric, categorical, materialize(train), seed, lr_iter, rf_trees,
-                              rf_depth)
+    data = materialize(with_row_key(rows.withColumn("label", F.col("is_delayed").cast("int"))))
+    split = split_rows(data, test_fraction, seed)
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    model = _linear_or_forest(model_type, numeric, categorical, train, seed, lr_iter, rf_trees, rf_depth)
     keep = [c for c in ("origin", "dest", "event_name") if c in test.columns]
     scored = materialize(M.score(model, test, keep))
     tables = {
@@ -425,7 +448,8 @@ def modeling_report(flights: DataFrame, *, diagnostics: bool = False, tune: bool
     (checkpointed) feature frame. ``tune`` runs the boosted-tree grid search
     first and trains the final boosted classifier with the best setting;
     ``diagnostics`` adds the learning and complexity curves."""
-    data = classification_data(flights)
+    feats = feature_rows(flights)
+    data = split_rows(feats)
     out: dict[str, DataFrame] = {}
     gbt_params = None
     if tune:
@@ -438,7 +462,7 @@ def modeling_report(flights: DataFrame, *, diagnostics: bool = False, tune: bool
                              **{k: v for k, v in sizes.items() if k in ("lr_iter", "rf_trees", "rf_depth", "gbt_iter")})
     out.update(cls)
     # The regression split is not stratified (as in the reference).
-    reg = run_regression(classification_data(flights, stratify=False),
+    reg = run_regression(split_rows(feats, stratify=False),
                          **{k: v for k, v in sizes.items() if k in ("gb_iter", "boost_iter")})
     out.update(reg)
     clu = run_clustering(data, restarts=sizes.get("restarts", 10),

@@ -67,3 +67,27 @@ def test_sample_delays_is_partition_independent(spark):
     a = sample_delays(clean.repartition(3)).collect()
     b = sample_delays(clean.repartition(29)).collect()
     assert a == b and len(a) == 10
+
+
+def test_repeated_rows_are_split_and_sampled_one_by_one(spark):
+    from tarmac.operators.features import COPIES, with_row_key
+
+    rows = spark.range(3 * COPIES).select((F.col("id") % 3).cast("int").alias("label"), F.lit(None).cast("int").alias("x"))
+    keyed = with_row_key(rows.where("label < 2 OR id < 30"))
+    assert keyed.count() == 2 * COPIES + 10 == keyed.select("_row_key").distinct().count()
+    split = stratified_split(keyed, "label", 0.2, 42, key_cols=["_row_key"])
+    share = {r["label"]: r["f"] for r in split.groupBy("label").agg(F.avg(F.col("is_test").cast("double")).alias("f")).collect()}
+    assert abs(share[0] - 0.2) < 0.001 and abs(share[1] - 0.2) < 0.001
+    for keys in (None, ["_row_key"]):
+        assert subsample(keyed, 5000, 3, key_cols=keys).count() == 5000
+    # Without a key all copies share one bucket: the top-n of that bucket still fills the sample.
+    assert subsample(rows.where("label = 0"), 5000, 3).count() == 5000
+
+
+def test_row_key_numbers_more_copies_than_a_chunk_and_empty_input(spark):
+    from tarmac.operators.features import COPIES, with_row_key
+
+    same = spark.range(2 * COPIES + 7).select(F.lit("a").alias("v"))
+    keyed = with_row_key(same)
+    assert keyed.count() == 2 * COPIES + 7 == keyed.select("_row_key").distinct().count()
+    assert with_row_key(same.limit(0)).count() == 0
