@@ -29,7 +29,7 @@ SEED = 42
 SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 #: Members of one chain key up to which its pairs come from a plain join;
 #: larger keys are compared block by block (``_crowded_links``).
-CROWDED, BLOCK = 48, 1024
+CROWDED, BLOCK, LEFT_BLOCK = 48, 1024, 8192
 #: Shingles hashed at a time, which bounds a task's memory for any text length.
 STEP = 1 << 16
 
@@ -131,17 +131,25 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def _crowded_links(own: DataFrame, varied: DataFrame, crowd: DataFrame, max_bits: int) -> DataFrame:
     """Links within keys of many members. Members are dealt to blocks, every
     block meets the blocks of its key, and a meeting returns a spanning forest
-    of the links it finds: no more rows than it has members."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = (own.select("key", "fp", F.lit(0).alias("e")).unionByName(varied.select("key", "fp", F.lit(1).alias("e")))
-               .join(crowd, "key").withColumn("k", blocks)
-               .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")))
-    # A member of the key meets every block; a varied one is only on the left.
-    left = members.select("key", "fp", "e", F.lit(0).alias("side"), F.col("mine").alias("i"),
-                          F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    right = members.filter("e = 0").select("key", "fp", "e", F.lit(1).alias("side"), F.col("mine").alias("j"),
-                                           F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    met = left.unionByName(right.select(*left.columns))
+    of the links it finds: no more rows than it has members. Both sides are cut
+    by their own counts, as the varied members of a key can outnumber it."""
+    members = shared_table(
+        own.select("key", "fp", F.lit(0).alias("e")).unionByName(varied.select("key", "fp", F.lit(1).alias("e")))
+        .join(crowd.select("key"), "key"), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("e") == 0).alias("n")).select(
+        "key", F.ceil(F.col("m") / LEFT_BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"))
+    members = members.join(sizes, "key")
+
+    def mine(k: str):
+        return F.pmod(F.xxhash64("fp"), F.col(k)).cast("int")
+
+    def all_of(k: str):
+        return F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+
+    # A member of the key is on both sides; a varied one is only on the left.
+    left = members.select("key", "fp", F.lit(0).alias("side"), mine("rows").alias("i"), all_of("cols").alias("j"))
+    right = members.filter("e = 0").select("key", "fp", F.lit(1).alias("side"), mine("cols").alias("j"), all_of("rows").alias("i"))
+    met = left.unionByName(right)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf.fp[pdf.side == 0].to_numpy().view(np.uint64)

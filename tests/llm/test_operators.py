@@ -89,6 +89,8 @@ def test_simhash_links_find_every_pair(spark, monkeypatch):
     want = {int(a): int(b) for a, b in simhash.forest(u, u, 3)}
     for crowded in (48, 1):  # plain joins, then blocks
         monkeypatch.setattr(simhash, "CROWDED", crowded)
+        monkeypatch.setattr(simhash, "BLOCK", 3 if crowded == 1 else 1024)
+        monkeypatch.setattr(simhash, "LEFT_BLOCK", 5 if crowded == 1 else 8192)
         got = collections.defaultdict(set)
         for r in components(simhash.links(df)).collect():
             got[r["component"]].add(r["node"])
