@@ -191,8 +191,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     rows = shared_table(with_fingerprints(keyed.select("__id", "__tk", "__text"), "__text", shingle), "fingerprints")
     fps = rows.select(F.col("__fp").alias("fp")).distinct()
     comp = components(links(fps, max_bits))
-    named = fps.join(comp, fps["fp"] == comp["node"], "left").select(
-        "fp", F.coalesce("component", "fp").alias("__group"))
+    # Written, so that the join's two sides are plain shuffles and the rows of
+    # a fingerprint with many copies are split over tasks.
+    named = shared_table(fps.join(comp, fps["fp"] == comp["node"], "left").select(
+        "fp", F.coalesce("component", "fp").alias("__group")), "groups")
     return rows.join(named, rows["__fp"] == named["fp"]).drop("fp")
 
 
@@ -206,7 +208,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     never a component id unless no member has one. Extra columns are ignored.
     """
     rows = _grouped(docs, id_col, text_col, shingle, max_bits)
-    firsts = rows.groupBy("__group").agg(F.min("__id").alias("component_id"))
+    firsts = shared_table(rows.groupBy("__group").agg(F.min("__id").alias("component_id")), "firsts")
     return rows.join(firsts, "__group").select(
         F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
