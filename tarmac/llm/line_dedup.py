@@ -1,18 +1,21 @@
 """Line deduplication by winnowing over line hashes.
 
 The lines of a document that are not blank form a sequence of hashes. A window
-is the shortest run of lines from a given line on that has at least
-``min_words`` words, and its fingerprint is its smallest line hash. Whatever run
-of that many words two places share, they share its windows and so a selected
-fingerprint (the guarantee of winnowing).
+is the shortest run of lines from a given line on, or up to a given line, that
+has at least ``min_words`` words, and its fingerprint is its smallest line hash.
+Whatever run of that many words two places share, they share its windows and so
+a selected fingerprint (the guarantee of winnowing).
+
+The windows of a shared run cover all its lines: if the run has ``min_words``
+words up to a line, the window that ends there lies inside it, and otherwise the
+window that starts at the run's first line reaches past that line.
 
 Positions are joined on their fingerprints: only fingerprints that occur at
-several positions are followed. Their matches extend both ways from the
-fingerprint to the bounds of its windows: windows with the same lines are
-grouped by a digest, and every one but the first (by document id, text hash and
-line) is a later repeat. Overlapping repeats merge into runs, whose lines are
-deleted. Groups are only ever counted and reduced to their first member, so no
-pairs arise in a group of any size.
+several positions are followed. Their windows with the same lines are grouped by
+a digest, and every one but the first (by document id, text hash and line) is a
+later repeat. Overlapping repeats merge into runs, whose lines are deleted.
+Groups are only ever counted and reduced to their first member, so no pairs
+arise in a group of any size.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ MIN_WORDS = 25
 
 
 def line_windows(raw: bytes, min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """Windows of a text: (first line, last line, fingerprint, its line, digest).
-    Lines are numbered in the text, blank ones included, from 0."""
+    """Windows of a text, from and up to every line: (first line, last line,
+    fingerprint, its line, digest). Lines are numbered in the text, blank ones
+    included, from 0."""
     at, hashes, words = [], [], []
     for i, line in enumerate(raw.split(b"\n")):
         n = len(line.split())
@@ -41,11 +45,11 @@ def line_windows(raw: bytes, min_words: int) -> list[tuple[int, int, int, int, i
             words.append(n)
     total = np.concatenate(([0], np.cumsum(words))).astype(np.int64)
     ends = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     h = np.array(hashes, dtype="<u8")
     out = []
-    for s, e in enumerate(ends.tolist()):
-        if e >= len(at):
-            break
+    forwards = {(s, e) for s, e in enumerate(ends.tolist()) if e < len(at)}
+    for s, e in sorted(forwards.union((s, e) for e, s in enumerate(starts.tolist()) if s >= 0)):
         if s == e:
             low, digest = s, hashes[s]
         else:
@@ -99,7 +103,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first) and then by text hash. Every different line survives somewhere. A
     blank line goes with the line before it. Null and empty texts stay as they
     are, and rows that repeat id and text count as one document and are equal
-    in the result. Documents that repeat others entirely end up empty.
+    in the result. Documents of at least ``min_words`` words that repeat others
+    entirely lose every word; shorter ones stay.
     """
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("__id", "__tk").agg(
         F.collect_set(F.struct("s", "e")).alias("__runs"))

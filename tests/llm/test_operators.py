@@ -139,6 +139,35 @@ def test_line_windows_cover_short_lines():
     assert len(shared) == 4  # every window inside the shared run, by fingerprint and digest
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    """Short lines behind the last full window go too, whichever earlier
+    document they repeat; against all pairs of positions."""
+    gen = np.random.default_rng(5)
+    pool = [prose(int(n)) for n in gen.integers(1, 14, 12)] + ["", prose(40)]
+    texts = ["\n".join(pool[i] for i in gen.integers(0, len(pool), 12)) for _ in range(12)]
+    head, tails = prose(30), [prose(3) + "\n" + prose(4), prose(5)]
+    texts += [f"{head}\n{tails[0]}", f"{head}\n{tails[1]}", f"{head}\n{tails[1]}", f"{head}\n{tails[0]}", texts[3], texts[7]]
+    rows = list(enumerate(texts))
+    lines = [[(i, x) for i, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+    gone = [set() for _ in texts]
+    for d, later in enumerate(lines):
+        for e, first in enumerate(lines[:d + 1]):
+            for i in range(len(later)):
+                for j in range(i if d == e else len(first)):
+                    run = []
+                    for (at, x), (_, y) in zip(later[i:], first[j:]):
+                        if x != y:
+                            break
+                        run.append((at, x))
+                    if sum(len(x.split()) for _, x in run) >= line_dedup.MIN_WORDS:
+                        gone[d] |= {at for at, _ in run}
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = lambda t: [x for x in t.split("\n") if x.strip()]
+    for d, t in rows:
+        assert kept(out[d]["text"]) == [x for i, x in lines[d] if i not in gone[d]], d
+    assert [kept(out[d]["text"]) for d in (13, 14, 15)] == [[tails[1]], [], []]
+
+
 def test_suffix_dedup(docs, empty, monkeypatch):
     texts = [(r[1] or "").encode() for r in ROWS]
     seen = collections.Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
