@@ -327,6 +327,20 @@ def test_pseudo_likelihood(spark, docs, empty):
     assert s[0] > s[99]
 
 
+def test_pseudo_likelihood_tells_words_of_a_class_apart(spark):
+    """A word's probability has its share of the class's count; without training
+    and context, that is its share of the corpus."""
+    frequent = [f"top{i}" for i in range(pseudo_lm.FREQUENT)]
+    named = [f"rare{i}" for i in range(200)]
+    bucket = lambda w: zlib.crc32(w.encode()) % pseudo_lm.OTHERS
+    a, b = next((x, y) for x in named for y in named if x < y and bucket(x) == bucket(y))
+    rows = [(0, " ".join(frequent * 30)), (1, f"{a} " * 20), (2, a), (3, b), (4, f"{a} {b} {b}"), (2, a)]
+    out = pseudo_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    s = {r["doc_id"]: r["log_prob"] for r in out}
+    assert abs(s[2] - s[3] - math.log(23 / 3)) < 1e-4  # 23 and 3 of the class's 26
+
+
 def test_log_probs_match_direct_softmax():
     p = pseudo_lm.initial(np.ones(pseudo_lm.VOCAB))
     target, ctx = pseudo_lm.contexts([np.array([1, 2, 3, 4, 5]), np.array([7])])
