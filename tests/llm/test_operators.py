@@ -341,6 +341,15 @@ def test_pseudo_likelihood_tells_words_of_a_class_apart(spark):
     assert abs(s[2] - s[3] - math.log(23 / 3)) < 1e-4  # 23 and 3 of the class's 26
 
 
+def test_pseudo_likelihood_trains_on_every_position(spark):
+    """A step raises the base score of its targets only: over the rounds, of all words."""
+    words = [f"w{i}" for i in range(7)]
+    p = pseudo_lm.initial(np.ones(pseudo_lm.VOCAB))
+    raised = [set(np.flatnonzero(pseudo_lm._round(spark.createDataFrame([(" ".join(words),)], "text string"), words, p, turn)["base"]
+                                 > p["base"]).tolist()) for turn in range(pseudo_lm.ROUNDS)]
+    assert set.union(*raised) == set(range(7)) and sum(map(len, raised)) == 7
+
+
 def test_log_probs_match_direct_softmax():
     p = pseudo_lm.initial(np.ones(pseudo_lm.VOCAB))
     target, ctx = pseudo_lm.contexts([np.array([1, 2, 3, 4, 5]), np.array([7])])
