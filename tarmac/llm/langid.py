@@ -6,8 +6,8 @@ transitions score the change of language from a word to the next, and
 forward-backward gives every word's label probabilities, so a text may switch
 language. A document gets the label with the largest expected share of words.
 
-The field is trained on a bounded sample of labelled documents (``per_lang`` for
-each language at most, in expectation), by its exact gradient.
+The field is trained on a bounded sample of different labelled documents (at most
+``per_lang`` for each language), by its exact gradient.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import quoted, with_key
@@ -232,17 +232,18 @@ class Tagger:
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, allowed: Column, key: Column,
                     per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``per_lang`` (in expectation) documents of
-    every language, drawn by a hash, of at most ``MAX_CHARS`` characters each."""
+    """Different texts of at most ``MAX_CHARS`` characters and their languages: of
+    every language the first ``per_lang`` by a hash. A text's copies count once."""
     text, lang = F.col(quoted(text_col)), F.col(quoted(lang_col))
-    rows = docs.filter(allowed & lang.isNotNull() & text.isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row per language
-    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20))
+    rows = docs.filter(allowed & lang.isNotNull() & (F.char_length(text) <= MAX_CHARS)).select(
+        lang.alias("l"), text.alias("t"), key.alias("k"))
+    sizes = {r[0]: r[1] for r in rows.select("l", "k").distinct().groupBy("l").count().collect()}  # one row per language
+    draw = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20))
     chosen = F.lit(False)
-    for name, n in sizes.items():
-        chosen = chosen | ((lang == name) & (draw < min(1 << 20, ((1 << 20) * per_lang) // n + 1)))
-    got = rows.filter(chosen & (F.char_length(text) <= MAX_CHARS)).select(lang.alias("l"), text.alias("t")
-                      ).orderBy("l", "t").limit(2 * per_lang * max(1, len(sizes))).collect()
+    for name, n in sizes.items():  # twice as many as needed, which bounds what is ranked
+        chosen = chosen | ((F.col("l") == name) & (draw < min(1 << 20, ((1 << 20) * 2 * per_lang) // n + 1)))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(draw, "k", "t"))
+    got = rows.filter(chosen).distinct().withColumn("rank", rank).filter(F.col("rank") <= per_lang).orderBy("l", "t").collect()
     return [r["t"] for r in got], [r["l"] for r in got]
 
 

@@ -242,6 +242,21 @@ def test_language_id(spark, docs, empty):
     assert abs(share[0] - 0.5) < 0.1
 
 
+def test_language_sample_counts_copies_once(spark):
+    """A large group of copies that is drawn takes no other text's place."""
+    from pyspark.sql import functions as F
+
+    from tarmac.llm.common import text_hash
+
+    draw = F.pmod(F.xxhash64(text_hash(F.col("text")), F.lit("sample")), F.lit(1 << 20))
+    texts = [(f"text {i}",) for i in range(2000)]
+    copied = spark.createDataFrame(texts, "text string").orderBy(draw).first()["text"]
+    rows = [(copied, "a")] * 500 + [(f"a {i}", "a") for i in range(20)] + [(f"z {i}", "z") for i in range(20)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got, langs = langid.training_sample(df, "text", "lang", F.lit(True), text_hash(F.col("text")), 3)
+    assert langs == ["a"] * 3 + ["z"] * 3 and len(set(got)) == 6
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 
