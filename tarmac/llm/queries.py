@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import (
-    decontam, langid, line_dedup, packing, pii, pq_dedup, pseudo_lm, quality, simhash, suffix,
+    bpe, decontam, hadamard_kmeans, langid, line_dedup, packing, pii, pq_dedup, pseudo_lm, quality, resample, simhash, suffix,
 )
 from tarmac.llm.common import read_table
+from tarmac.llm.sampling_sql import OP11_SQL, OP12_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +80,27 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution of words."""
+    out = resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hadamard_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hadamard_kmeans.cluster(read_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                      hadamard_kmeans.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    path = vocabulary()["json_path"]
+    out = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -91,6 +113,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_pseudo_likelihood": op10_pseudo_likelihood,
+        "op11_resample": op11_resample,
+        "op12_hadamard_kmeans": op12_hadamard_kmeans,
+        "op13_bpe_automaton": op13_bpe_automaton,
     }
 
 
@@ -146,4 +171,5 @@ FROM e LEFT JOIN n USING (rid) LEFT JOIN c ON c.s = e.vec_id
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op2_pq_near_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
+    return {"op2_pq_near_dedup": OP2_SQL, "op8_decontamination": OP8_SQL, "op11_resample": OP11_SQL,
+            "op12_hadamard_kmeans": OP12_SQL}
