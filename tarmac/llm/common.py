@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,17 @@ def join_on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return out.drop(*[f"__r{c}" for c in KEY])
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``limit`` bytes of one text or binary column
+    (a longer value is a slice of its own), so that what is made of it stays small."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(total[end - 1])
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the cluster's shared checkpoint folder and
     read it back, which cuts the lineage: later stages restart from the files

@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ HASHES = 1 << 15
 #: Labelled documents of each language, the most characters of one of them, the
 #: words of a training segment (long documents give many), and gradient steps.
 PER_LANG, MAX_CHARS, SEGMENT, STEPS = 300, 200_000, 128, 30
-#: Words scored together and cached per worker, which bound its memory.
-CHUNK_WORDS, CACHE_WORDS = 400_000, 200_000
+#: Words scored together, cached per worker and turned into features at a time,
+#: which bound a worker's memory.
+CHUNK_WORDS, CACHE_WORDS, NEW_WORDS = 100_000, 100_000, 1 << 13
 
 
 def words_of(text: str | None) -> list[str]:
@@ -184,7 +186,10 @@ class Tagger:
             top = len(known) + len(new)
             if top > len(self.table):
                 self.table = np.concatenate([self.table, np.empty((top, self.table.shape[1]), dtype=np.float32)])
-            self.table[len(known):top] = self.field.emissions(*features(new, self.field.lexicon))
+            for i in range(0, len(new), NEW_WORDS):
+                some = new[i:i + NEW_WORDS]
+                at = len(known) + i
+                self.table[at:at + len(some)] = self.field.emissions(*features(some, self.field.lexicon))
             known.update(zip(new, range(len(known), top)))
         return np.fromiter((known[w] for ws in docs for w in ws), dtype=np.int64)
 
@@ -202,7 +207,7 @@ class Tagger:
         out[order] = sums / sizes[:, None]
         return out
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def label(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         part, rows, held = [], [], 0
 
@@ -215,8 +220,9 @@ class Tagger:
             rows.clear()
 
         # Texts of like length go together, which keeps the number of steps low.
-        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
-            words = words_of(texts[i])
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for i in np.argsort(-size, kind="stable").tolist():
+            words = words_of(texts[i].as_py())
             if words and not any(ch.isalpha() for w in words for ch in w):
                 words = []
             if words:
@@ -275,7 +281,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         tagger = Tagger(field)
         at = names.index(text_col)
         for b in batches:
-            found, score = tagger.label(b.column(at).to_pylist())
+            found, score = tagger.label(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())],
                                              names=[*names, "__lang", "__score"])
 
