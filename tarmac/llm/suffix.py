@@ -30,11 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_on_key, quoted, shared_table, with_key
+from tarmac.llm.common import byte_slices, join_on_key, quoted, shared_table, with_key
 
 LENGTH, GRAM = 200, 32
 #: Bytes anchored and bytes sorted at a time; slices of an anchor in one shard.
-STEP, SORT_BYTES, SHARD = 1 << 20, 2 << 20, 2000
+STEP, SORT_BYTES, SHARD = 1 << 18, 1 << 17, 500
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -237,12 +237,12 @@ def _cut(rows: DataFrame, slices: DataFrame, length: int) -> DataFrame:
         names = ["h", "c", "n", "k", "s"]
         for b in batches:
             for z, w in zip(b.column(0), b.column(1)):
-                raw, w = grow.decompress(z.as_py()), w.as_py()
-                for i in range(0, len(w), 4096):
-                    some = w[i:i + 4096]
-                    cols = [pa.array([x[c] for x in some], pa.int64()) for c in names]
-                    yield pa.RecordBatch.from_arrays(
-                        [*cols, pa.array([raw[x["p"]:x["q"] + length] for x in some], pa.binary())], names=[*names, "b"])
+                raw = grow.decompress(z.as_py())
+                for i in range(0, len(w.values), 1024):
+                    some = w.values.slice(i, 1024)
+                    ends = zip(some.field("p").to_pylist(), some.field("q").to_pylist())
+                    cut = pa.array([raw[p:q + length] for p, q in ends], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[some.field(c) for c in names], cut], names=[*names, "b"])
 
     return both.mapInArrow(run, "h long, c long, n long, k long, s long, b binary")
 
@@ -278,7 +278,7 @@ def _sorted(slices: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         held, size, last = [], 0, None
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, 5)):
             for row in zip(*[b.column(i).to_pylist() for i in range(6)]):
                 bucket = (row[0], row[4])
                 if size >= SORT_BYTES and bucket != last:
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         grow = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, 1)):
             done = [without(grow.decompress(z.as_py()) if z.is_valid else b"", w) for z, w in zip(b.column(1), b.column(2))]
             cols = list(zip(*done)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
