@@ -193,6 +193,25 @@ def stratified_split(
     return with_b.withColumn("is_test", F.col("_b") > cut_col).drop("_b")
 
 
+def stratified_folds(df: DataFrame, label: str, folds: int = 3, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
+    """Add ``fold`` (0 to ``folds - 1``): the rows of every class are numbered
+    in hash order and dealt out in turn, so a class's folds differ by at most one
+    row. Equal rows need a key to be told apart; they are dealt out all the same.
+
+    A histogram per (class, hash bucket) gives every bucket its first number;
+    rows are numbered inside their bucket, never over a whole class.
+    """
+    keys = key_cols or df.columns
+    rows = df.withColumn("_u", hash_unit(keys, seed)).withColumn("_b", F.floor(F.col("_u") * SAMPLE_BUCKETS).cast("int"))
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over the buckets
+    first = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(label).alias("_g"), F.col("_b").alias("_gb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(label, "_b").orderBy("_u", *[F.asc_nulls_first(c) for c in keys])
+    numbered = rows.withColumn("_r", F.row_number().over(inside))
+    joined = numbered.join(first, F.col(label).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    return joined.withColumn("fold", F.pmod(F.col("_first") + F.col("_r") - 1, F.lit(folds)).cast("int")).select(*df.columns, "fold")
+
+
 def subsample(df: DataFrame, max_rows: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
     """At most ``max_rows`` rows, uniformly without replacement, seeded and
     independent of partitioning: the rows with the smallest hash units.

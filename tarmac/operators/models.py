@@ -8,7 +8,7 @@ the split and all metrics are DataFrame expressions and aggregates.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -62,28 +62,6 @@ def linear_features(numeric: list[str], categorical: list[str]) -> list:
     return stages
 
 
-def tree_features(numeric: list[str], categorical: list[str]) -> list:
-    """Raw numerics plus category indices; the assembler keeps the nominal
-    attribute metadata, so tree learners split on them as categories."""
-    stages = indexers(categorical) if categorical else []
-    stages.append(
-        VectorAssembler(inputCols=numeric + [f"{c}__idx" for c in categorical], outputCol="features",
-                        handleInvalid="keep")
-    )
-    return stages
-
-
-def max_bins_for(df: DataFrame, categorical: list[str], floor: int = 32) -> int:
-    """``maxBins`` must cover the largest category count (+1 unseen slot).
-    Distinct counts come from one approximate aggregate (a few numbers)."""
-    if not categorical:
-        return floor
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    # approx_count_distinct has ~5 % error; pad so the bound still holds.
-    largest = max(int(row[c] or 0) for c in categorical)
-    return max(floor, int(largest * 1.1) + 2)
-
-
 def l2_for_sklearn_c(sum_weights: float, c: float = 1.0) -> float:
     """Spark's mean-loss objective with ``regParam`` equals the summed-loss
     objective with inverse strength ``C`` when regParam = 1 / (C * sum_w)."""
@@ -113,17 +91,6 @@ def random_forest(num_trees: int = 200, max_depth: int = 10, seed: int = 42, max
     return rf
 
 
-def boosted_classifier(max_iter: int = 300, step: float = 0.05, max_depth: int = 5, seed: int = 42,
-                       max_bins: int = 32, min_instances: int = 1, subsampling: float = 1.0,
-                       feature_subset: str = "all", weight_col: str | None = "weight") -> GBTClassifier:
-    gbt = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=_depth(max_depth), seed=seed,
-                        maxBins=max_bins, minInstancesPerNode=min_instances, subsamplingRate=subsampling,
-                        featureSubsetStrategy=feature_subset, featuresCol="features", labelCol="label")
-    if weight_col:
-        gbt.setWeightCol(weight_col)
-    return gbt
-
-
 def boosted_regressor(max_iter: int = 200, step: float = 0.05, max_depth: int = 5, seed: int = 42,
                       max_bins: int = 32) -> GBTRegressor:
     return GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=_depth(max_depth), seed=seed,
@@ -169,13 +136,3 @@ def best_of_restarts(data: DataFrame, k: int, seeds: list[int], max_iter: int =
 def silhouette(clustered: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                                metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(clustered)
-
-
-def feature_names(model: PipelineModel, df: DataFrame, features_col: str = "features") -> list[str]:
-    """Names of the assembled vector slots, from the column's ML attributes."""
-    meta = model.transform(df.limit(0)).schema[features_col].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    slots = []
-    for group in attrs.values():
-        slots += [(a["idx"], a.get("name", str(a["idx"]))) for a in group]
-    return [n for _, n in sorted(slots)]

@@ -10,11 +10,14 @@ recomputes from that copy instead of from the raw scan.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions import ROUND_DIGITS, route_key
+from tarmac.operators import boosting as B
 from tarmac.operators import evaluate as E
 from tarmac.operators import models as M
 from tarmac.operators.clean import clean_flights
@@ -23,6 +26,8 @@ from tarmac.operators.features import (
     class_weight_column,
     engineered_columns,
     filled_features,
+    hash_unit,
+    stratified_folds,
     stratified_split,
     subsample,
     with_row_key,
@@ -130,12 +135,14 @@ def run_classification(
     gbt_iter: int = 300,
     gbt_params: dict | None = None,
     models: tuple = ("logreg", "random_forest", "gbt"),
+    max_bins: int = 64,
     seed: int = 42,
 ) -> dict[str, DataFrame]:
     """Logistic regression (scaled numerics), random forest (numerics) and
-    boosted trees (numerics + categoricals) on the training rows; metrics,
-    threshold sweep, profit curve and importances on the test rows. ``models``
-    may leave out the first two; sweep, curve and importances need the last."""
+    leaf-wise boosted trees (numerics + categoricals) on the training rows;
+    metrics, threshold sweep, profit curve and importances (how often a feature
+    is split on, and the gain) on the test rows. ``models`` may leave out the
+    first two; sweep, curve and importances need the last."""
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     sum_w = train.agg(F.sum("weight")).first()[0] or 1.0
@@ -146,21 +153,15 @@ def run_classification(
                                  [M.logistic(lr_iter, M.l2_for_sklearn_c(sum_w))], train)
     if "random_forest" in models:
         fitted["random_forest"] = M.fit([M.assembler(MODEL_NUMERIC), M.random_forest(rf_trees, rf_depth, seed)], train)
-    bins = M.max_bins_for(train, MODEL_CATEGORICAL)
-    gp = {"max_depth": 5, **(gbt_params or {})}
-    gbt_model = M.fit(M.tree_features(MODEL_NUMERIC, MODEL_CATEGORICAL) +
-                      [M.boosted_classifier(gbt_iter, 0.05, gp.pop("max_depth"), seed, bins, **gp)], train)
-
-    fitted["gbt"] = gbt_model
+    params = {"max_depth": 8, **(gbt_params or {})}
+    gbt_model = boosted_model(train, B.Boost(rounds=gbt_iter, seed=seed, **params), max_bins)
     scored = {name: materialize(M.score(m, test)) for name, m in fitted.items()}
-    gbt_scored = scored["gbt"]
-    names = M.feature_names(gbt_model, train)
-    importances = gbt_model.stages[-1].featureImportances.toArray().tolist()
+    gbt_scored = scored["gbt"] = materialize(gbt_model.score(test, ["label"]).select("label", "prediction", "p"))
     spark: SparkSession = data.sparkSession
     imp = spark.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, importances)],
-        T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())]),
-    ).orderBy(F.desc("importance"), "feature").limit(20)
+        [(name, int(n), float(g)) for name, (n, g) in gbt_model.importances().items()],
+        "feature string, splits int, gain double",
+    ).select("feature", "splits", _r(F.col("gain")).alias("gain")).orderBy(F.desc("splits"), "feature").limit(20)
     return {
         "class_balance": data.agg(
             F.count(F.lit(1)).alias("rows"), _r(F.avg("label")).alias("positive_rate"),
@@ -179,114 +180,82 @@ def run_classification(
 # Diagnostics: tuning, learning and complexity curves (F1)
 # ---------------------------------------------------------------------------
 
-def _vectorised(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Fit the feature stages (indexers, assembler) once and materialise the
-    assembled vectors, so the repeated fits below only train trees."""
-    prep = M.fit(M.tree_features(MODEL_NUMERIC, MODEL_CATEGORICAL), df)
-    out = prep.transform(df).select("label", "weight", "features", *keep)
-    return materialize(out)
-
-
-def _bins(vectors: DataFrame) -> int:
-    """maxBins from the nominal attribute sizes carried by the vector column."""
-    attrs = vectors.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    sizes = [int(a.get("num_vals", len(a.get("vals", [])))) for a in attrs.get("nominal", [])]
-    return max([32] + [n + 1 for n in sizes])
-
-
-def _f1(scored: DataFrame) -> float:
-    return float(E.binary_metrics(scored).select("f1").first()["f1"])
-
+def boosted_model(train: DataFrame, setting: B.Boost, max_bins: int = 64, label: str = "label",
+                  weight: str | None = "weight") -> B.Booster:
+    """One boosted model (numerics + categoricals) on all rows of ``train``."""
+    binner = B.fit_bins(train, MODEL_NUMERIC, MODEL_CATEGORICAL, max_bins)
+    w = F.col(weight) if weight else F.lit(1.0)
+    table = B.binned_table(train, binner, F.col(label), w, _key(train), [F.lit(True)])
+    return B.fit_many(table, binner, [setting])[0][0]
 
-def _f1_by(scored: DataFrame, flag: str) -> dict:
-    """{flag value: (F1 of the positive class, rows)} from one aggregate."""
-    y, yhat = F.col("label") == 1, F.col("prediction") == 1
-    out = {}
-    for r in scored.groupBy(flag).agg(
-        F.count_if(y & yhat).alias("tp"), F.count_if(~y & yhat).alias("fp"),
-        F.count_if(y & ~yhat).alias("fn"), F.count(F.lit(1)).alias("n"),
-    ).collect():  # one row per flag value (two)
-        den = 2 * r["tp"] + r["fp"] + r["fn"]
-        out[r[flag]] = (round(2 * r["tp"] / den, 6) if den else 0.0, int(r["n"]))
-    return out
 
+def _key(df: DataFrame):
+    return F.col("_row_key") if "_row_key" in df.columns else F.xxhash64(*df.columns)
 
-def _folds(df: DataFrame, k: int, seed: int) -> DataFrame:
-    from tarmac.operators.features import hash_unit
 
-    return df.withColumn("_fold", F.floor(hash_unit(["_row_key"] if "_row_key" in df.columns else df.columns, seed)
-                                          * k).cast("int"))
+def _boosted_f1(df: DataFrame, settings: list[B.Boost], trained_on: list, masks: list, keep: list[str],
+                max_bins: int = 64) -> list[list[tuple[float, int]]]:
+    """Train model ``i`` on the rows ``trained_on[i]``, all in the same passes;
+    for every list of masks, each model's F1 and number of rows under its mask."""
+    binner = B.fit_bins(df, MODEL_NUMERIC, MODEL_CATEGORICAL, max_bins)
+    table = B.binned_table(df, binner, F.col("label"), F.col("weight"), _key(df), trained_on, keep)
+    scored = B.fit_many(table, binner, settings)[1]
+    return [B.f1_by(scored, some) for some in masks]
 
 
 def gbt_tuning(data: DataFrame, max_rows: int = 250_000, folds: int = 3, max_iter: int = 200,
                grid: dict | None = None, seed: int = 2025) -> DataFrame:
-    """Grid search by mean F1 over hash-assigned folds on at most
-    ``max_rows`` training rows. ``num_leaves`` has no Spark counterpart, so
-    the grid is depth x minimum rows per leaf x row/column sampling."""
-    grid = grid or {"max_depth": [5, 8], "min_instances": [20, 50], "subsampling": [0.8], "feature_subset": ["0.8"]}
+    """Grid search by mean F1 over stratified folds on at most ``max_rows``
+    training rows: depth x leaves x minimum rows of a leaf x row and column
+    sampling. The models of all settings and folds are trained in the same
+    passes over the binned rows."""
+    grid = {"max_depth": [5, 8], "num_leaves": [31, 63], "min_rows": [20, 50], "row_rate": [0.8], "col_rate": [0.8], **(grid or {})}
     train = subsample(data.where(~F.col("is_test")), max_rows, seed)
-    train = _vectorised(_folds(train, folds, seed), ["_fold"])
-    bins = _bins(train)
-    rows = []
-    for d in grid["max_depth"]:
-        for mi in grid["min_instances"]:
-            for ss in grid["subsampling"]:
-                for fs in grid["feature_subset"]:
-                    scores = []
-                    for f in range(folds):
-                        fit_on = train.where(F.col("_fold") != f)
-                        model = M.boosted_classifier(max_iter, 0.05, d, 42, bins, mi, ss, fs).fit(fit_on)
-                        scores.append(_f1(M.score(model, train.where(F.col("_fold") == f))))
-                    rows.append((d, mi, ss, fs, float(sum(scores) / len(scores))))
-    spark = data.sparkSession
-    return spark.createDataFrame(rows, "max_depth int, min_instances int, subsampling double, "
-                                       "feature_subset string, mean_f1 double").select(
-        "max_depth", "min_instances", "subsampling", "feature_subset", _r(F.col("mean_f1")).alias("mean_f1"))
+    train = materialize(stratified_folds(train, "label", folds, seed, _key_names(train)))
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    settings = [B.Boost(rounds=max_iter, **point) for point in points for _ in range(folds)]
+    fold = [F.col("fold") == f for _ in points for f in range(folds)]
+    scores = _boosted_f1(train, settings, [~f for f in fold], [fold], ["fold"])[0]
+    rows = [(*point.values(), sum(s for s, _ in scores[i * folds:(i + 1) * folds]) / folds) for i, point in enumerate(points)]
+    return data.sparkSession.createDataFrame(
+        rows, "max_depth int, num_leaves int, min_rows int, row_rate double, col_rate double, mean_f1 double").select(
+        *grid, _r(F.col("mean_f1")).alias("mean_f1"))
+
+
+def _key_names(df: DataFrame) -> list[str]:
+    return ["_row_key"] if "_row_key" in df.columns else df.columns
 
 
 def learning_curve(data: DataFrame, max_rows: int = 200_000, folds: int = 3, sizes=(0.1, 0.325, 0.55, 0.775, 1.0),
                    max_iter: int = 200, max_depth: int = 8, seed: int = 42) -> DataFrame:
-    """Mean train and validation F1 for growing training sizes (hash-ordered
-    prefixes of each fold's training part)."""
-    from tarmac.operators.features import hash_unit
-
+    """Mean train and validation F1 over stratified folds for growing training
+    sizes (hash-ordered prefixes of each fold's training part); the models of
+    all sizes and folds are trained in the same passes."""
     base = subsample(data.where(~F.col("is_test")), max_rows, seed)
-    keys = ["_row_key"] if "_row_key" in base.columns else base.columns
-    base = _folds(base, folds, seed).withColumn("_v", hash_unit(keys, seed + 1))
-    base = _vectorised(base, ["_fold", "_v"])
-    bins = _bins(base)
+    keys = _key_names(base)
+    base = materialize(stratified_folds(base, "label", folds, seed, keys).withColumn("_v", hash_unit(keys, seed + 1)))
+    points = [(s, f) for s in sizes for f in range(folds)]
+    used = [(F.col("fold") != f) & (F.col("_v") < s) for s, f in points]
+    held = [F.col("fold") == f for _, f in points]
+    settings = [B.Boost(rounds=max_iter, max_depth=max_depth, seed=seed)] * len(points)
+    train, val = _boosted_f1(base, settings, used, [used, held], ["fold", "_v"])
     rows = []
-    for frac in sizes:
-        tr_scores, va_scores, n_used = [], [], 0
-        for f in range(folds):
-            is_val = F.col("_fold") == f
-            part = base.where(~is_val & (F.col("_v") < frac))
-            model = M.boosted_classifier(max_iter, 0.05, max_depth, 42, bins).fit(part)
-            # Training and validation rows are scored together; one grouped
-            # aggregate gives both F1 values and the training size.
-            both = base.where(is_val | (F.col("_v") < frac)).withColumn("_val", is_val)
-            by_side = _f1_by(M.score(model, both, ["_val"]), "_val")
-            tr_scores.append(by_side.get(False, (0.0, 0))[0])
-            va_scores.append(by_side.get(True, (0.0, 0))[0])
-            n_used += by_side.get(False, (0.0, 0))[1]
-        rows.append((float(frac), int(n_used / folds), sum(tr_scores) / folds, sum(va_scores) / folds))
-    return data.sparkSession.createDataFrame(rows, "train_fraction double, train_rows long, f1_train double, "
-                                                   "f1_val double")
+    for i, s in enumerate(sizes):
+        t, v = train[i * folds:(i + 1) * folds], val[i * folds:(i + 1) * folds]
+        rows.append((float(s), sum(n for _, n in t) // folds, sum(f for f, _ in t) / folds, sum(f for f, _ in v) / folds))
+    return data.sparkSession.createDataFrame(rows, "train_fraction double, train_rows long, f1_train double, f1_val double")
 
 
 def complexity_curve(data: DataFrame, depths=(3, 5, 7, 9, 11), max_rows: int = 300_000, max_iter: int = 200,
                      seed: int = 123) -> DataFrame:
-    """Train and validation F1 per tree depth on a stratified 80/20 split of
-    at most ``max_rows`` training rows."""
+    """Train and validation F1 per tree depth on a stratified 80/20 split of at
+    most ``max_rows`` training rows; all depths are trained in the same passes."""
     base = subsample(data.where(~F.col("is_test")), max_rows, seed).drop("is_test")
-    keys = ["_row_key"] if "_row_key" in base.columns else None
-    split = _vectorised(stratified_split(base, "label", 0.2, seed, key_cols=keys), ["is_test"])
-    tr, va = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    bins = _bins(split)
-    rows = []
-    for d in depths:
-        model = M.boosted_classifier(max_iter, 0.05, d, 42, bins).fit(tr)
-        rows.append((int(d), _f1(M.score(model, tr)), _f1(M.score(model, va))))
+    split = materialize(stratified_split(base, "label", 0.2, seed, key_cols=_key_names(base)))
+    held = F.col("is_test")
+    settings = [B.Boost(rounds=max_iter, max_depth=d) for d in depths]
+    train, val = _boosted_f1(split, settings, [~held] * len(depths), [[~held] * len(depths), [held] * len(depths)], ["is_test"])
+    rows = [(int(d), t, v) for d, (t, _), (v, _) in zip(depths, train, val)]
     return data.sparkSession.createDataFrame(rows, "max_depth int, f1_train double, f1_val double")
 
 
@@ -297,21 +266,19 @@ def complexity_curve(data: DataFrame, depths=(3, 5, 7, 9, 11), max_rows: int = 3
 def run_regression(data: DataFrame, *, gb_iter: int = 200, boost_iter: int = 300, seed: int = 42,
                    residual_bins: int = 60) -> dict[str, DataFrame]:
     """Mean baseline, linear regression (scaled numerics), boosted trees on
-    numerics (depth 5) and on numerics + categoricals (depth 7), all scored on
+    numerics (depth 5) and leaf-wise ones on numerics + categoricals (depth 7), all scored on
     the test rows; residual histogram, scatter (all test rows) and its axis
     range for the last."""
     reg = data.withColumn("label", F.col("arr_delay"))
     train, test = reg.where(~F.col("is_test")), reg.where(F.col("is_test"))
     lin = M.fit(M.scaled_numeric(MODEL_NUMERIC, "features") + [M.linear_regression()], train)
     gb = M.fit([M.assembler(MODEL_NUMERIC), M.boosted_regressor(gb_iter, 0.05, 5, seed)], train)
-    bins = M.max_bins_for(train, MODEL_CATEGORICAL)
-    boost = M.fit(M.tree_features(MODEL_NUMERIC, MODEL_CATEGORICAL) +
-                  [M.boosted_regressor(boost_iter, 0.05, 7, seed, bins)], train)
+    boost = boosted_model(train, B.Boost(rounds=boost_iter, max_depth=7, objective="squared", seed=seed), weight=None)
 
     def pred(model):
         return model.transform(test).select(F.col("label").alias("y"), F.col("prediction").alias("yhat"))
 
-    boost_pred = materialize(pred(boost))
+    boost_pred = materialize(boost.score(test, ["label"]).select(F.col("label").alias("y"), F.col("prediction").alias("yhat")))
     table = _union([
         E.mean_baseline(train.select(F.col("label").alias("y")), test.select(F.col("label").alias("y")))
         .select(F.lit("mean_baseline").alias("model"), "n", "rmse", "mae"),
@@ -454,9 +421,8 @@ def modeling_report(flights: DataFrame, *, diagnostics: bool = False, tune: bool
     gbt_params = None
     if tune:
         grid = gbt_tuning(data, max_iter=sizes.get("tune_iter", 200))
-        best = grid.orderBy(F.desc("mean_f1"), "max_depth", "min_instances").first()
-        gbt_params = {"max_depth": best["max_depth"], "min_instances": best["min_instances"],
-                      "subsampling": best["subsampling"], "feature_subset": best["feature_subset"]}
+        best = grid.orderBy(F.desc("mean_f1"), "max_depth", "num_leaves", "min_rows").first()
+        gbt_params = {k: best[k] for k in ("max_depth", "num_leaves", "min_rows", "row_rate", "col_rate")}
         out["gbt_tuning"] = grid
     cls = run_classification(data, costs=costs, gbt_params=gbt_params,
                              **{k: v for k, v in sizes.items() if k in ("lr_iter", "rf_trees", "rf_depth", "gbt_iter")})
