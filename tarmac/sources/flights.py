@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.schema import FLIGHT_COLUMNS, FLIGHT_SCHEMA
+from tarmac.sources import csv_files
 
 # Text cells read as missing.
 NULL_TOKENS = ("", "NA", "NaN")
@@ -39,28 +40,30 @@ def read_flights_csv(
     path: str | list[str],
     columns: list[str] | None = None,
     limit: int | None = None,
+    with_position: bool = False,
 ) -> DataFrame:
     """Read flight CSV files with a header.
 
     Every cell is read as text and converted with ``try_cast`` so that bad
-    numbers become NULL instead of failing the job. ``columns`` prunes the
-    projection (only those columns are parsed); ``limit`` keeps the first n rows
-    (the reference's quick-run row cap). A missing path raises Spark's
+    numbers become NULL instead of failing the job. Files may differ in their
+    columns and in the order of them: cells go by their file's own heading, and
+    a column that a file lacks is NULL there. ``columns`` prunes the projection
+    (only those columns are parsed); ``limit`` keeps the first n rows in file
+    order (the reference's quick-run row cap); ``with_position`` adds the
+    sortable place of each row. A missing path raises Spark's
     ``PATH_NOT_FOUND`` analysis error.
     """
     wanted = columns or [n for n, _ in FLIGHT_COLUMNS]
-    # Only the header line is read here; the file's own column order defines
-    # the text schema, so files with any subset of the columns are accepted.
-    present = spark.read.option("header", True).csv(path).columns
-    text_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in present])
-    # Files whose header differs are an error: columns are never swapped.
-    raw = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
-           .schema(text_schema).csv(path))
     types = dict(FLIGHT_COLUMNS)
-    df = raw.select(*[
-        _coerce(n, types[n]) if n in present else F.lit(None).cast(types[n]).alias(n) for n in wanted
-    ])
-    return df.limit(limit) if limit else df
+    listed = [csv_files.list_files(spark, p) for p in ([path] if isinstance(path, str) else path)]
+    raw = csv_files.text_rows(spark, listed) if limit is None else csv_files.first_rows(spark, listed, limit)
+    if raw is None:
+        fields = [T.StructField(c, types[c]) for c in wanted]
+        return spark.createDataFrame([], T.StructType(fields))
+    place = [csv_files.POSITION] if with_position else []
+    return raw.select(*[
+        _coerce(n, types[n]) if n in raw.columns else F.lit(None).cast(types[n]).alias(n) for n in wanted
+    ], *place)
 
 
 def read_flights_parquet(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:

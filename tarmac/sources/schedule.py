@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tarmac.schema import SCHEDULE_COLUMNS, SCHEDULE_REQUIRED
+from tarmac.sources import csv_files
 
 SEQ_COLUMN = "seq"
 CORRUPT_COLUMN = "_corrupt_record"
@@ -20,45 +21,33 @@ def empty_schedule(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType(fields))
 
 
-def read_schedule_csv(spark: SparkSession, path: str, keep_rejects: bool = False) -> DataFrame:
-    """Read the schedule file as text columns plus a ``seq`` column in file
-    order (used for last-row-wins on duplicate keys).
+def read_schedule_csv(spark: SparkSession, path: str | list[str], keep_rejects: bool = False) -> DataFrame:
+    """Read schedule files as text columns plus ``seq``, the row's place in file
+    order over all files (used for last-row-wins on duplicate keys): a struct
+    that sorts like the rows of the files laid end to end.
 
-    An absent file, or one without ``Date`` / ``Primary Airport`` headings,
-    gives an empty schedule. Rows whose cell count differs from the header are
-    set aside (``keep_rejects=True`` returns them in ``_corrupt_record``).
+    An absent file, or files without ``Date`` / ``Primary Airport`` headings,
+    give an empty schedule. Files may differ in the order of their columns. Rows
+    whose cell count differs from their heading are set aside
+    (``keep_rejects=True`` returns them in ``_corrupt_record``).
     """
     try:
-        header = spark.read.option("header", True).csv(path)
-        present = header.columns
+        listed = [csv_files.list_files(spark, p) for p in ([path] if isinstance(path, str) else path)]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty_schedule(spark)
-    if not all(c in present for c in SCHEDULE_REQUIRED):
+    rows = csv_files.text_rows(spark, listed, CORRUPT_COLUMN)
+    if rows is None or not all(c in rows.columns for c in SCHEDULE_REQUIRED):
         return empty_schedule(spark)
-    schema = T.StructType(
-        [T.StructField(c, T.StringType(), True) for c in present] + [T.StructField(CORRUPT_COLUMN, T.StringType(), True)]
-    )
-    df = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .schema(schema)
-        .csv(path)
-        # Increasing in file order within a split, and splits of one file are
-        # numbered in offset order.
-        .withColumn(SEQ_COLUMN, F.monotonically_increasing_id())
-    )
-    # Spark fills the corrupt column only when it is parsed together with the
-    # data columns, and refuses plans that prune a raw CSV scan down to that
-    # column alone (a count after the filter would). The schedule is a small
-    # dimension input, so the parsed rows are kept in memory once.
-    df = df.select(SEQ_COLUMN, *present, CORRUPT_COLUMN).persist()
+    present = [c for c in rows.columns if c not in (CORRUPT_COLUMN, csv_files.POSITION)]
+    # The test reads every cell: rows are judged against their whole heading, and
+    # Spark refuses scans that are pruned down to the corrupt column alone.
+    present = [c for c in rows.columns if c not in (CORRUPT_COLUMN, csv_files.POSITION)]
+    parsed = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in present])) >= 0
+    bad = F.col(CORRUPT_COLUMN).isNotNull()
+    judged = rows.where(parsed).withColumnRenamed(csv_files.POSITION, SEQ_COLUMN)
     if keep_rejects:
-        return df.where(F.col(CORRUPT_COLUMN).isNotNull())
-    clean = df.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
-    for c in SCHEDULE_COLUMNS:
-        if c not in clean.columns:
-            clean = clean.withColumn(c, F.lit(None).cast("string"))
-    return clean.select(SEQ_COLUMN, *SCHEDULE_COLUMNS)
+        return judged.where(bad).select(SEQ_COLUMN, *[F.col(f"`{c}`") for c in present], CORRUPT_COLUMN)
+    return judged.where(~bad).select(SEQ_COLUMN, *[
+        F.col(f"`{c}`") if c in present else F.lit(None).cast("string").alias(c) for c in SCHEDULE_COLUMNS])

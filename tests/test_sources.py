@@ -73,8 +73,8 @@ def test_flight_csv_overflow_and_headers(spark, tmp_dir):
         f.write("dest,origin,crs_dep_time\nBBB,AAA,700\n")
     got = read_flights_csv(spark, one, columns=["origin", "crs_dep_time"]).collect()
     assert [(r["origin"], r["crs_dep_time"]) for r in got] == [("AAA", None), ("AAA", None)]
-    with pytest.raises(Exception, match="(?i)header"):
-        read_flights_csv(spark, [one, two], columns=["origin", "dest"]).collect()
+    both = read_flights_csv(spark, [one, two], columns=["origin", "dest", "distance"]).collect()
+    assert [tuple(r) for r in both] == [("AAA", "BBB", None)] * 3
 
 
 def test_parquet_nan_is_null(spark, tmp_dir):
@@ -93,3 +93,71 @@ def test_column_profile(spark):
     prof = {r["column_name"]: r for r in column_profile(df).collect()}
     assert prof["a"]["null_pct"] == 0.0 and prof["a"]["min_value"] == "1" and prof["a"]["max_value"] == "3"
     assert prof["b"]["null_cells"] == 1 and prof["b"]["null_pct"] == 50.0 and prof["b"]["dtype"] == "string"
+
+
+def _write(path, heading, rows):
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(heading)
+        w.writerows(rows)
+
+
+def test_first_rows_in_file_order(spark, tmp_dir):
+    """The cap takes the first n rows over files, splits and headings."""
+    os.makedirs(os.path.join(tmp_dir, "b"))
+    _write(os.path.join(tmp_dir, "b", "2.csv"), ["distance", "origin"], [(1000 + i, "C") for i in range(300)])
+    _write(os.path.join(tmp_dir, "b", "1 x.csv"), ["origin", "distance", "junk"], [("B", i, "j") for i in range(400)])
+    open(os.path.join(tmp_dir, "b", "0.csv"), "w").close()  # no heading: no rows
+    _write(os.path.join(tmp_dir, "a.csv"), ["origin", "distance"], [("A", -i) for i in range(500)])
+    want = [("B", i) for i in range(400)] + [("C", 1000 + i) for i in range(300)] + [("A", -i) for i in range(500)]
+    paths = [os.path.join(tmp_dir, "b"), os.path.join(tmp_dir, "a.csv")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # many splits
+    try:
+        for n in (0, 1, 399, 401, 700, 950, 5000):
+            got = read_flights_csv(spark, paths, ["origin", "distance"], limit=n, with_position=True).repartition(3)
+            rows = [(r["origin"], r["distance"]) for r in got.orderBy("_position").collect()]
+            assert rows == want[:n], n
+        whole = read_flights_csv(spark, paths, ["origin", "distance", "dest"], with_position=True)
+        assert whole.rdd.getNumPartitions() > 5
+        assert [(r["origin"], r["distance"]) for r in whole.orderBy("_position").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read_flights_csv(spark, os.path.join(tmp_dir, "b", "0.csv"), ["origin"]).count() == 0
+
+
+def test_repeated_heading_is_an_error(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "twice.csv")
+    _write(path, ["origin", "origin"], [("A", "B")])
+    with pytest.raises(ValueError, match="repeated"):
+        read_flights_csv(spark, path)
+
+
+def test_compressed_file_heading(spark, tmp_dir):
+    import gzip
+
+    with gzip.open(os.path.join(tmp_dir, "z.csv.gz"), "wt") as f:
+        f.write("dest,origin\nBBB,AAA\n")
+    assert [tuple(r) for r in read_flights_csv(spark, tmp_dir, ["origin", "dest"]).collect()] == [("AAA", "BBB")]
+
+
+def test_last_schedule_row_wins_across_files(spark, tmp_dir):
+    head = ["Date", "Primary Airport", "League", "Team Name"]
+    turned = ["Team Name", "League", "Primary Airport", "Date"]
+    first = [("Sat,2024-01-06", f"A{i % 40}", "ONE", str(i)) for i in range(600)]
+    second = [(f"later {i}", "TWO", f"A{i % 7}", "Sat,2024-01-06") for i in range(70)]
+    _write(os.path.join(tmp_dir, "s2.csv"), turned, second)
+    _write(os.path.join(tmp_dir, "s1.csv"), head, first)
+    with open(os.path.join(tmp_dir, "s1.csv"), "a") as f:
+        f.write("Sun,2024-01-07,A1,ONE,unquoted comma\n")
+    last = {r[1]: r[3] for r in first} | {r[2]: r[0] for r in second}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        got = event_dimension(read_schedule_csv(spark, tmp_dir)).collect()
+        back = event_dimension(read_schedule_csv(spark, [os.path.join(tmp_dir, x) for x in ("s2.csv", "s1.csv")])).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 40 and all(f"@ {last[r['airport']]} (" in r["event_name"] for r in got)
+    assert all("ONE" in r["event_name"] for r in back)  # the other order of paths
+    assert read_schedule_csv(spark, tmp_dir, keep_rejects=True).count() == 1
