@@ -11,13 +11,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.functions import ROUND_DIGITS
 from tarmac.schema import MODEL_CATEGORICAL, MODEL_NUMERIC, MODEL_RAW_NUMERIC
 
 UNKNOWN = "Unknown"
 _TWO_PI = 2 * math.pi
-_HASH_BITS = 53
 # Equal rows numbered in one go, and hash buckets of the subsample's histogram.
 COPIES = 10_000
 SAMPLE_BUCKETS = 1 << 16
@@ -142,15 +142,33 @@ def with_row_key(df: DataFrame) -> DataFrame:
     chunks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, step)))
     copies = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + step, F.col("_n")) - 1))
     numbered = chunks.repartition(*cols, "_from").withColumn("_copy", copies)
-    return numbered.select(*cols, F.xxhash64(*cols, "_copy").alias("_row_key"))
+    return numbered.select(*cols, _digits(_portable(df, cols, F.col("_copy")), 15).alias("_row_key"))
 
 
-def hash_unit(cols: list[str], seed: int) -> Column:
-    """A value in [0, 1) from a 64-bit hash of the row's columns and the seed.
-    Depends only on the row, never on partitioning or task order. Rows that
-    are identical in ``cols`` get the same value."""
-    h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
-    return h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)).cast("double") / F.lit(float(1 << _HASH_BITS))
+def _portable(df: DataFrame, cols: list[str], *more: Column) -> Column:
+    """MD5 (hex) of the columns' texts. The texts are the same in any engine:
+    fractional numbers have six decimals, a missing value is ``~``."""
+    fractions = (T.DoubleType, T.FloatType, T.DecimalType)
+
+    def text(c: str) -> Column:
+        value = F.col(f"`{c}`")
+        if isinstance(df.schema[c].dataType, fractions):
+            value = value.try_cast("decimal(38,6)")
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    return F.md5(F.concat_ws("|", *[text(c) for c in cols], *[m.cast("string") for m in more]))
+
+
+def _digits(md5: Column, n: int) -> Column:
+    """The first ``n`` hexadecimal digits as a number."""
+    return F.conv(F.substring(md5, 1, n), 16, 10).cast("long")
+
+
+def hash_unit(df: DataFrame, cols: list[str], seed: int) -> Column:
+    """A value in [0, 1) from the first 52 bits of an MD5 of the row's columns
+    and the seed. Depends only on the row, never on partitioning, task order or
+    engine. Rows that are identical in ``cols`` get the same value."""
+    return _digits(_portable(df, cols, F.lit(seed)), 13).cast("double") / F.lit(float(1 << 52))
 
 
 def stratified_split(
@@ -173,7 +191,7 @@ def stratified_split(
     never on partitioning or retries. One number per class reaches the driver.
     """
     keys = key_cols or df.columns
-    bucket = F.floor(hash_unit(keys, seed) * buckets).cast("int")
+    bucket = F.floor(hash_unit(df, keys, seed) * buckets).cast("int")
     with_b = df.withColumn("_b", bucket)
     group = F.col(label) if stratify else F.lit(0)
     hist = with_b.groupBy(group.alias("_g"), "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -202,7 +220,7 @@ def stratified_folds(df: DataFrame, label: str, folds: int = 3, seed: int = 42,
     rows are numbered inside their bucket, never over a whole class.
     """
     keys = key_cols or df.columns
-    rows = df.withColumn("_u", hash_unit(keys, seed)).withColumn("_b", F.floor(F.col("_u") * SAMPLE_BUCKETS).cast("int"))
+    rows = df.withColumn("_u", hash_unit(df, keys, seed)).withColumn("_b", F.floor(F.col("_u") * SAMPLE_BUCKETS).cast("int"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over the buckets
     first = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
         F.col(label).alias("_g"), F.col("_b").alias("_gb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -222,7 +240,7 @@ def subsample(df: DataFrame, max_rows: int, seed: int = 42, key_cols: list[str]
     input of at most ``max_rows`` rows is returned whole.
     """
     keys = key_cols or df.columns
-    unit = df.withColumn("_u", hash_unit(keys, seed))
+    unit = df.withColumn("_u", hash_unit(df, keys, seed))
     with_b = unit.withColumn("_b", F.floor(F.col("_u") * SAMPLE_BUCKETS).cast("int"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # over the buckets, not the rows
     hist = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(upto))

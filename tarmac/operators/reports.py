@@ -471,14 +471,15 @@ def carrier_rate(source, top_n: int = 10) -> DataFrame:
 SAMPLE_COLUMNS = ["fl_date", "op_unique_carrier", "op_carrier_fl_num", "origin", "dest", "arr_delay", "reason"]
 
 
-def sample_delays(clean: DataFrame, n: int = 10) -> DataFrame:
-    """``n`` delayed flights, first in a total order over the shown columns
-    (a per-partition top-n merged once: no sort of the whole table)."""
+def sample_delays(clean: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
+    """``n`` delayed flights, first in the order of the columns ``order`` (the
+    readers' row position, for file order) or in a total order over the shown
+    columns (a per-partition top-n merged once: no sort of the whole table)."""
     return (
         clean.where(F.col("is_delayed"))
-        .select(*SAMPLE_COLUMNS)
-        .orderBy(*[F.asc_nulls_first(c) for c in SAMPLE_COLUMNS])
+        .orderBy(*[F.asc_nulls_first(c) for c in order or SAMPLE_COLUMNS])
         .limit(n)
+        .select(*SAMPLE_COLUMNS)
     )
 
 

@@ -16,6 +16,7 @@ from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events, event_dimension
 from tarmac.session import run_folder
 from tarmac.sources.flights import column_profile, read_flights_csv
+from tarmac.sources.schedule import read_schedule_csv
 from tarmac.sources.testview import flights_view, schedule_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,13 +103,50 @@ def scan_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_flights_csv(spark, path, columns=flights.columns)
 
 
+def flight_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The flights as two folders of CSV files: the months to June and the
+    others, each in a total order, the second with its columns turned round."""
+    flights = flights_view(spark, sf_dir)
+    path = run_folder(spark, "flight-files")
+    order = [F.asc_nulls_first(c) for c in flights.columns]
+    early = F.col("month") <= 6
+    flights.where(early).orderBy(*order).write.option("header", True).csv(f"{path}/1")
+    flights.where(~early).orderBy(*order).select(*flights.columns[::-1]).write.option("header", True).csv(f"{path}/2")
+    return [f"{path}/1", f"{path}/2"]
+
+
+def scan_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 000 rows of the flight files, in file order."""
+    return read_flights_csv(spark, flight_files(spark, sf_dir), flights_view(spark, sf_dir).columns, limit=40_000)
+
+
+def first_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first delayed flights of the files."""
+    columns = flights_view(spark, sf_dir).columns
+    rows = read_flights_csv(spark, flight_files(spark, sf_dir), columns, with_position=True)
+    return R.sample_delays(clean_flights(rows), order=["_position"])
+
+
+def event_dim_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event dimension from schedule files with two headings: the last row
+    of a date and airport wins, in the order of folders, files and rows."""
+    schedule = schedule_view(spark, sf_dir)
+    path = run_folder(spark, "schedule-files")
+    columns = [c for c in schedule.columns if c != "seq"]
+    for odd, names in ((0, columns), (1, columns[::-1])):
+        part = schedule.where(F.col("seq") % 2 == odd).orderBy("seq")
+        part.select(*[F.col(f"`{c}`") for c in names]).write.option("header", True).csv(f"{path}/{odd}")
+    return event_dimension(read_schedule_csv(spark, [f"{path}/0", f"{path}/1"]))
+
+
 def all_queries() -> dict[str, Query]:
     from tarmac.plans.catalog_eval import eval_queries, feature_queries
     from tarmac.plans.catalog_models import model_queries
     from tarmac.plans.catalog_stream import stream_queries
 
     q = report_queries()
-    q["scan_flights"] = scan_flights
+    q.update({"scan_flights": scan_flights, "scan_first_rows": scan_first_rows, "first_delays": first_delays,
+              "event_dim_files": event_dim_files})
     q.update(eval_queries())
     q.update(feature_queries())
     q.update(model_queries())

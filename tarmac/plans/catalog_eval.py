@@ -48,12 +48,19 @@ def feature_queries() -> dict[str, Query]:
         from pyspark.sql import functions as F
 
         c = load_clean(sp, d)
-        split = FE.stratified_split(c, "is_delayed", 0.2, 42)
+        split = FE.stratified_split(FE.with_row_key(c), "is_delayed", 0.2, 42, key_cols=["_row_key"])
         return split.groupBy("is_delayed", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
+    def fold_counts(sp, d):
+        from pyspark.sql import functions as F
+
+        folds = FE.stratified_folds(FE.with_row_key(load_clean(sp, d)), "is_delayed", 3, 42, ["_row_key"])
+        return folds.groupBy("is_delayed", "fold").agg(F.count(F.lit(1)).alias("rows"), F.sum("arr_delay").alias("minutes"))
+
     return {
         "feature_frame": frame,
         "scaled_features": scaled,
         "stratified_split": split_counts,
-        "subsample": lambda sp, d: FE.subsample(load_clean(sp, d), 1000, seed=42),
+        "stratified_folds": fold_counts,
+        "subsample": lambda sp, d: FE.subsample(FE.with_row_key(load_clean(sp, d)), 1000, 42, ["_row_key"]).drop("_row_key"),
     }

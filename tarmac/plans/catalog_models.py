@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarmac.operators.features import stratified_split, with_row_key
 from tarmac.plans import modeling as MP
 from tarmac.plans.catalog import Query
 from tarmac.schema import BASELINE_CATEGORICAL, BASELINE_NUMERIC, ROUTE_CATEGORICAL, ROUTE_NUMERIC
@@ -66,9 +67,7 @@ def _baseline_forest(sp, d):
 
 def _onehot(sp, d):
     rows = MP.baseline_rows(flights_view(sp, d)).withColumn("label", F.col("is_delayed").cast("int"))
-    from tarmac.operators.features import stratified_split
-
-    split = stratified_split(rows, "label", 0.2, 42)
+    split = stratified_split(with_row_key(rows), "label", 0.2, 42, key_cols=["_row_key"])
     return MP.onehot_slots(split.where(~F.col("is_test")), BASELINE_CATEGORICAL, split.where(F.col("is_test")))
 
 

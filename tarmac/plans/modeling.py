@@ -233,7 +233,7 @@ def learning_curve(data: DataFrame, max_rows: int = 200_000, folds: int = 3, siz
     all sizes and folds are trained in the same passes."""
     base = subsample(data.where(~F.col("is_test")), max_rows, seed)
     keys = _key_names(base)
-    base = materialize(stratified_folds(base, "label", folds, seed, keys).withColumn("_v", hash_unit(keys, seed + 1)))
+    base = materialize(stratified_folds(base, "label", folds, seed, keys).withColumn("_v", hash_unit(base, keys, seed + 1)))
     points = [(s, f) for s in sizes for f in range(folds)]
     used = [(F.col("fold") != f) & (F.col("_v") < s) for s, f in points]
     held = [F.col("fold") == f for _, f in points]

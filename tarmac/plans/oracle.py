@@ -207,6 +207,12 @@ def profile_sql() -> str:
     return with_ctes("\nUNION ALL\n".join(parts))
 
 
+#: The flights' columns, in the order in which the files are sorted.
+FILE_ORDER = ["year", "month", "day_of_month", "day_of_week", "fl_date", "op_unique_carrier", "op_carrier_fl_num", "origin",
+              "origin_state_nm", "dest", "dest_state_nm", "crs_dep_time", "crs_arr_time", "arr_delay", "cancelled", "diverted",
+              "crs_elapsed_time", "distance", "carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_aircraft_delay"]
+
+
 def report_sql(min_airport_flights: int = 1000, top_n: int = 10, event_top: int = 20) -> dict[str, str]:
     q: dict[str, str] = {}
     q["clean_flights"] = with_ctes("SELECT * FROM clean")
@@ -313,6 +319,12 @@ SELECT event_name, count(*) AS flights, count_if(is_delayed) AS delayed,
 FROM enriched WHERE event_name IS NOT NULL GROUP BY event_name""", events=True)
     q["stream_event_enriched"] = q["event_enriched"]
     every = lambda n: f"CAST(op_carrier_fl_num AS BIGINT) % {n} = 0"
+    whole = ", ".join(f"{c} ASC NULLS FIRST" for c in FILE_ORDER)
+    q["scan_first_rows"] = with_ctes(f"SELECT * FROM flights ORDER BY (month > 6), {whole} LIMIT 40000")
+    q["first_delays"] = with_ctes(
+        f"SELECT {', '.join(SAMPLE_COLS)} FROM clean WHERE is_delayed ORDER BY (month > 6), {whole} LIMIT 10")
+    q["event_dim_files"] = with_ctes("SELECT * FROM event_dim", events=True).replace(
+        "max_by(event_name, seq)", "max_by(event_name, seq + (seq % 2) * 1000000000000)")
     q["scan_flights"] = with_ctes(f"""
 SELECT * REPLACE (CASE WHEN {every(83)} THEN NULL ELSE crs_dep_time END AS crs_dep_time,
   CASE WHEN {every(79)} THEN NULL ELSE arr_delay END AS arr_delay,
@@ -322,10 +334,11 @@ SELECT * REPLACE (CASE WHEN {every(83)} THEN NULL ELSE crs_dep_time END AS crs_d
 
 
 def all_sql() -> dict[str, str]:
-    from tarmac.plans.oracle_eval import eval_sql, feature_sql, model_rows_sql
+    from tarmac.plans.oracle_eval import eval_sql, feature_sql, model_rows_sql, sampling_sql
 
     q = report_sql()
     q.update(eval_sql())
     q.update(feature_sql())
     q.update(model_rows_sql())
+    q.update(sampling_sql())
     return q

@@ -133,6 +133,58 @@ feat AS (
     return q
 
 
+CLEAN_TEXT = ["year", "month", "day_of_month", "day_of_week", "fl_date", "op_unique_carrier", "+op_carrier_fl_num", "origin",
+              "origin_state_nm", "dest", "dest_state_nm", "crs_dep_time", "crs_arr_time", "+arr_delay", "cancelled", "diverted",
+              "+crs_elapsed_time", "+distance", "+carrier_delay", "+weather_delay", "+nas_delay", "+security_delay",
+              "+late_aircraft_delay", "dep_hour", "is_delayed", "reason"]
+BASELINE_TEXT = ["month", "day_of_week", "dep_hour", "+distance", "op_unique_carrier", "origin", "dest", "is_delayed", "label"]
+
+
+def _hex(md5: str, digits: int) -> str:
+    return f"CAST('0x' || substr(md5({md5}), 1, {digits}) AS BIGINT)"
+
+
+def keyed_cte(source: str, cols: list[str], seed: int = 42) -> str:
+    """Rows with the portable row key ``rk`` and hash unit ``u``; columns with a
+    plus sign are fractional."""
+    plain = [c.lstrip("+") for c in cols]
+    texts = [f"coalesce(CAST(TRY_CAST({c[1:]} AS DECIMAL(38,6)) AS VARCHAR), '~')" if c[0] == "+"
+             else f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols]
+    copy = f"CAST(row_number() OVER (PARTITION BY {', '.join(plain)}) - 1 AS VARCHAR)"
+    row = "concat_ws('|', " + ", ".join(texts) + ", copy_no)"
+    again = f"concat_ws('|', CAST(rk AS VARCHAR), '{seed}')"
+    return f"""
+keyed AS (
+ SELECT *, CAST({_hex(again, 13)} AS DOUBLE) / 4503599627370496.0 AS u FROM (
+  SELECT *, {_hex(row, 15)} AS rk FROM (SELECT *, {copy} AS copy_no FROM {source})))"""
+
+
+def split_cte(label: str) -> str:
+    return f"""
+hist AS (SELECT {label} AS g, CAST(floor(u * 65536) AS INT) AS b, count(*) AS n FROM keyed GROUP BY ALL),
+cum AS (SELECT g, b, sum(n) OVER (PARTITION BY g ORDER BY b) AS c, sum(n) OVER (PARTITION BY g) AS tot FROM hist),
+cuts AS (SELECT g, min(b) AS cut FROM cum WHERE c >= CAST(0.8 AS DOUBLE) * tot GROUP BY g),
+split AS (SELECT k.*, CAST(floor(u * 65536) AS INT) > cut AS is_test FROM keyed k JOIN cuts ON {label} = g)"""
+
+
+def sampling_sql() -> dict[str, str]:
+    keyed = keyed_cte("clean", CLEAN_TEXT)
+    base = f"base AS ({model_rows_sql()['baseline_rows'].rsplit(chr(10), 1)[1].replace('is_delayed FROM', 'is_delayed, CAST(is_delayed AS INT) AS label FROM')})"
+    cats = ["op_unique_carrier", "origin", "dest"]
+    active = ", ".join(f"CAST({c} IN (SELECT {c} FROM split WHERE NOT is_test) AS INT) AS {c}_active" for c in cats)
+    return {
+        "stratified_split": with_ctes("SELECT is_delayed, is_test, count(*) AS rows FROM split GROUP BY ALL",
+                                      extra=keyed + "," + split_cte("is_delayed")),
+        "stratified_folds": with_ctes("""
+SELECT is_delayed, fold, count(*) AS rows, sum(arr_delay) AS minutes FROM (
+ SELECT is_delayed, arr_delay, CAST((row_number() OVER (PARTITION BY is_delayed ORDER BY u, rk) - 1) % 3 AS INT) AS fold FROM keyed)
+GROUP BY ALL""", extra=keyed),
+        "subsample": with_ctes("SELECT * EXCLUDE (copy_no, rk, u) FROM keyed ORDER BY u, rk LIMIT 1000", extra=keyed),
+        "onehot_slots": with_ctes(f"SELECT {', '.join(cats)}, {active} FROM split WHERE is_test",
+                                  extra=base + "," + keyed_cte("base", BASELINE_TEXT) + "," + split_cte("label")),
+    }
+
+
 def model_rows_sql() -> dict[str, str]:
     base_cols = "month, day_of_week, coalesce(dep_hour, -1) AS dep_hour, distance, op_unique_carrier, origin, dest"
     not_null = ("month IS NOT NULL AND day_of_week IS NOT NULL AND distance IS NOT NULL AND "
