@@ -108,3 +108,34 @@ class CellTotals:
             for k in group:
                 src = src.where(F.col(k).isNotNull())
         return reaggregate(src, group).select(*group, *MEASURES)
+
+
+class RolledCube:
+    """Coarse sets of several fine tables of measures, each set rolled up from
+    the table it belongs to; a source for the report tables like
+    :class:`DelayCube`. ``parts`` lists fine tables with their coarse sets."""
+
+    def __init__(self, parts: list[tuple[DataFrame, list[list[str]]]]):
+        self.cubes = []
+        for cells, sets in parts:
+            keys = list(dict.fromkeys(k for s in sets for k in s))
+            table = cells.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(
+                *[(F.max(m) if m == "arr_delay_max" else F.sum(m)).alias(m) for m in MEASURES], F.grouping_id().alias("gid"))
+            self.cubes.append((keys, sets, table))
+
+    def checkpoint(self) -> "RolledCube":
+        """Write every rolled-up table to the shared checkpoint folder."""
+        self.cubes = [(keys, sets, table.checkpoint(eager=True)) for keys, sets, table in self.cubes]
+        return self
+
+    @property
+    def table(self) -> DataFrame:
+        return self.cubes[0][2]
+
+    def slice(self, group: list[str], keep_null_keys: bool = False) -> DataFrame:
+        keys, table = next((keys, table) for keys, sets, table in self.cubes if group in sets)
+        out = table.where(F.col("gid") == grouping_id_for(keys, group))
+        if not keep_null_keys:
+            for k in group:
+                out = out.where(F.col(k).isNotNull())
+        return out.select(*group, *MEASURES)

@@ -27,7 +27,13 @@ def clean_flights(
     ``null_hour=None`` keeps a missing departure hour as NULL (report tables
     then drop it from hour groups); ``-1`` gives it its own bucket.
     """
-    out = df.where(clean_condition()).withColumns(
+    return tag_flights(df.where(clean_condition()), threshold, null_hour, with_reason)
+
+
+def tag_flights(df: DataFrame, threshold: float = DELAY_THRESHOLD, null_hour: int | None = None,
+                with_reason: bool = True) -> DataFrame:
+    """The columns that :func:`clean_flights` adds, on all rows."""
+    out = df.withColumns(
         {"dep_hour": dep_hour(null_hour), "is_delayed": is_delayed(threshold)}
     )
     if with_reason:

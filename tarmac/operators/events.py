@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions import event_label, fixed_airport, schedule_date
-from tarmac.operators.joins import BROADCAST_MAX_ROWS, broadcast_if_small
+from tarmac.operators.joins import BROADCAST_MAX_BYTES, broadcast_if_small
 from tarmac.schema import NO_EVENT
 
 
@@ -45,19 +45,19 @@ def enrich_events(
     flights: DataFrame,
     dimension: DataFrame,
     date_col: str = "fl_date",
-    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
+    max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Add ``event_name``: the origin's event on the flight date, else the
     destination's, else ``'none'``.
 
     Two left equi-joins against the (unique-keyed) dimension, so no flight is
-    duplicated. The dimension is broadcast only when its row count is proven
-    below ``max_broadcast_rows``; then both lookups are hash probes in the same
+    duplicated. The dimension is computed once, into the shared folder, and is
+    broadcast only when it takes at most ``max_broadcast_bytes`` there; then both lookups are hash probes in the same
     stage and the flight table is never shuffled. Larger dimensions fall back
     to shuffle joins, where AQE splits a skewed (date, airport) partition and
     flights with a NULL key, which match nothing, are dealt by a hash of the row.
     """
-    dim, small = broadcast_if_small(dimension.select("event_date", "airport", "event_name"), max_broadcast_rows)
+    dim, small = broadcast_if_small(dimension.select("event_date", "airport", "event_name"), max_broadcast_bytes)
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in flights.columns]).cast("string")
 
     def on(airport: str, side: str):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import ROUND_DIGITS, display_name, pct, ratio, route_key, weather_flag, weekday_name
-from tarmac.operators.aggregates import CellTotals, DelayCube, delay_totals
+from tarmac.operators.aggregates import CellTotals, DelayCube, RolledCube, delay_totals
 from tarmac.operators.clean import clean_condition
 from tarmac.schema import (
     AIRPORT_NAMES,
@@ -33,7 +33,7 @@ from tarmac.schema import (
 
 
 def _totals(source, keys: list[str], keep_null_keys: bool = False) -> DataFrame:
-    if isinstance(source, (DelayCube, CellTotals)):
+    if isinstance(source, (DelayCube, RolledCube, CellTotals)):
         return source.slice(keys, keep_null_keys)
     src = source
     if "route" in keys and "route" not in source.columns:
@@ -92,9 +92,8 @@ def overview(flights: DataFrame, threshold: float = DELAY_THRESHOLD) -> DataFram
     )
 
 
-def overview_from_cube(cube: DelayCube, total_rows: int) -> DataFrame:
-    """The overview from the cube's grand-total row and the raw row count
-    (for parquet a metadata-only count), without another column scan.
+def overview_from_cube(cube: RolledCube, total_rows: int) -> DataFrame:
+    """The overview from the cube's grand-total row and the raw row count.
 
     A zero row is added before summing so the result has one row even when no
     flight survives cleaning (the grand-total set is then empty)."""
@@ -244,7 +243,7 @@ def weather_top(source, side: str = "origin", top_n: int = 10) -> DataFrame:
 def largest_airports(source, n: int = 5) -> DataFrame:
     """The ``n`` busiest origins, their delay rate and its difference from the
     overall clean-flight rate (which also counts flights without an origin)."""
-    if isinstance(source, DelayCube):
+    if isinstance(source, (DelayCube, RolledCube)):
         per = source.slice(["origin"])
         overall = source.slice([], keep_null_keys=True)
         both = per.select("origin", "flights", "delayed", F.lit(False).alias("_total")).unionByName(

@@ -1,52 +1,63 @@
 """The descriptive report and the chart tables as one Spark plan.
 
-``delay_report`` cleans the flights once and runs a single ``GROUPING SETS``
-aggregate for every grouped table (one scan, one shuffle of partial rows).
-Event tables come from the cube's (date, origin, dest) slice, tagged with the
-event and rolled up, so the event lookup joins reduced rows, not flights. That small result is checkpointed to the shared
-checkpoint folder, so the ~30 tables read from it never re-scan the flights
-and a lost executor does not send the job back to the source files. The
-overview comes from the cube's grand-total row plus a raw row count (metadata
-only for parquet); the sample of delayed flights is one more narrow pass (a
-per-partition top-10).
+``delay_report`` reads the flights once. A ``GROUPING SETS`` aggregate gives two
+fine tables from that scan, one by date and airports and one by airport, hour,
+carrier and reason, so a flight is expanded twice and not once for each of the
+report's groupings; these are rolled up from the fine tables. Flights that do
+not pass the cleaning are one group of their own, which makes the raw row count
+part of the same aggregate. Event tables come from the table by date and
+airports, tagged with the event and rolled up, so the event lookup joins reduced
+rows, not flights. The fine and the rolled-up tables are checkpointed to the
+shared checkpoint folder: the ~30 tables read from them never re-scan the
+flights and a lost executor does not send the job back to the source files. The
+sample of delayed flights is one more narrow pass (a per-partition top-10).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarmac.functions import route_key
 from tarmac.operators import reports as R
-from tarmac.operators.aggregates import CellTotals, DelayCube
-from tarmac.operators.clean import clean_flights
+from tarmac.operators.aggregates import MEASURES, CellTotals, DelayCube, RolledCube
+from tarmac.operators.clean import clean_condition, clean_flights, tag_flights
 from tarmac.operators.events import enrich_events, event_dimension
 from tarmac.schema import DELAY_THRESHOLD
 from tarmac.session import ensure_checkpoint_dir
 
-BASE_SETS = [
-    ["month"],
-    ["day_of_week"],
-    ["dep_hour"],
-    ["origin"],
-    ["dest"],
-    ["route"],
-    ["op_unique_carrier"],
-    ["origin", "dep_hour"],
-    ["reason"],
-    [],
-]
-# Event tables need only the flight date and both airports: the cube keeps
-# that grain, and the event lookup runs on it instead of on every flight.
-EVENT_GRAIN = ["fl_date", "origin", "dest"]
+# The fine tables and the groupings rolled up from each.
+BY_DAY = ["fl_date", "month", "day_of_week", "origin", "dest"]
+BY_OPERATION = ["origin", "dep_hour", "op_unique_carrier", "reason"]
+DAY_SETS = [["month"], ["day_of_week"], ["origin"], ["dest"], ["route"], []]
+OPERATION_SETS = [["dep_hour"], ["op_unique_carrier"], ["origin", "dep_hour"], ["reason"]]
 
 
-def build_cube(clean: DataFrame, with_events: bool, checkpoint: bool = True) -> DelayCube:
-    sets = BASE_SETS + ([EVENT_GRAIN] if with_events else [])
-    cube = DelayCube(clean, sets)
+def fine_cube(flights: DataFrame, threshold: float = DELAY_THRESHOLD) -> DelayCube:
+    """Measures of all flights by ``kept`` (passes the cleaning) and the two fine
+    groupings; the keys and measures of flights that are not kept are empty."""
+    kept = F.coalesce(clean_condition(), F.lit(False))
+    keys = list(dict.fromkeys(BY_DAY + BY_OPERATION))
+    tagged = tag_flights(flights, threshold).withColumn("kept", kept)
+    masked = tagged.select(
+        "kept", *[F.when(F.col("kept"), F.col(c)).alias(c) for c in (*keys, "arr_delay", "weather_delay")],
+        (F.col("kept") & F.col("is_delayed")).alias("is_delayed"))
+    return DelayCube(masked, [["kept", *BY_DAY], ["kept", *BY_OPERATION]])
+
+
+def build_cube(flights: DataFrame, threshold: float, checkpoint: bool = True) -> tuple[RolledCube, DataFrame, int]:
+    """The report's groupings, the fine table by date and airports, and the raw
+    number of flights."""
+    fine = fine_cube(flights, threshold)
     if checkpoint:
-        ensure_checkpoint_dir(clean.sparkSession)
-        cube.table = cube.table.checkpoint(eager=True)
-    return cube
+        ensure_checkpoint_dir(flights.sparkSession)
+        fine.table = fine.table.checkpoint(eager=True)
+    day = fine.slice(["kept", *BY_DAY], keep_null_keys=True)
+    operation = fine.slice(["kept", *BY_OPERATION], keep_null_keys=True)
+    total = operation.agg(F.sum("flights")).first()[0] or 0
+    day = day.where("kept").withColumn("route", route_key())
+    cube = RolledCube([(day, DAY_SETS), (operation.where("kept"), OPERATION_SETS)])
+    return (cube.checkpoint() if checkpoint else cube), day, total
 
 
 def delay_report(
@@ -61,12 +72,10 @@ def delay_report(
     checkpoint: bool = True,
 ) -> dict[str, DataFrame]:
     """All report and chart tables, keyed like the query catalog."""
-    base = clean_flights(flights, threshold).withColumn("route", route_key())
-    with_events = schedule is not None
-    cube = build_cube(base, with_events, checkpoint)
+    cube, by_day, total = build_cube(flights, threshold, checkpoint)
 
     t: dict[str, DataFrame] = {
-        "overview": R.overview_from_cube(cube, flights.count()),
+        "overview": R.overview_from_cube(cube, total),
         "delay_reason": R.delay_reason_counts(cube),
         "reason_summary": R.reason_summary(cube),
         "carrier_delayed": R.carrier_delayed(cube),
@@ -82,7 +91,7 @@ def delay_report(
         "largest_airports": R.largest_airports(cube),
         "origin_hour_grid": R.origin_hour_grid(cube),
         "origin_hour_heatmap": R.origin_hour_heatmap(cube),
-        "sample_delays": R.sample_delays(base),
+        "sample_delays": R.sample_delays(clean_flights(flights, threshold)),
         "carrier_rate": R.carrier_rate(cube, chart_top_n),
         "weather_top_origins": R.weather_top(cube, "origin", chart_top_n),
     }
@@ -92,10 +101,10 @@ def delay_report(
         t[f"airport_avg_{side}"] = R.airport_avg(cube, side, top_n)
         t[f"weather_{side}"] = R.weather_by_airport(cube, side)
         t[f"weather_report_{side}"] = R.weather_report(cube, side, top_n)
-    if with_events:
+    if schedule is not None:
         # One row per (date, origin, dest) with its measures, tagged with the
         # event (origin first, then destination) and rolled up per event.
-        cells = enrich_events(cube.slice(EVENT_GRAIN, keep_null_keys=True), event_dimension(schedule))
+        cells = enrich_events(by_day.select("fl_date", "origin", "dest", *MEASURES), event_dimension(schedule))
         events = CellTotals(cells)
         t["event_delay"] = R.event_delay(events, event_top)
         t["event_origin_delay"] = R.event_origin_delay(events)

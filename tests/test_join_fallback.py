@@ -9,7 +9,7 @@ from helpers import flights
 from oracle_util import _rows
 from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events, event_dimension
-from tarmac.operators.joins import bounded_rows, broadcast_if_small
+from tarmac.operators.joins import broadcast_if_small, stored
 from tarmac.plans.catalog import load_clean, load_event_dim
 
 
@@ -17,17 +17,17 @@ def _same(a, b):
     return _rows(a.columns, [tuple(r) for r in a.collect()]) == _rows(b.columns, [tuple(r) for r in b.collect()])
 
 
-def test_bounded_rows(spark):
+def test_broadcast_by_written_bytes(spark):
     df = spark.range(10)
-    assert bounded_rows(df, 10) and not bounded_rows(df, 9)
-    _, hinted = broadcast_if_small(df, 9)
-    assert not hinted
+    table, size = stored(df, "dimension")
+    assert size > 0 and sorted(r["id"] for r in table.collect()) == list(range(10))
+    assert not broadcast_if_small(df, size - 1)[1] and broadcast_if_small(df, size * 2)[1]
 
 
 def test_fallback_equals_broadcast(spark):
     clean = load_clean(spark, SF_SMALL)
     dim = load_event_dim(spark, SF_SMALL)
-    assert _same(enrich_events(clean, dim), enrich_events(clean, dim, max_broadcast_rows=0))
+    assert _same(enrich_events(clean, dim), enrich_events(clean, dim, max_broadcast_bytes=0))
 
 
 def test_hot_key_shuffle_join(spark):
@@ -41,7 +41,7 @@ def test_hot_key_shuffle_join(spark):
         "`Date` string, `Away Team` string")
     dim = event_dimension(sched)
     a = enrich_events(df, dim)
-    b = enrich_events(df, dim, max_broadcast_rows=0)
+    b = enrich_events(df, dim, max_broadcast_bytes=0)
     assert _same(a, b)
     counts = {r["event_name"][:10]: r["n"] for r in b.groupBy("event_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     # 400 hot-origin flights + flights arriving at HOT on the two event days.
@@ -82,7 +82,7 @@ def test_null_keys_are_spread_in_the_shuffle_join(spark):
     df = clean_flights(flights(spark, rows))
     dim = spark.sql("SELECT DATE'2024-01-01' AS event_date, 'HOT' AS airport, 'game' AS event_name "
                     "UNION ALL SELECT DATE'2024-01-01', NULL, 'lost'")
-    out = enrich_events(df, dim, max_broadcast_rows=0)
+    out = enrich_events(df, dim, max_broadcast_bytes=0)
     assert _same(enrich_events(df, dim), out)
     assert {r[0]: r[1] for r in out.groupBy("event_name").count().collect()} == {"none": 200, "game": 200}
     plan = out._jdf.queryExecution().optimizedPlan().toString()

@@ -6,11 +6,11 @@ import re
 from contextlib import redirect_stdout
 
 from conftest import SF_SMALL
-from tarmac.functions import route_key
 from tarmac.operators import reports as R
 from tarmac.operators.events import enrich_events
-from tarmac.plans.analysis import build_cube
+from tarmac.plans.analysis import fine_cube
 from tarmac.plans.catalog import load_clean, load_enriched, load_event_dim
+from tarmac.sources.testview import flights_view
 
 
 def plan(df) -> str:
@@ -29,14 +29,15 @@ def test_clean_filter_pushed_and_columns_pruned(spark):
         assert unused not in read
 
 
-def test_report_cube_is_one_aggregate_shuffle(spark):
-    clean = load_clean(spark, SF_SMALL).withColumn("route", route_key())
-    text = plan(build_cube(clean, with_events=False, checkpoint=False).table)
-    assert "Expand" in text
+def test_fine_cube_is_one_scan_and_one_aggregate_shuffle(spark):
+    text = plan(fine_cube(flights_view(spark, SF_SMALL)).table)
+    expand = [line for line in text.splitlines() if "Expand [" in line]
+    assert len(expand) == 1 and expand[0].count("[", expand[0].index("Expand [") + 8) <= 4  # each flight twice
     assert len(re.findall(r"partial_count", text)) >= 1
     grouping_exchanges = [line for line in text.splitlines()
                           if "Exchange hashpartitioning" in line and "spark_grouping_id" in line]
     assert len(grouping_exchanges) == 1
+    assert sum("FileScan" in line and "l_orderkey" in line for line in text.splitlines()) == 1
 
 
 def test_event_join_broadcast_then_shuffle(spark):
@@ -50,7 +51,7 @@ def test_event_join_broadcast_then_shuffle(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        forced = plan(enrich_events(clean, dim, max_broadcast_rows=0))
+        forced = plan(enrich_events(clean, dim, max_broadcast_bytes=0))
         hinted = plan(enrich_events(clean, dim))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
