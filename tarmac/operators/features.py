@@ -21,6 +21,8 @@ _TWO_PI = 2 * math.pi
 # Equal rows numbered in one go, and hash buckets of the subsample's histogram.
 COPIES = 10_000
 SAMPLE_BUCKETS = 1 << 16
+# Different values of a column that a median's last step may count.
+MEDIAN_VALUES = 4096
 
 
 def engineered_columns(flights: DataFrame) -> DataFrame:
@@ -39,20 +41,68 @@ def engineered_columns(flights: DataFrame) -> DataFrame:
     return base.withColumns({"dep_hour_sin": F.sin(angle), "dep_hour_cos": F.cos(angle)})
 
 
-def column_medians(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, float | None]:
-    """Median per column in one aggregation pass.
+def column_medians(df: DataFrame, cols: list[str], exact: bool = True, most: int = MEDIAN_VALUES) -> dict[str, float | None]:
+    """Median of each column (NULL and NaN left out; the mean of the middle two
+    of an even number; None without values), for all columns at once.
 
-    ``exact`` uses ``median`` (a percentile aggregate whose state is one count
-    per distinct value): fine for the model features, whose values come from
-    small fixed domains (calendar fields, HHMM times, hours, distances).
-    Otherwise ``percentile_approx`` keeps a fixed-size sketch per column.
+    ``exact`` is a selection: every column has a bracket of values that holds its
+    middle ranks. While a bracket has more than ``most`` different values, a
+    sketch of fixed size proposes a narrower one and exact counts confirm it (or
+    the sketch looks less closely). What is left is one count for each value in
+    the brackets, at most about ``most`` a column, wherever the values lie.
+    Otherwise one pass of ``percentile_approx`` sketches.
     """
-    aggs = [
-        (F.median(c) if exact else F.percentile_approx(c, 0.5, 10_000)).alias(c)
-        for c in cols
-    ]
-    row = df.agg(*aggs).first()
-    return {c: (None if row[c] is None else float(row[c])) for c in cols}
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    if not exact:
+        row = df.agg(*[F.percentile_approx(value[c], 0.5, 10_000).alias(c) for c in cols]).first()
+        return {c: row[c] for c in cols}
+
+    def inside(c: str, bounds: tuple[float, float] | None) -> Column:
+        return value[c] if bounds is None else F.when(value[c].between(*bounds), value[c])
+
+    def counted(brackets: dict) -> dict[str, tuple[int, int, int]]:
+        aggs = []
+        for i, (c, bounds) in enumerate(brackets.items()):
+            below = F.count_if(value[c] < bounds[0]) if bounds else F.lit(0).cast("long")
+            aggs += [F.max(below).alias(f"b{i}") if not bounds else below.alias(f"b{i}"), F.count(inside(c, bounds)).alias(f"n{i}"),
+                     F.approx_count_distinct(inside(c, bounds)).alias(f"d{i}")]
+        row = df.agg(*aggs).first()
+        return {c: (row[f"b{i}"] or 0, row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(brackets)}
+
+    bracket: dict[str, tuple[float, float] | None] = {c: None for c in cols}
+    found = counted(bracket)
+    rows = {c: found[c][1] for c in cols}
+    near = {c: 1e-3 for c in cols}
+    while wide := [c for c in cols if found[c][2] > most]:
+        aggs = []
+        for c in wide:
+            middle = (rows[c] / 2 - found[c][0]) / found[c][1]
+            ends = [F.lit(min(max(middle + e, 0.0), 1.0)) for e in (-near[c], near[c])]
+            aggs.append(F.percentile_approx(inside(c, bracket[c]), F.array(*ends), 10_000).alias(c))
+        row = df.agg(*aggs).first()
+        tried = {c: (row[c][0], row[c][1]) for c in wide}
+        for c, (below, n, d) in counted(tried).items():
+            holds = below <= (rows[c] - 1) // 2 and below + n > rows[c] // 2
+            if holds and (n < found[c][1] or d <= most):
+                bracket[c], found[c] = tried[c], (below, n, d)
+            else:  # missed the middle: look less closely
+                near[c] *= 4
+                if near[c] > 1:
+                    raise ArithmeticError(f"no narrower bracket around the median of {c}")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), inside(c, bracket[c]).alias("v")) for c in cols]))
+    counts: dict[str, list] = {c: [] for c in cols}
+    for r in df.select(pairs.alias("p")).where("p.v IS NOT NULL").groupBy("p.c", "p.v").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["c"]].append((r["v"], r["n"]))  # bounded by the brackets
+
+    def at(c: str, rank: int) -> float:
+        upto = found[c][0]
+        for v, n in sorted(counts[c]):
+            upto += n
+            if upto > rank:
+                return v
+        raise AssertionError(c)
+
+    return {c: (at(c, (rows[c] - 1) // 2) + at(c, rows[c] // 2)) / 2 if rows[c] else None for c in cols}
 
 
 def model_features(flights: DataFrame, exact_median: bool = True) -> DataFrame:

@@ -91,3 +91,30 @@ def test_row_key_numbers_more_copies_than_a_chunk_and_empty_input(spark):
     keyed = with_row_key(same)
     assert keyed.count() == 2 * COPIES + 7 == keyed.select("_row_key").distinct().count()
     assert with_row_key(same.limit(0)).count() == 0
+
+
+def test_medians_by_selection(spark):
+    """Equal to the aggregate over random doubles, heavy values and odd scales."""
+    import numpy as np
+
+    from tarmac.operators.features import column_medians
+
+    gen = np.random.default_rng(8)
+    n = 30_001
+    cols = {
+        "a": gen.normal(size=n), "b": np.exp(gen.normal(scale=60, size=n)), "c": gen.integers(0, 2, n).astype(float),
+        "d": np.where(np.arange(n) < n // 2, -1e300, gen.random(n)), "e": np.full(n, 7.5), "g": np.round(gen.normal(size=n), 1),
+    }
+    rows = [tuple(float(x) for x in r) for r in zip(*cols.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(6)
+    df = df.withColumn("f", F.when(F.col("a") > 0, F.col("a"))).withColumn("z", F.lit(None).cast("double"))
+    df = df.withColumn("w", F.when(F.col("a") > 1, float("nan")).otherwise(F.col("b"))).withColumn("i", F.floor(F.col("a") * 10).cast("int"))
+    names = [*cols, "f", "z", "w", "i"]
+    for data in (df, df.where("a < 0.5 OR b > 1").limit(20_000)):
+        data = data.orderBy("a").cache()
+        clean = [F.median(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in names]
+        want = data.agg(*clean).first().asDict()
+        for most in (50, 4096):
+            assert column_medians(data, names, most=most) == want
+        data.unpersist()
+    assert column_medians(df.limit(0), ["a"]) == {"a": None}
