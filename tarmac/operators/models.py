@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -21,25 +21,6 @@ from pyspark.sql import functions as F
 MAX_TREE_DEPTH = 30
 
 
-def indexers(categorical: list[str]) -> list[StringIndexer]:
-    """Category -> index; unseen or NULL categories get the extra index."""
-    return [
-        StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-        for c in categorical
-    ]
-
-
-def one_hot(categorical: list[str]) -> OneHotEncoder:
-    """One-hot with the indexer's extra (unseen) index as the dropped last
-    slot: an unseen or NULL category is the all-zero vector, every seen level
-    keeps its own slot."""
-    return OneHotEncoder(
-        inputCols=[f"{c}__idx" for c in categorical],
-        outputCols=[f"{c}__oh" for c in categorical],
-        dropLast=True,
-    )
-
-
 def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep")
 
@@ -52,14 +33,9 @@ def scaled_numeric(numeric: list[str], out: str = "num_scaled") -> list:
 
 
 def linear_features(numeric: list[str], categorical: list[str]) -> list:
-    """Scaled numerics followed by one-hot categoricals (sparse)."""
-    stages = scaled_numeric(numeric)
-    if categorical:
-        stages += indexers(categorical) + [one_hot(categorical)]
-    stages.append(
-        VectorAssembler(inputCols=["num_scaled"] + [f"{c}__oh" for c in categorical], outputCol="features")
-    )
-    return stages
+    """Scaled numerics followed by the one-hot columns of an encoder (sparse)."""
+    return scaled_numeric(numeric) + [
+        VectorAssembler(inputCols=["num_scaled"] + [f"{c}__oh" for c in categorical], outputCol="features")]
 
 
 def l2_for_sklearn_c(sum_weights: float, c: float = 1.0) -> float:

@@ -65,10 +65,10 @@ def _baseline_forest(sp, d):
     return tables["classification_report"]
 
 
-def _onehot(sp, d):
-    rows = MP.baseline_rows(flights_view(sp, d)).withColumn("label", F.col("is_delayed").cast("int"))
-    split = stratified_split(with_row_key(rows), "label", 0.2, 42, key_cols=["_row_key"])
-    return MP.onehot_slots(split.where(~F.col("is_test")), BASELINE_CATEGORICAL, split.where(F.col("is_test")))
+def _onehot(rows, categorical):
+    keyed = with_row_key(rows.withColumn("label", F.col("is_delayed").cast("int")))
+    split = MP.materialize(stratified_split(keyed, "label", 0.2, 42, key_cols=["_row_key"]))
+    return MP.onehot_slots(split.where(~F.col("is_test")), categorical, split.where(F.col("is_test")))
 
 
 def model_queries() -> dict[str, Query]:
@@ -77,7 +77,9 @@ def model_queries() -> dict[str, Query]:
         "route_model_rows": lambda sp, d: MP.route_model_rows(flights_view(sp, d), schedule_view(sp, d)),
         "baseline_model_metrics": _baseline,
         "baseline_forest_report": _baseline_forest,
-        "onehot_slots": _onehot,
+        "onehot_slots": lambda sp, d: _onehot(MP.baseline_rows(flights_view(sp, d)), BASELINE_CATEGORICAL),
+        "onehot_event_slots": lambda sp, d: _onehot(
+            MP.route_model_rows(flights_view(sp, d), schedule_view(sp, d)), ROUTE_CATEGORICAL),
         "classifier_metrics": lambda sp, d: _classification(sp, d)["classifier_metrics"],
         "feature_importance": lambda sp, d: _classification(sp, d, ("gbt",))["feature_importance"],
         "model_threshold_sweep": lambda sp, d: _classification(sp, d, ("gbt",))["threshold_sweep"],

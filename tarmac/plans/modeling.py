@@ -32,6 +32,7 @@ from tarmac.operators.features import (
     subsample,
     with_row_key,
 )
+from tarmac.operators.onehot import fit_one_hot
 from tarmac.schema import (
     BASELINE_CATEGORICAL,
     BASELINE_NUMERIC,
@@ -356,6 +357,9 @@ def train_and_evaluate(rows: DataFrame, numeric, categorical, *, model_type: str
     data = materialize(with_row_key(rows.withColumn("label", F.col("is_delayed").cast("int"))))
     split = split_rows(data, test_fraction, seed)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    # The encoder knows the training rows' categories; the vectors are written once for the iterative fits.
+    encoder = fit_one_hot(train, categorical)
+    train, test = materialize(encoder.transform(train)), encoder.transform(test)
     model = _linear_or_forest(model_type, numeric, categorical, train, seed, lr_iter, rf_trees, rf_depth)
     keep = [c for c in ("origin", "dest", "event_name") if c in test.columns]
     scored = materialize(M.score(model, test, keep))
@@ -387,15 +391,13 @@ def event_risk(scored: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def onehot_slots(rows: DataFrame, categorical: list[str], probe: DataFrame) -> DataFrame:
-    """Encode ``probe`` with an encoder fitted on ``rows``: the number of
-    active one-hot slots per column (0 for an unseen category)."""
-    model = M.fit(M.indexers(categorical) + [M.one_hot(categorical)], rows)
-    enc = model.transform(probe)
-    from pyspark.ml.functions import vector_to_array
-
-    return enc.select(*categorical, *[
-        F.aggregate(vector_to_array(f"{c}__oh"), F.lit(0.0), lambda acc, x: acc + x).cast("int").alias(f"{c}_active")
-        for c in categorical])
+    """Encode ``probe`` with an encoder fitted on ``rows``: the slot of each
+    column's value and the number of active slots (none and 0 for an unseen one)."""
+    encoder = fit_one_hot(rows, categorical)
+    out = encoder.slots(probe)
+    known = {c: F.col(f"{c}__idx") < encoder.sizes[c] for c in categorical}
+    return out.select(*categorical, *[known[c].cast("int").alias(f"{c}_active") for c in categorical],
+                      *[F.when(known[c], F.col(f"{c}__idx").cast("int")).alias(f"{c}_slot") for c in categorical])
 
 
 __all__ = [

@@ -167,11 +167,26 @@ cuts AS (SELECT g, min(b) AS cut FROM cum WHERE c >= CAST(0.8 AS DOUBLE) * tot G
 split AS (SELECT k.*, CAST(floor(u * 65536) AS INT) > cut AS is_test FROM keyed k JOIN cuts ON {label} = g)"""
 
 
+ROUTE_TEXT = ["month", "day_of_week", "dep_hour", "+distance", "event_flag", "origin", "dest", "op_unique_carrier", "event_name",
+              "is_delayed", "label"]
+
+
+def onehot_sql(rows: str, text: list[str], cats: list[str]) -> str:
+    """Slots and active counts of the test rows from the training rows' values."""
+    body = model_rows_sql()[rows]
+    base = body[body.rindex("SELECT month"):].replace("is_delayed\n", "is_delayed ").replace(
+        "is_delayed FROM", "is_delayed, CAST(is_delayed AS INT) AS label FROM").replace(
+        "is_delayed  ", "is_delayed, CAST(is_delayed AS INT) AS label ")
+    slots = [f"s_{c} AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INT) AS slot "
+             f"FROM (SELECT DISTINCT {c} FROM split WHERE NOT is_test AND {c} IS NOT NULL))" for c in cats]
+    out = ", ".join(f"CAST(s_{c}.slot IS NOT NULL AS INT) AS {c}_active, s_{c}.slot AS {c}_slot" for c in cats)
+    joins = " ".join(f"LEFT JOIN s_{c} ON split.{c} = s_{c}.v" for c in cats)
+    return with_ctes(f"SELECT {', '.join('split.' + c for c in cats)}, {out} FROM split {joins} WHERE is_test", events=True,
+                     extra=",".join([f"base AS ({base})", keyed_cte("base", text), split_cte("label"), *slots]))
+
+
 def sampling_sql() -> dict[str, str]:
     keyed = keyed_cte("clean", CLEAN_TEXT)
-    base = f"base AS ({model_rows_sql()['baseline_rows'].rsplit(chr(10), 1)[1].replace('is_delayed FROM', 'is_delayed, CAST(is_delayed AS INT) AS label FROM')})"
-    cats = ["op_unique_carrier", "origin", "dest"]
-    active = ", ".join(f"CAST({c} IN (SELECT {c} FROM split WHERE NOT is_test) AS INT) AS {c}_active" for c in cats)
     return {
         "stratified_split": with_ctes("SELECT is_delayed, is_test, count(*) AS rows FROM split GROUP BY ALL",
                                       extra=keyed + "," + split_cte("is_delayed")),
@@ -180,8 +195,8 @@ SELECT is_delayed, fold, count(*) AS rows, sum(arr_delay) AS minutes FROM (
  SELECT is_delayed, arr_delay, CAST((row_number() OVER (PARTITION BY is_delayed ORDER BY u, rk) - 1) % 3 AS INT) AS fold FROM keyed)
 GROUP BY ALL""", extra=keyed),
         "subsample": with_ctes("SELECT * EXCLUDE (copy_no, rk, u) FROM keyed ORDER BY u, rk LIMIT 1000", extra=keyed),
-        "onehot_slots": with_ctes(f"SELECT {', '.join(cats)}, {active} FROM split WHERE is_test",
-                                  extra=base + "," + keyed_cte("base", BASELINE_TEXT) + "," + split_cte("label")),
+        "onehot_slots": onehot_sql("baseline_rows", BASELINE_TEXT, ["op_unique_carrier", "origin", "dest"]),
+        "onehot_event_slots": onehot_sql("route_model_rows", ROUTE_TEXT, ["origin", "dest", "op_unique_carrier", "event_name"]),
     }
 
 

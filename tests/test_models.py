@@ -4,6 +4,7 @@ seed gives the same metrics."""
 import pytest
 
 from conftest import SF_SMALL
+from tarmac.operators.onehot import fit_one_hot
 from tarmac.plans import modeling as MP
 from tarmac.schema import BASELINE_CATEGORICAL, BASELINE_NUMERIC
 from tarmac.sources.testview import flights_view, schedule_view
@@ -59,6 +60,20 @@ def test_unseen_category_is_zero_vector(spark):
     assert got == {"AAA": 1, "ZZZ": 0, None: 0}
 
 
+@pytest.mark.parametrize("most", [1 << 25, 0])  # broadcast, shuffle join
+def test_one_hot_vectors(spark, most):
+    rows = [(f"v{i % 90:02d}", None if i % 4 else "x", i) for i in range(900)]
+    train = spark.createDataFrame(rows, "a string, b string, i int")
+    encoder = fit_one_hot(train, ["a", "b"], most)
+    assert encoder.sizes == {"a": 90, "b": 1} and all(small == bool(most) for _, small in encoder.tables.values())
+    probe = spark.createDataFrame([("v07", "x", 1), ("v89", None, 2), ("new", "y", 3), (None, None, 4)], "a string, b string, i int")
+    got = {r["i"]: (r["a__oh"], r["b__oh"]) for r in encoder.transform(probe).collect()}
+    assert {i: (a.size, list(a.indices), list(b.indices)) for i, (a, b) in got.items()} == {
+        1: (90, [7], [0]), 2: (90, [89], []), 3: (90, [], []), 4: (90, [], [])}
+    none = fit_one_hot(train.limit(0), ["a"])
+    assert [list(r["a__oh"].indices) for r in none.transform(probe).collect()] == [[]] * 4
+
+
 def test_entry_plans_small(spark, tmp_dir):
     from tarmac.sources import write_tables
 
