@@ -8,7 +8,8 @@ reaches the driver. Trees are best-first: the open leaf with the largest gain is
 split next until there are ``num_leaves``. A leaf's split depends on its own
 rows only, so a pass takes all leaves at once that the best-first order could
 still reach; the result is the tree of one split after the other, in at most
-``max_depth`` passes.
+``max_depth`` passes. A leaf of at most ``SMALL`` rows is finished in one pass:
+its rows, in place of a histogram, go to one task, which splits on to the end.
 
 Gradients enter the histograms as integers of fixed scale, so sums, and with
 them the models, do not depend on partitioning or on tasks run twice. Row
@@ -30,6 +31,8 @@ from tarmac.session import run_folder
 
 #: Trees a pass may have to apply to a row before its scores are written anew.
 PENDING = 8
+#: Rows of a leaf that one task splits on to the end (about two megabytes).
+SMALL = 1 << 16
 #: Rows binned at a time, and the fewest and most rows of a part of the table.
 ROWS, SPREAD, PART_ROWS = 1 << 14, 1 << 11, 1 << 20
 
@@ -190,9 +193,9 @@ class _Growing:
     """A tree under construction. Nodes are known by their place in ``nodes``; a
     node is open until its best split (or that it has none) is known."""
 
-    def __init__(self, setting: Boost, cols: np.ndarray):
+    def __init__(self, setting: Boost, cols: np.ndarray, rows: int):
         self.setting, self.cols = setting, cols
-        self.nodes: list[dict] = [{"depth": 0, "n": None}]
+        self.nodes: list[dict] = [{"depth": 0, "n": rows}]
 
     def _chosen(self) -> list[int]:
         """Nodes that the best-first order splits, as far as splits are known."""
@@ -280,6 +283,37 @@ def best_split(hist: np.ndarray, sizes: np.ndarray, categorical: int, setting: B
     return best
 
 
+def finish(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, sizes: np.ndarray, categorical: int, setting: Boost,
+           cols: np.ndarray, scale: float) -> list[tuple[str, dict]]:
+    """Best splits of a leaf and of all leaves below it that the best-first order
+    could reach, from its rows: (path of 0 left and 1 right, split)."""
+    first, n_bins = np.cumsum(sizes) - sizes, int(sizes.sum())
+    out: list[tuple[str, dict]] = []
+    heap: list[tuple[float, int, str, np.ndarray]] = []
+
+    def look(path: str, rows: np.ndarray) -> None:
+        cell = (first + bins[rows]).ravel()
+        hist = np.stack([np.bincount(cell, np.repeat(g[rows], len(sizes)), n_bins), np.bincount(cell, np.repeat(h[rows], len(sizes)), n_bins),
+                         np.bincount(cell, minlength=n_bins)], axis=1).astype(np.int64)
+        found = best_split(hist, sizes, categorical, setting, cols, scale)
+        out.append((path, found))
+        if found["gain"] > 0:
+            heapq.heappush(heap, (-found["gain"], len(out), path, rows))
+
+    look("", np.arange(len(bins)))
+    for _ in range(setting.num_leaves - 1):
+        if not heap:
+            break
+        _, at, path, rows = heapq.heappop(heap)
+        found = out[at - 1][1]
+        left = np.frombuffer(found["left"], dtype=bool)[bins[rows, found["feat"]]]
+        for side, part in (("0", rows[left]), ("1", rows[~left])):
+            deep = 0 < setting.max_depth <= depth + len(path) + 1
+            if not deep and len(part) >= 2 * setting.min_rows:
+                look(path + side, part)
+    return out
+
+
 # ---------------------------------------------------------------------------
 # Training
 # ---------------------------------------------------------------------------
@@ -335,12 +369,14 @@ class _Trainer:
         sums = []
         for m, s in enumerate(settings):
             mine = F.when(F.get("member", F.lit(m)), F.col("w"))
+            sums.append(F.count(mine).alias(f"n{m}"))
             sums += [F.sum(mine).alias(f"w{m}"), F.sum(mine * F.col("y")).alias(f"y{m}")]
         row = table.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.max(F.abs("y")).alias("y"), *sums).first()
         self.boosters = [Booster(s, binner, self._base(s, row[f"w{m}"], row[f"y{m}"])) for m, s in enumerate(settings)]
         # Integer gradients: as fine as 64-bit (and exact double) sums allow.
         top = [max(row["w"] or 1.0, 1e-9) * (1.0 if s.objective == "logistic" else 4 * max(row["y"] or 1.0, 1.0)) for s in settings]
         self.scale = [2.0 ** min(30, math.floor(51 - math.log2(max(1.0, (row["n"] or 1) * t)))) for t in top]
+        self.rows = [row[f"n{m}"] for m in range(len(settings))]
         self.applied = [0] * len(settings)  # trees already in the written scores
         bases = F.array(*[F.lit(b.base) for b in self.boosters])
         self.table = table.withColumn("raw", bases)
@@ -392,7 +428,7 @@ class _Trainer:
         while True:
             for m, b in enumerate(self.boosters):
                 while m not in growing and len(b.trees) < b.setting.rounds:
-                    growing[m] = _Growing(b.setting, self._columns(b))
+                    growing[m] = _Growing(b.setting, self._columns(b), self.rows[m])
             if not growing:
                 return self.boosters
             if max(len(b.trees) - a for b, a in zip(self.boosters, self.applied)) >= PENDING:
@@ -423,16 +459,20 @@ class _Trainer:
             opened = tree.open_nodes()
             slot[[order.index(i) for i in opened]] = np.arange(len(opened))
             b = self.boosters[m]
-            work[m] = (shape, slot, opened, b.setting, len(b.trees), self.scale[m])
+            small = np.array([tree.nodes[i]["n"] <= SMALL for i in opened])
+            depth = [tree.nodes[i]["depth"] for i in opened]
+            work[m] = (shape, slot, opened, b.setting, len(b.trees), self.scale[m], small, depth)
         cols = {m: t.cols for m, t in growing.items()}
 
         def count(batches):
-            sums = {m: np.zeros((3, len(w[2]) * n_bins), dtype=np.int64) for m, w in work.items()}
+            large = {m: np.cumsum(~w[6]) - 1 for m, w in work.items()}  # place among the leaves with histograms
+            sums = {m: np.zeros((3, int((~w[6]).sum()) * n_bins), dtype=np.int64) for m, w in work.items()}
             for b in batches:
                 bins, raw = scored._scored(b, names, applied)
                 y, w, key = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
                 member = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                for m, (shape, slot, opened, s, t, scale) in work.items():
+                rows = []
+                for m, (shape, slot, opened, s, t, scale, small, _) in work.items():
                     on = member[:, m]
                     if s.row_rate < 1:
                         on = on & (_unit(key, s.seed * 1_000_003 + t) < s.row_rate)
@@ -441,36 +481,64 @@ class _Trainer:
                     on, at = on[at >= 0], at[at >= 0]
                     g, h = _gradients(s.objective, raw[on, m], y[on], w[on])
                     g, h = np.rint(g * scale), np.rint(h * scale)
-                    cell = ((at * n_bins)[:, None] + first + bins[on]).ravel()
+                    for k in np.flatnonzero(small).tolist():
+                        mine = at == k
+                        rows.append((m, k, b"".join((bins[on[mine]].tobytes(), g[mine].tobytes(), h[mine].tobytes()))))
+                    many = ~small[at]
+                    cell = ((large[m][at[many]] * n_bins)[:, None] + first + bins[on[many]]).ravel()
                     for k, v in enumerate((g, h, None)):
-                        v = None if v is None else np.repeat(v, len(sizes))
+                        v = None if v is None else np.repeat(v[many], len(sizes))
                         sums[m][k] += np.bincount(cell, weights=v, minlength=sums[m].shape[1]).astype(np.int64)
-            rows = [(m, k, sums[m][:, k * n_bins:(k + 1) * n_bins].T.tobytes()) for m, w in work.items() for k in range(len(w[2]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))],
-                                             names=["m", "k", "hist"])
+                yield parts([r for r in rows if r[2]])
+            yield parts([(m, k, sums[m][:, i * n_bins:(i + 1) * n_bins].T.tobytes())
+                         for m, w in work.items() for i, k in enumerate(np.flatnonzero(~w[6]).tolist())])
+
+        def parts(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))],
+                                              names=["m", "k", "data"])
 
         def decide(batches):
             sums: dict[tuple[int, int], np.ndarray] = {}
+            whole: dict[tuple[int, int], list[bytes]] = {}
             for b in batches:
-                for m, k, hist in zip(*[c.to_pylist() for c in b.columns]):
-                    part = np.frombuffer(hist, dtype=np.int64).reshape(-1, 3)
-                    if (m, k) in sums:
-                        sums[m, k] += part
+                for m, k, data in zip(*[c.to_pylist() for c in b.columns]):
+                    if work[m][6][k]:
+                        whole.setdefault((m, k), []).append(data)
+                    elif (m, k) in sums:
+                        sums[m, k] += np.frombuffer(data, dtype=np.int64).reshape(-1, 3)
                     else:
-                        sums[m, k] = part.copy()
-            rows = [{"m": m, "k": k, **best_split(x, sizes, cats, work[m][3], cols[m], work[m][5])} for (m, k), x in sums.items()]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                [("m", pa.int32()), ("k", pa.int32()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("gain", pa.float64()),
-                 ("feat", pa.int32()), ("left", pa.binary()), ("gl", pa.int64()), ("hl", pa.int64()), ("nl", pa.int64())]))
+                        sums[m, k] = np.frombuffer(data, dtype=np.int64).reshape(-1, 3).copy()
+            rows = [(m, k, 0, "", best_split(x, sizes, cats, work[m][3], cols[m], work[m][5])) for (m, k), x in sums.items()]
+            width = len(sizes)
+            for (m, k), some in whole.items():
+                n = [len(x) // (width + 16) for x in some]
+                bins = np.concatenate([np.frombuffer(x, np.uint8, c * width).reshape(c, width) for x, c in zip(some, n)])
+                g, h = (np.concatenate([np.frombuffer(x, np.float64, c, c * (width + 8 * i)) for x, c in zip(some, n)]) for i in (0, 1))
+                found = finish(bins, g, h, work[m][7][k], sizes, cats, work[m][3], cols[m], work[m][5])
+                rows += [(m, k, i, path, f) for i, (path, f) in enumerate(found)]
+            yield pa.RecordBatch.from_pylist([{"m": m, "k": k, "i": i, "path": path, **f} for m, k, i, path, f in rows], schema=pa.schema(
+                [("m", pa.int32()), ("k", pa.int32()), ("i", pa.int32()), ("path", pa.string()), ("g", pa.int64()), ("h", pa.int64()),
+                 ("n", pa.int64()), ("gain", pa.float64()), ("feat", pa.int32()), ("left", pa.binary()), ("gl", pa.int64()),
+                 ("hl", pa.int64()), ("nl", pa.int64())]))
 
         leaves = sum(len(w[2]) for w in work.values())
-        hists = self.table.select(*names).mapInArrow(count, "m int, k int, hist binary")
-        best = hists.repartition(min(8, leaves) if leaves < 64 else max(8, leaves // 16), "m", "k").mapInArrow(
-            decide, "m int, k int, g long, h long, n long, gain double, feat int, left binary, gl long, hl long, nl long")
-        for r in sorted(best.collect(), key=lambda r: (r["m"], r["k"])):  # a row for each open leaf
-            found = r.asDict()
-            found["left"] = np.frombuffer(found["left"], dtype=bool)
-            growing[found.pop("m")].learn(work[r["m"]][2][found.pop("k")], found)
+        data = self.table.select(*names).mapInArrow(count, "m int, k int, data binary")
+        best = data.repartition(min(8, leaves) if leaves < 64 else max(8, leaves // 16), "m", "k").mapInArrow(
+            decide, "m int, k int, i int, path string, g long, h long, n long, gain double, feat int, left binary, gl long, hl long, nl long")
+        at: dict[tuple[int, int, str], int] = {}
+        answered = set()
+        for r in sorted(best.collect(), key=lambda r: (r["m"], r["k"], r["i"])):  # rows for each open leaf, few each
+            m, k, path = r["m"], r["k"], r["path"]
+            node = at.get((m, k, path), work[m][2][k])
+            found = {c: r[c] for c in ("g", "h", "n", "gain", "feat", "gl", "hl", "nl")}
+            growing[m].learn(node, {**found, "left": np.frombuffer(r["left"], dtype=bool)})
+            answered.add((m, k))
+            for side, kid in enumerate(growing[m].nodes[node].get("kids", [])):
+                at[m, k, f"{path}{side}"] = kid
+        for m, w in work.items():  # a leaf that no row reached stays one
+            for k, i in enumerate(w[2]):
+                if (m, k) not in answered:
+                    growing[m].learn(i, {"g": 0, "h": 0, "n": 0, "gain": 0.0})
 
 
 def fit_many(table: DataFrame, binner: Binner, settings: list[Boost]) -> tuple[list[Booster], DataFrame]:

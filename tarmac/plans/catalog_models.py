@@ -21,10 +21,10 @@ from tarmac.sources.testview import flights_view, schedule_view
 
 SMOKE = {
     "rf_trees": 20,
-    "gbt_iter": 20,
+    "gbt_iter": 60,
     "gb_iter": 20,
-    "boost_iter": 20,
-    "curve_iter": 5,
+    "boost_iter": 60,
+    "curve_iter": 30,
 }
 
 

@@ -69,9 +69,11 @@ def straight(bins, sizes, y, w, s, cats):
     return trees, raw
 
 
-@pytest.mark.parametrize("leaves,depth", [(6, 8), (31, 3)])
-def test_trees_equal_one_split_after_the_other(spark, monkeypatch, leaves, depth):
+@pytest.mark.parametrize("leaves,depth,small", [(6, 8, 0), (31, 3, 150), (9, 8, 1000)])
+def test_trees_equal_one_split_after_the_other(spark, monkeypatch, leaves, depth, small):
+    """With histograms only, with small leaves finished in place, and whole trees so."""
     monkeypatch.setattr(B, "PENDING", 2)
+    monkeypatch.setattr(B, "SMALL", small)
     df = frame(spark)
     binner = B.fit_bins(df, ["a", "b", "c"], ["k"], 16)
     assert binner.categories["k"]["rare"] == 5 and binner.sizes[3] == 6
