@@ -41,6 +41,19 @@ def join_on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return out.drop(*[f"__r{c}" for c in KEY])
 
 
+def shielded(docs: DataFrame, *others: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of a leading double underscore, the operators'
+    own kind of name, and ``others`` under generated names, and the map of old
+    names to new."""
+    names = {c: f"kept_{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("__") or c in others}
+    return (docs.withColumnsRenamed(names) if names else docs), names
+
+
+def unshielded(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``shielded`` under their own names again."""
+    return out.withColumnsRenamed({new: old for old, new in names.items()}) if names else out
+
+
 def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ``limit`` bytes of one text or binary column
     (a longer value is a slice of its own), so that what is made of it stays small."""

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_on_key, quoted, shared_table, with_key
+from tarmac.llm.common import join_on_key, quoted, shared_table, shielded, unshielded, with_key
 
 #: Word characters: all but \x00-\x2F, \x3A-\x60 and \x7B-\x7F. Written as what
 #: is in the class, which the JVM matches ten times as fast as its complement.
@@ -135,14 +135,18 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **options) -> DataFrame:
     """``docs`` without its contaminated documents, columns as they were."""
+    docs, names = shielded(docs)
+    id_col, text_col = names.get(id_col, id_col), names.get(text_col, text_col)
     bad = benchmark_hits(docs, bench, id_col, text_col, **options).filter("contaminated").select("__id", "__tk").distinct()
-    return join_on_key(with_key(docs, id_col, text_col), bad, "left_anti").drop("__id", "__tk")
+    return unshielded(join_on_key(with_key(docs, id_col, text_col), bad, "left_anti").drop("__id", "__tk"), names)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  **options) -> DataFrame:
     """``docs`` with the hit words cut out of the text; what stands between
     words stays. A null text stays null."""
+    docs, names = shielded(docs)
+    id_col, text_col = names.get(id_col, id_col), names.get(text_col, text_col)
     hits = benchmark_hits(docs, bench, id_col, text_col, **options).filter("n_hit > 0").select(
         "__id", "__tk", "spans").dropDuplicates(["__id", "__tk"])
     both = join_on_key(with_key(docs, id_col, text_col), hits, "left")
@@ -159,5 +163,5 @@ def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         return ~(is_word & F.exists(spans, lambda s: (s["pos"] <= own) & (own < s["pos"] + s["len"])))
 
     cut = F.array_join(F.filter(parts, stays), "")
-    return both.withColumn(text_col, F.when(spans.isNotNull(), cut).otherwise(text)).select(
-        *[quoted(c) for c in docs.columns])
+    return unshielded(both.withColumn(text_col, F.when(spans.isNotNull(), cut).otherwise(text)).select(
+        *[quoted(c) for c in docs.columns]), names)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import quoted, with_key
+from tarmac.llm.common import quoted, shielded, unshielded, with_key
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -267,8 +267,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns only from ``text_col`` and a non-null ``lang_col`` of rows that are
     not held out; the language, like any other column, is not used to predict.
-    Ties go to the first label; repeated rows get equal answers.
+    Ties go to the first label; repeated rows get equal answers. Input columns
+    named ``__lang`` or ``__score`` are replaced; others of a leading double
+    underscore stay as they are.
     """
+    docs, hidden = shielded(docs.drop("__lang", "__score"))
+    id_col, text_col, lang_col = (hidden.get(c, c) for c in (id_col, text_col, lang_col))
     doc_id = F.col(quoted(id_col))
     may_learn = doc_id.isNotNull() & ~held_out(doc_id)
     keyed = with_key(docs, id_col, text_col)
@@ -285,4 +289,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())],
                                              names=[*names, "__lang", "__score"])
 
-    return docs.select(*[quoted(c) for c in names]).mapInArrow(run, schema)
+    return unshielded(docs.select(*[quoted(c) for c in names]).mapInArrow(run, schema), hidden)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_on_key, quoted, shared_table, with_key
+from tarmac.llm.common import join_on_key, quoted, shared_table, shielded, unshielded, with_key
 
 MIN_WORDS = 25
 
@@ -106,6 +106,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in the result. Documents of at least ``min_words`` words that repeat others
     entirely lose every word; shorter ones stay.
     """
+    docs, names = shielded(docs)
+    id_col, text_col = names.get(id_col, id_col), names.get(text_col, text_col)
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("__id", "__tk").agg(
         F.collect_set(F.struct("s", "e")).alias("__runs"))
     both = join_on_key(with_key(docs, id_col, text_col), runs, "left")
@@ -116,8 +118,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     done = both.withColumn("__cut", cut(F.col(quoted(text_col)), F.col("__runs")))
     keep = [c for c in docs.columns if c != "lines_removed"]
-    return done.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(quoted(c)) for c in keep],
-                       F.col("__cut.gone").alias("lines_removed"))
+    return unshielded(done.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(quoted(c)) for c in keep],
+                                  F.col("__cut.gone").alias("lines_removed")), names)
 
 
 def without_lines(text: str | None, runs) -> tuple[str | None, int]:

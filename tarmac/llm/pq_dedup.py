@@ -207,15 +207,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     ``kept`` (the row's id is its component's).
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing (n_links 0, a component of their own); so do rows with a
-    null id (component null, kept false). Vectors of different lengths never
+    link with nothing (n_links 0, a component of their own). A row with a null id
+    links like any other; it is never kept, and its component is null where no
+    member has an id. Vectors of different lengths never
     link. Rows that repeat a vector link with each other. Ids are identities:
     rows with one id share a component. Other columns are ignored.
     """
     rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vec_col)).alias("vec"))
-    rows = rows.withColumn("vh", F.when(_valid(F.col("vec")) & F.col("vec_id").isNotNull(), F.xxhash64("vec")))
-    classes = shared_table(rows.filter("vh IS NOT NULL").groupBy("vec", "vh").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors")
+    rows = rows.withColumn("vh", F.when(_valid(F.col("vec")), F.xxhash64("vec")))
+    # Classes without an id get numbers above all ids, so that they are never the smallest of others.
+    beyond = (rows.agg(F.max("vec_id")).first()[0] or 0) + 1
+    named = shared_table(rows.filter("vh IS NOT NULL").groupBy("vec", "vh").agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    classes = named.select("vec", "vh", F.coalesce("least", F.lit(max(beyond, 0)) + F.col("number")).alias("node"), "weight")
     sizes = {r[0]: r[1] for r in classes.groupBy(F.size("vec")).count().collect()}  # one row per length
     found = None
     for dim, n in sorted(sizes.items()):
@@ -232,7 +236,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         member.filter("vec_id <> node").select(F.col("vec_id").alias("src"), F.col("node").alias("dst")))
     comp = components(edges)
     counted = rows.join(classes, ["vec", "vh"], "left").join(near, ["node", "vh"], "left").join(
-        comp.withColumnRenamed("node", "n"), F.col("vec_id") == F.col("n"), "left")
+        comp.withColumnRenamed("node", "n"), F.coalesce("vec_id", "node") == F.col("n"), "left")
+    counted = counted.withColumn("component", F.when(F.col("component") < max(beyond, 0), F.col("component")))
     return counted.select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),

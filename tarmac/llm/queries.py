@@ -151,22 +151,23 @@ FROM d LEFT JOIN cnt USING (rid) LEFT JOIN its USING (rid)
 OP2_SQL = """
 WITH RECURSIVE e AS (
   SELECT row_number() OVER () AS rid, vec_id,
-         CASE WHEN vec_id IS NOT NULL AND len(embedding) > 0
+         CASE WHEN vec_id IS NULL THEN 'n' || row_number() OVER () ELSE 'v' || vec_id END AS nk,
+         CASE WHEN len(embedding) > 0
                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
                    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
               THEN CAST(embedding AS DOUBLE[]) END AS v
   FROM embeddings),
-u AS (SELECT rid, vec_id, v, len(v) AS n, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE v IS NOT NULL),
-p AS (SELECT a.rid, a.vec_id, b.vec_id AS other
+u AS (SELECT rid, nk, vec_id, v, len(v) AS n, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE v IS NOT NULL),
+p AS (SELECT a.rid, a.nk, b.nk AS other
       FROM u a JOIN u b ON a.rid <> b.rid AND a.n = b.n
       WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
 n AS (SELECT rid, count(*) AS n_links FROM p GROUP BY rid),
-r AS (SELECT DISTINCT vec_id AS s, vec_id AS t FROM u
-      UNION SELECT r.s, p.other FROM r JOIN p ON r.t = p.vec_id),
-c AS (SELECT s, min(t) AS component_id FROM r GROUP BY s)
+r AS (SELECT DISTINCT nk AS s, nk AS t FROM u
+      UNION SELECT r.s, p.other FROM r JOIN p ON r.t = p.nk),
+c AS (SELECT s, min(vec_id) AS component_id FROM r JOIN (SELECT DISTINCT nk, vec_id FROM u) k ON k.nk = r.t GROUP BY s)
 SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
        coalesce(coalesce(component_id, e.vec_id) = e.vec_id, false) AS kept
-FROM e LEFT JOIN n USING (rid) LEFT JOIN c ON c.s = e.vec_id
+FROM e LEFT JOIN n USING (rid) LEFT JOIN c ON c.s = e.nk
 """
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_on_key, quoted, shared_table, with_key
+from tarmac.llm.common import join_on_key, quoted, shared_table, shielded, unshielded, with_key
 from tarmac.llm.graph import components
 
 SEED = 42
@@ -217,7 +217,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group: the document with the smallest id
     (null ids last, equal ids by text hash), once if it is listed repeatedly."""
+    docs, names = shielded(docs)
+    id_col, text_col = names.get(id_col, id_col), names.get(text_col, text_col)
     rows = _grouped(docs, id_col, text_col, shingle, max_bits)
     first = rows.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("n"), "__id", "__tk")).alias("k"))
     kept = join_on_key(with_key(docs, id_col, text_col), first.select("k.__id", "k.__tk"), "left_semi")
-    return kept.dropDuplicates(["__id", "__tk"]).drop("__id", "__tk")
+    return unshielded(kept.dropDuplicates(["__id", "__tk"]).drop("__id", "__tk"), names)

@@ -273,23 +273,35 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(gamma, marg / total) and np.allclose(pairs, exp / total)
 
 
-def test_near_duplicate_vectors(spark):
+def test_near_duplicate_vectors(spark, monkeypatch):
     x = rng.normal(size=(150, 16))
     x = np.concatenate([x, x[:60] + rng.normal(scale=0.05, size=(60, 16)), x[:5], 3 * x[5:9]])
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None, 1.0]), (904, []), (None, x[0].tolist()), (905, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    u = x / np.linalg.norm(x, axis=1)[:, None]
+    u = np.concatenate([x, x[:1]])  # the null id has the vector of row 0
+    u /= np.linalg.norm(u, axis=1)[:, None]
     near = u @ u.T >= 0.95
-    comp = np.arange(len(x))
+    comp = np.arange(len(u))
     for _ in range(10):
         comp = np.array([comp[n].min() for n in near])
-    got = {r["vec_id"]: r for r in pq_dedup.near_duplicates(df).collect()}
-    assert len(got) == len(rows)
-    for i in range(len(x)):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, comp[i], comp[i] == i)
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
-    assert not got[None]["kept"] and pq_dedup.near_duplicates(df.limit(0)).count() == 0
+    for members, probes in ((pq_dedup.MEMBERS, pq_dedup.PROBES), (16, 8)):  # one block, several bins and blocks
+        monkeypatch.setattr(pq_dedup, "MEMBERS", members)
+        monkeypatch.setattr(pq_dedup, "PROBES", probes)
+        got = {r["vec_id"]: r for r in pq_dedup.near_duplicates(df).collect()}
+        assert len(got) == len(rows)
+        for i in range(len(x)):
+            assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, comp[i], comp[i] == i)
+        assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
+        assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (near[-1].sum() - 1, comp[-1], False)
+    assert pq_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_without_ids_and_repeated_rows(spark):
+    v, w = [1.0, 0.0], [0.999, 0.001]
+    df = spark.createDataFrame([(1, v), (None, v), (2, w), (2, w), (None, [0.0, 1.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r[0] or 0, r[1], r[2] or 0, r[3]) for r in pq_dedup.near_duplicates(df).collect()))
+    assert got == [(0, 1, 0, False), (0, 1, 0, False), (0, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False)]
 
 
 def test_pseudonyms(spark, docs, empty):
