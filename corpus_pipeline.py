@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import read_table, shared_table
+from tarmac.llm.common import read_table, shared_table, shielded, unshielded
 from tarmac.llm.decontam import drop_contaminated
 from tarmac.llm.langid import UNKNOWN, identify
 from tarmac.llm.line_dedup import dedup_lines
@@ -23,18 +23,25 @@ MIN_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents written in a language that could be recognised."""
-    known = identify(docs)
-    return known.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_SHARE)).select(*docs.columns)
+    """Keep documents written in a language that could be recognised. Null texts,
+    and texts without letters, have none and go; an empty table stays empty.
+    Columns that clash with the operator's own names are kept."""
+    plain, names = shielded(docs)
+    known = identify(plain)
+    kept = known.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_SHARE)).select(*plain.columns)
+    return unshielded(kept, names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeated runs of lines; documents that lose every word go."""
-    cut = dedup_lines(docs)
+    """Delete later repeated runs of lines; documents that lose every word go.
+    Null texts, and texts that were empty before, stay. ``n_chars`` follows the text."""
+    plain, names = shielded(docs, "lines_removed")
+    cut = dedup_lines(plain)
     emptied = (F.col("lines_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
-    return cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn(
+    kept = cut.filter(~F.coalesce(emptied, F.lit(False))).withColumn(
         "n_chars", F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    ).select(*plain.columns)
+    return unshielded(kept, names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
