@@ -60,8 +60,7 @@ def _baseline(sp, d):
 
 def _baseline_forest(sp, d):
     rows = MP.baseline_rows(flights_view(sp, d))
-    _, _, tables = MP.train_and_evaluate(rows, BASELINE_NUMERIC, BASELINE_CATEGORICAL, model_type="rf",
-                                         rf_trees=SMOKE["rf_trees"], rf_depth=20)
+    _, _, tables = MP.train_and_evaluate(rows, BASELINE_NUMERIC, BASELINE_CATEGORICAL, model_type="rf")
     return tables["classification_report"]
 
 

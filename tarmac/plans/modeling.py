@@ -32,6 +32,7 @@ from tarmac.operators.features import (
     subsample,
     with_row_key,
 )
+from tarmac.operators.forest import Forest, fit_forest
 from tarmac.operators.onehot import fit_one_hot
 from tarmac.schema import (
     BASELINE_CATEGORICAL,
@@ -339,30 +340,37 @@ def run_clustering(data: DataFrame, *, k: int = 5, restarts: int = 10, elbow_ks=
 # Baseline and route/event classifiers (scaled numerics + one-hot)
 # ---------------------------------------------------------------------------
 
-def _linear_or_forest(model_type: str, numeric, categorical, train: DataFrame, seed: int, lr_iter: int,
-                      rf_trees: int, rf_depth: int):
-    if model_type == "rf":
-        stages = M.linear_features(numeric, categorical) + [M.random_forest(rf_trees, rf_depth, seed)]
-    else:
-        penalty = M.l2_for_sklearn_c(train.agg(F.sum("weight")).first()[0])  # C = 1
-        stages = M.linear_features(numeric, categorical) + [M.logistic(lr_iter, penalty)]
-    return M.fit(stages, train)
+def _logistic_scores(numeric, categorical, train: DataFrame, test: DataFrame, keep: list[str], lr_iter: int):
+    # The encoder knows the training rows' categories; the vectors are written once for the iterative fits.
+    encoder = fit_one_hot(train, categorical)
+    train, test = materialize(encoder.transform(train)), encoder.transform(test)
+    penalty = M.l2_for_sklearn_c(train.agg(F.sum("weight")).first()[0])  # C = 1
+    model = M.fit(M.linear_features(numeric, categorical) + [M.logistic(lr_iter, penalty)], train)
+    return model, M.score(model, test, keep)
+
+
+def _forest_scores(numeric, categorical, train: DataFrame, test: DataFrame, keep: list[str], seed: int, rf_trees: int,
+                   rf_depth: int):
+    model = fit_forest(train, numeric, categorical, "label", "_row_key", Forest(trees=rf_trees, max_depth=rf_depth, seed=seed))
+    return model, model.score(test, [*keep, "label"])
 
 
 def train_and_evaluate(rows: DataFrame, numeric, categorical, *, model_type: str = "logreg",
                        test_fraction: float = 0.2, seed: int = 42, lr_iter: int = 200, rf_trees: int = 200,
-                       rf_depth: int = 20):
+                       rf_depth: int = 0):
     """Stratified split, balanced weights, fit, and the metric tables on
-    the test rows. Returns (model, scored test rows, tables)."""
+    the test rows. ``model_type`` is ``logreg`` (class weights of the training
+    rows) or ``rf`` (class weights of each tree's bag; ``rf_depth`` 0: trees
+    without a depth limit). Returns (model, scored test rows, tables)."""
     data = materialize(with_row_key(rows.withColumn("label", F.col("is_delayed").cast("int"))))
     split = split_rows(data, test_fraction, seed)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    # The encoder knows the training rows' categories; the vectors are written once for the iterative fits.
-    encoder = fit_one_hot(train, categorical)
-    train, test = materialize(encoder.transform(train)), encoder.transform(test)
-    model = _linear_or_forest(model_type, numeric, categorical, train, seed, lr_iter, rf_trees, rf_depth)
     keep = [c for c in ("origin", "dest", "event_name") if c in test.columns]
-    scored = materialize(M.score(model, test, keep))
+    if model_type == "rf":
+        model, scored = _forest_scores(numeric, categorical, train, test, keep, seed, rf_trees, rf_depth)
+    else:
+        model, scored = _logistic_scores(numeric, categorical, train, test, keep, lr_iter)
+    scored = materialize(scored)
     tables = {
         "metrics": E.binary_metrics(scored),
         "classification_report": E.classification_report(scored),
