@@ -8,8 +8,7 @@ the split and all metrics are DataFrame expressions and aggregates.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -58,15 +57,6 @@ def _depth(max_depth: int) -> int:
     return max_depth
 
 
-def random_forest(num_trees: int = 200, max_depth: int = 10, seed: int = 42, max_bins: int = 32,
-                  weight_col: str | None = "weight") -> RandomForestClassifier:
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=_depth(max_depth), seed=seed,
-                                maxBins=max_bins, featuresCol="features", labelCol="label")
-    if weight_col:
-        rf.setWeightCol(weight_col)
-    return rf
-
-
 def boosted_regressor(max_iter: int = 200, step: float = 0.05, max_depth: int = 5, seed: int = 42,
                       max_bins: int = 32) -> GBTRegressor:
     return GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=_depth(max_depth), seed=seed,
@@ -92,23 +82,6 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) ->
     return out.select(*cols)
 
 
-def kmeans(k: int = 5, seed: int = 42, max_iter: int = 100) -> KMeans:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||", featuresCol="features",
-                  predictionCol="cluster")
-
-
-def best_of_restarts(data: DataFrame, k: int, seeds: list[int], max_iter: int = 100):
-    """k-means from several seeds; the model with the least within-cluster
-    cost wins (the reference's ``n_init`` restarts)."""
-    best, best_cost = None, None
-    for s in seeds:
-        model = kmeans(k, s, max_iter).fit(data)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    return best, best_cost
-
-
 def silhouette(clustered: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                                metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(clustered)

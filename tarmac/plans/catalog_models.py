@@ -20,7 +20,6 @@ from tarmac.schema import BASELINE_CATEGORICAL, BASELINE_NUMERIC, ROUTE_CATEGORI
 from tarmac.sources.testview import flights_view, schedule_view
 
 SMOKE = {
-    "rf_trees": 20,
     "gbt_iter": 60,
     "gb_iter": 20,
     "boost_iter": 60,
@@ -33,7 +32,7 @@ def _data(sp, d):
 
 
 def _classification(sp, d, models=("logreg", "random_forest", "gbt")):
-    return MP.run_classification(_data(sp, d), rf_trees=SMOKE["rf_trees"], gbt_iter=SMOKE["gbt_iter"], models=models)
+    return MP.run_classification(_data(sp, d), gbt_iter=SMOKE["gbt_iter"], models=models)
 
 
 def _regression(sp, d):
@@ -86,8 +85,7 @@ def model_queries() -> dict[str, Query]:
         "event_risk": lambda sp, d: MP.event_risk(_route_scored(sp, d), 20),
         "regression_models": lambda sp, d: _regression(sp, d)["regression_models"],
         "cluster_profile": lambda sp, d: _clustering(sp, d)["cluster_profile"],
-        "kmeans_elbow": lambda sp, d: MP.run_clustering(
-            _data(sp, d), restarts=1, elbow_ks=list(range(2, 11)), elbow_restarts=1)["kmeans_elbow"],
+        "kmeans_elbow": lambda sp, d: MP.run_clustering(_data(sp, d), elbow_ks=list(range(2, 11)))["kmeans_elbow"],
         "gbt_tuning": lambda sp, d: MP.gbt_tuning(_data(sp, d), max_iter=SMOKE["curve_iter"]),
         "learning_curve": lambda sp, d: MP.learning_curve(_data(sp, d), max_iter=SMOKE["curve_iter"]),
         "complexity_curve": lambda sp, d: MP.complexity_curve(_data(sp, d), max_iter=SMOKE["curve_iter"]),

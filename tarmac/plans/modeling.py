@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from tarmac.functions import ROUND_DIGITS, route_key
 from tarmac.operators import boosting as B
 from tarmac.operators import evaluate as E
+from tarmac.operators import minibatch
 from tarmac.operators import models as M
 from tarmac.operators.clean import clean_flights
 from tarmac.operators.events import enrich_events, event_dimension, with_event_flag
@@ -154,10 +156,13 @@ def run_classification(
         fitted["logreg"] = M.fit(M.scaled_numeric(MODEL_NUMERIC, "features") +
                                  [M.logistic(lr_iter, M.l2_for_sklearn_c(sum_w))], train)
     if "random_forest" in models:
-        fitted["random_forest"] = M.fit([M.assembler(MODEL_NUMERIC), M.random_forest(rf_trees, rf_depth, seed)], train)
+        setting = Forest(trees=rf_trees, max_depth=rf_depth, weights="rows", seed=seed)
+        forest = fit_forest(train, MODEL_NUMERIC, [], "label", "_row_key", setting, max_bins)
     params = {"max_depth": 8, **(gbt_params or {})}
     gbt_model = boosted_model(train, B.Boost(rounds=gbt_iter, seed=seed, **params), max_bins)
     scored = {name: materialize(M.score(m, test)) for name, m in fitted.items()}
+    if "random_forest" in models:
+        scored["random_forest"] = materialize(forest.score(test, ["label"]))
     gbt_scored = scored["gbt"] = materialize(gbt_model.score(test, ["label"]).select("label", "prediction", "p"))
     spark: SparkSession = data.sparkSession
     imp = spark.createDataFrame(
@@ -303,20 +308,24 @@ def run_regression(data: DataFrame, *, gb_iter: int = 200, boost_iter: int = 300
 
 def run_clustering(data: DataFrame, *, k: int = 5, restarts: int = 10, elbow_ks=None,
                    elbow_restarts: int = 10) -> dict[str, DataFrame]:
-    """k-means on scaled distance/elapsed/departure features (best of
-    ``restarts`` seeds); cluster sizes, feature means, delay rate and mean
+    """Mini-batch k-means on scaled distance/elapsed/departure features (best of
+    ``restarts`` starts); cluster sizes, feature means, delay rate and mean
     delay per cluster, by falling delay rate; the scatter holds all rows;
     optional elbow/silhouette table over ``elbow_ks``."""
     feats = [c for c in CLUSTER_FEATURES if c in data.columns]
     spark = data.sparkSession
     if len(feats) < 3:
         return {}
-    rows = data.select(*feats, "arr_delay").dropna(subset=feats)
+    rows = data.select(*feats, "arr_delay", _key(data).alias("_row_key")).dropna(subset=feats)
     rows = materialize(rows)
     prep = M.fit(M.scaled_numeric(feats, "features"), rows)
-    scaled = materialize(prep.transform(rows).select(*feats, "arr_delay", "features"))
-    model, cost = M.best_of_restarts(scaled, k, [42 + i for i in range(restarts)])
-    clustered = model.transform(scaled)
+    scaled_cols = [f"_x{i}" for i in range(len(feats))]
+    vector = vector_to_array("features")
+    scaled = materialize(prep.transform(rows).select(*feats, "arr_delay", "_row_key", "features",
+                                                     *[vector[i].alias(c) for i, c in enumerate(scaled_cols)]))
+
+    model = minibatch.fit(scaled, scaled_cols, "_row_key", k, seed=42, starts=restarts)
+    clustered = model.assign(scaled)
     profile = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
         *[_r(F.avg(c)).alias(f"mean_{c}") for c in feats],
@@ -329,9 +338,11 @@ def run_clustering(data: DataFrame, *, k: int = 5, restarts: int = 10, elbow_ks=
     }
     if elbow_ks:
         pts = []
-        for kk in elbow_ks:
-            m, c = M.best_of_restarts(scaled, kk, [42 + i for i in range(elbow_restarts)])
-            pts.append((int(kk), float(c), float(M.silhouette(m.transform(scaled)))))
+        models = minibatch.fit_many(scaled, scaled_cols, "_row_key", list(elbow_ks), seed=42, starts=elbow_restarts)
+        for kk, m in zip(elbow_ks, models):
+            found = m.assign(scaled, distance="_d")
+            cost = found.agg(F.sum("_d")).first()[0] or 0.0
+            pts.append((int(kk), float(cost), float(M.silhouette(found))))
         out["kmeans_elbow"] = spark.createDataFrame(pts, "k int, inertia double, silhouette double")
     return out
 
