@@ -16,8 +16,10 @@ from tarmac.llm.common import quoted
 
 ROUNDS = 8
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: A card's number among other digits (an expiry date, a check code, a count).
+CARD_PART = r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)"
 PHONE = r"(?<![\w.-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
@@ -29,6 +31,9 @@ NUMERIC = "(?=[0-9+(])(?:" + "|".join([ISO_DATE, US_DATE, EU_DATE, PHONE, SSN, C
 ANY = f"{NUMERIC}|{EMAIL}"
 #: Dates are permuted within 1900 to 2099, which has 17 x 4297 days.
 DAYS = (17, 4297)
+#: Letters beyond ASCII in mail names: Latin-1, Greek and Cyrillic, small and capital.
+LETTERS = ["".join(chr(c) for c in range(low, high + 1) if c not in (0xD7, 0xF7, 0x3A2, 0x3C2)) for low, high in (
+    (0xE0, 0xFE), (0xC0, 0xDE), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F))]
 
 
 def _round(key: str, tag: str, turn: Column, half: Column) -> Column:
@@ -94,6 +99,19 @@ def luhn_digit(body: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
+    """The whole run of digits if it is a valid number, else the valid numbers in it."""
+    def rebuilt(new: Column) -> Column:
+        old = F.regexp_extract_all(value, F.lit(f"({CARD_PART})"), F.lit(0))
+        filled = F.zip_with(old, new, lambda o, n: F.coalesce(n, o))
+        joined = F.array_join(F.zip_with(F.split(value, CARD_PART, -1), filled,
+                                         lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+        return F.when(F.exists(new, lambda n: n.isNotNull()), joined)
+
+    parts = F.transform(F.regexp_extract_all(value, F.lit(f"({CARD_PART})"), F.lit(0)), lambda v: _card_number(v, key))
+    return _let(_card_number(value, key), lambda whole: F.coalesce(whole, _let(parts, rebuilt)))
+
+
+def _card_number(value: Column, key: str) -> Column:
     def size(k: Column) -> Column:
         return F.pow(F.lit(10.0), k).cast("long")
 
@@ -182,8 +200,12 @@ def _email(value: Column, key: str) -> Column:
                 def ring(low: int, size: int) -> Column:
                     return F.char(F.pmod(code - low + by, F.lit(size)) + low)
 
-                return (F.when(code.between(48, 57), ring(48, 10)).when(code.between(65, 90), ring(65, 26))
-                        .when(code.between(97, 122), ring(97, 26)).otherwise(ch))
+                out = (F.when(code.between(48, 57), ring(48, 10)).when(code.between(65, 90), ring(65, 26))
+                       .when(code.between(97, 122), ring(97, 26)).when(code < 192, ch))
+                for some in LETTERS:
+                    at = F.instr(F.lit(some), ch)
+                    out = out.when(at > 0, F.substr(F.lit(some), F.pmod(at - 1 + by, F.lit(len(some))) + 1, F.lit(1)))
+                return out.otherwise(ch)
 
             return F.array_join(F.transform(F.split(text, ""), move), "")
 
@@ -217,6 +239,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     Cards (Luhn), North American phone numbers, social security numbers, IPv4
     addresses, dates from 1900 to 2099 and the local parts of mail addresses.
+    A card may stand beside other digits (an expiry date, a check code). Mail names
+    may hold any letters; Latin, Greek and Cyrillic ones are replaced, others stay.
     Values that look alike but are not valid stay. Null stays null (0 replaced).
     Work is per row: nothing is shuffled, and repeated rows get equal answers.
     ``key`` is a secret of the caller; the same key keeps values linked.

@@ -318,6 +318,23 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(docs, "k").count() == len(ROWS) and pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_pseudonyms_among_other_signs(spark):
+    card = "4173893178530722"
+    texts = [f"{card} 12/27", f"{card} 123", f"2 {card}", "4173 8931 7853 0722 123", "jos\u00e9@x.com", "_john@x.com", "-john@x.com",
+             "andr\u00e9.46@mail8.example.com", ".john@x.com", "\u0438\u0432\u0430\u043d@x.com", "@x.com", "4173893178530723 12/27", f"{card} 2024-02-29"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
+    new = [out[i]["text"] for i in range(len(texts))]
+    alone = pii.pseudonymise(spark.createDataFrame([(0, card)], "doc_id long, text string"), "k").first()["text"]
+    assert alone != card and new[:3] == [f"{alone} 12/27", f"{alone} 123", f"2 {alone}"]
+    assert new[3].replace(" ", "") == alone + "123" and len(new[3]) == len(texts[3])
+    for i in range(4, 10):
+        assert out[i]["n_replaced"] == 1 and len(new[i]) == len(texts[i]) and new[i].endswith(texts[i][texts[i].index("@"):])
+        local, was = new[i].split("@")[0], texts[i].split("@")[0]
+        assert local != was and [c.isalpha() for c in local] == [c.isalpha() for c in was] and local[-1] != was[-1] or local[:-1] != was[:-1]
+    assert new[10:12] == texts[10:12] and out[12]["n_replaced"] == 2 and new[12].startswith(alone + " ")
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
