@@ -20,6 +20,7 @@ from tarmac.schema import BASELINE_CATEGORICAL, BASELINE_NUMERIC, ROUTE_CATEGORI
 from tarmac.sources.testview import flights_view, schedule_view
 
 SMOKE = {
+    "rf_trees": 20,
     "gbt_iter": 60,
     "gb_iter": 20,
     "boost_iter": 60,
@@ -32,7 +33,7 @@ def _data(sp, d):
 
 
 def _classification(sp, d, models=("logreg", "random_forest", "gbt")):
-    return MP.run_classification(_data(sp, d), gbt_iter=SMOKE["gbt_iter"], models=models)
+    return MP.run_classification(_data(sp, d), rf_trees=SMOKE["rf_trees"], gbt_iter=SMOKE["gbt_iter"], models=models)
 
 
 def _regression(sp, d):
