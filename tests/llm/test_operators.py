@@ -343,7 +343,7 @@ def test_feistel_is_a_permutation(spark):
     assert p.distinct().count() == 17 * 40
 
 
-def test_quality(spark, docs, empty):
+def quality_rows():
     rows, labels = [], []
     for i in range(200):
         good = i % 2
@@ -351,7 +351,11 @@ def test_quality(spark, docs, empty):
         rows.append((i, words, "en", f"src{i % 3}", 100))
         if i < 120:
             labels.append((i, good))
-    labels += [(None, 1), (3, None), (1, 1)]
+    return rows, labels + [(None, 1), (3, None), (1, 1)]
+
+
+def test_quality(spark, docs, empty):
+    rows, labels = quality_rows()
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
     out = quality.score_quality(spark.createDataFrame(rows, SCHEMA), lab).filter("doc_id >= 120").collect()
     assert sum(r["keep"] == bool(r["doc_id"] % 2) for r in out) >= 0.95 * len(out)
@@ -359,6 +363,55 @@ def test_quality(spark, docs, empty):
     assert {r["score"] for r in quality.score_quality(docs, lab.limit(0)).collect()} == {0.5}
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    rows, labels = quality_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows += [rows[7], rows[8], (None, None, None, None, None), (None, prose(30), "en", "src1", 3)]
+    got = [sorted(map(tuple, quality.score_quality(spark.createDataFrame(rows, SCHEMA).repartition(n), lab).collect()), key=repr)
+           for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def test_quality_exchange_against_plain_counts(spark):
+    """One round over all unlabelled documents, counted by hand: each view's
+    sure answers are counted in the other view only."""
+    rows, labels = quality_rows()
+    lab = dict(labels[:120])
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "n")
+    table = quality.features(df).join(spark.createDataFrame(list(lab.items()), "doc_id long, good int"), "doc_id", "left")
+    table = table.withColumn("good", table["good"] == 1)
+    plain = {r["doc_id"]: (set(np.frombuffer(r["words"], "<u2").tolist()), np.frombuffer(r["rest"], "<u2").tolist())
+             for r in table.collect()}
+    for i, text, lang, source, n in rows:
+        assert plain[i][0] == {zlib.crc32(w.lower().encode()) % quality.BUCKETS for w in text.split()}
+        assert plain[i][1][quality.STATS:] == quality.meta_ids(source, lang, n, text)
+
+    def by_hand(given):  # {document: (class in the text view, class in the metadata view)}
+        out = np.zeros((2, quality.SIZE), dtype=np.int64)
+        for i, (text, meta) in given.items():
+            for x in [*plain[i][0], *(quality.BUCKETS + s for s in plain[i][1][:quality.STATS])] if text is not None else []:
+                out[text, x] += 1
+            for x in plain[i][1][quality.STATS:] if meta is not None else []:
+                out[meta, quality.TEXT_SIZE + x] += 1
+        return out
+
+    true = quality.tally(table.filter("good IS NOT NULL"))
+    assert (true == by_hand({i: (g, g) for i, g in lab.items()})).all()
+    kept = table.filter("good IS NOT NULL").collect()
+    one = quality.Rows.of([bytes(r["words"]) for r in kept], [bytes(r["rest"]) for r in kept])
+    views = quality.Views.of(true).calibrate(one, np.array([float(r["good"]) for r in kept]))
+    views.meta = np.array([0.0] * quality.META + [quality.SURE])  # sure of good whatever the page
+    given = {}
+    for i in plain:
+        if i not in lab:
+            z = views.logits(quality.Rows.of([np.array(sorted(plain[i][0]), "<u2").tobytes()], [np.array(plain[i][1], "<u2").tobytes()]))[0][0]
+            given[i] = (1, int(z > 0) if abs(z) >= quality.SURE else None)
+    pseudo = quality.tally(table.filter("good IS NULL"), views)
+    assert (pseudo == by_hand(given)).all() and pseudo[0].any()
+    joined = quality.joined_counts(true, 1000 * pseudo)
+    assert joined.sum() <= 2 * true.sum() + 1e-6
+
+
 def test_pseudo_likelihood(spark, docs, empty):
     out = pseudo_lm.score_documents(docs).collect()
     assert len(out) == len(ROWS) and pseudo_lm.score_documents(empty).count() == 0
