@@ -10,12 +10,15 @@ The windows of a shared run cover all its lines: if the run has ``min_words``
 words up to a line, the window that ends there lies inside it, and otherwise the
 window that starts at the run's first line reaches past that line.
 
-Positions are joined on their fingerprints: only fingerprints that occur at
-several positions are followed. Their windows with the same lines are grouped by
-a digest, and every one but the first (by document id, text hash and line) is a
-later repeat. Overlapping repeats merge into runs, whose lines are deleted.
-Groups are only ever counted and reduced to their first member, so no pairs
-arise in a group of any size.
+Positions with one fingerprint match as far as the lines on both sides of it
+agree. A match is extended from the fingerprint's line back to a window's first
+line and on to its last, and 128-bit digests of the windows' lines tell which
+positions agree that far. Of those, every one but the first (by document id,
+text hash and line) is a later repeat; overlapping repeats merge into runs that
+reach as far as any earlier document agrees, and their lines are deleted.
+Positions that agree are reduced to the first before the shuffle and then joined
+to it, so no pairs arise, and a frequent line is one key for each different
+window around it, not one for all of them.
 """
 
 from __future__ import annotations
@@ -27,54 +30,54 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_on_key, quoted, shared_table, shielded, unshielded, with_key
+from tarmac.llm.common import byte_slices, join_on_key, quoted, shared_table, shielded, unshielded, with_key
 
 MIN_WORDS = 25
 
 
-def line_windows(raw: bytes, min_words: int) -> list[tuple[int, int, int, int, int]]:
+def line_windows(raw: bytes, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
     """Windows of a text, from and up to every line: (first line, last line,
-    fingerprint, its line, digest). Lines are numbered in the text, blank ones
+    fingerprint, its line, 16-byte digest). Lines are numbered in the text, blank ones
     included, from 0."""
-    at, hashes, words = [], [], []
+    at, digests, words = [], [], []
     for i, line in enumerate(raw.split(b"\n")):
         n = len(line.split())
         if n:
             at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(line.strip()))
+            digests.append(xxhash.xxh3_128_digest(line.strip()))
             words.append(n)
     total = np.concatenate(([0], np.cumsum(words))).astype(np.int64)
     ends = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
     starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    h = np.array(hashes, dtype="<u8")
+    joined = b"".join(digests)
+    h = np.frombuffer(joined, dtype="<u8")[::2]
     out = []
     forwards = {(s, e) for s, e in enumerate(ends.tolist()) if e < len(at)}
     for s, e in sorted(forwards.union((s, e) for e, s in enumerate(starts.tolist()) if s >= 0)):
-        if s == e:
-            low, digest = s, hashes[s]
-        else:
-            low, digest = s + int(h[s:e + 1].argmin()), xxhash.xxh64_intdigest(h[s:e + 1].tobytes())
-        out.append((at[s], at[e], hashes[low], at[low], digest))
+        low = s + int(h[s:e + 1].argmin())
+        digest = digests[s] if s == e else xxhash.xxh3_128_digest(joined[16 * s:16 * e + 16])
+        out.append((at[s], at[e], int(h[low]), at[low], digest))
     return out
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     src = docs.select("__id", "__tk", F.col("__text").cast("binary").alias("raw")).filter("raw IS NOT NULL")
-    schema = f"__id {src.schema['__id'].dataType.simpleString()}, __tk long, s int, e int, f long, p int, c long"
+    schema = f"__id {src.schema['__id'].dataType.simpleString()}, __tk long, s int, e int, f long, c binary"
 
     def run(batches):
-        for b in batches:
-            row, found = [], []
-            for i, raw in enumerate(b.column(2)):
-                w = line_windows(raw.as_py(), min_words)
-                row += [i] * len(w)
-                found += w
-            s, e, f, p, c = (np.array(x, dtype=object) for x in zip(*found)) if found else [np.empty(0)] * 5
-            take = pa.array(row, pa.int64())
-            signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)),
-                 signed(f), pa.array(p.astype(np.int32)), signed(c)], names=["__id", "__tk", "s", "e", "f", "p", "c"])
+        for batch in batches:
+            for b in byte_slices(batch, 2):
+                row, found = [], []
+                for i, raw in enumerate(b.column(2)):
+                    w = line_windows(raw.as_py(), min_words)
+                    row += [i] * len(w)
+                    found += w
+                s, e, f, _, c = zip(*found) if found else [()] * 5
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(s, pa.int32()), pa.array(e, pa.int32()),
+                     pa.array(np.array(f, dtype=np.uint64).view(np.int64)), pa.array(c, pa.binary())],
+                    names=["__id", "__tk", "s", "e", "f", "c"])
 
     return src.mapInArrow(run, schema)
 
@@ -85,13 +88,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``s``, ``e`` (first and last line); overlapping ones form the runs."""
     rows = with_key(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text")), id_col, "__text")
     win = shared_table(_windows(rows, min_words), "windows")
-    selected = win.groupBy("f").agg(F.min(F.struct("__id", "__tk", "p")).alias("lo"), F.max(F.struct("__id", "__tk", "p")).alias("hi"))
-    followed = selected.filter("lo <> hi").select("f")
+    place = F.struct("__id", "__tk", "s")
+    agreed = win.groupBy("f", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # A repeated row has equal positions and is the same document: no repeat of itself.
-    matched = win.join(followed, "f")
-    first = matched.groupBy("f", "c").agg(F.min(F.struct("__id", "__tk", "s")).alias("first"))
-    return (matched.join(first, ["f", "c"]).filter(F.struct("__id", "__tk", "s") != F.col("first"))
-            .select("__id", "__tk", "s", "e"))
+    several = agreed.filter("first <> last").select("f", "c", "first")
+    return win.join(several, ["f", "c"]).filter(place != F.col("first")).select("__id", "__tk", "s", "e")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
