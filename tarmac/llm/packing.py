@@ -6,7 +6,9 @@ the gap that a length leaves is looked up among the single lengths, the sums of
 two and the sums of three that are still available (exact complements); a found
 combination is consumed as often as its counts allow. What has no exact
 complement is filled best-fit. The plan, a list of patterns with repeat counts,
-is then dealt to the pieces by their rank within their length.
+is then dealt to the pieces by their rank within their length. A piece of full
+length is a sequence and needs no rank; the others are ranked in as many buckets
+as their length's count asks for.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import quoted, shared_table
@@ -27,7 +29,8 @@ CAPACITY = 2048
 #: ``tokenizers`` library; the rest to the same vocabulary as ranks, which
 #: gives the same ids several times as fast.
 PLAIN = re.compile("[^\x00-ɏ]|<\\|")
-RANK_BUCKETS = 64
+#: Pieces of one length that a task ranks at once, about.
+RANKED_TOGETHER = 50_000
 
 _TOKENIZERS: dict[str, object] = {}
 
@@ -175,18 +178,23 @@ def _places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces_table: DataFrame, capacity: int = CAPACITY, row: Column | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces with a ``length``
-    from 1 to ``capacity``. The table is read twice and should be materialised.
-    Repeated rows are packed each; an empty table gives an empty result."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS))
-    rows = pieces_table.withColumn("__b", bucket)
-    sizes = shared_table(rows.groupBy("length", "__b").agg(F.count("*").alias("n")), "lengths")
+    from 1 to ``capacity``. The table is read several times and should be
+    materialised. Repeated rows are packed each, and spread over the buckets of
+    their length when ``row`` tells them apart; an empty table gives an empty result."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
+    for r in pieces_table.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["n"]
-    places = _places(plan(counts, capacity))
-
+    buckets = -(-counts // RANKED_TOGETHER)
+    counts[capacity] = 0
+    patterns = plan(counts, capacity)
+    places, sequences = _places(patterns), sum(times for _, times in patterns)
+
+    among = F.get(F.split(F.lit(",".join(map(str, buckets))), ",").cast("array<int>"), F.col("length").cast("int"))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *([] if row is None else [row])), among)
+    rows = pieces_table.withColumn("__b", bucket).filter(F.col("length") < capacity)
+    sizes = shared_table(rows.groupBy("length", "__b").agg(F.count("*").alias("n")), "lengths")
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
     within = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32", "start")
@@ -208,10 +216,15 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             cols = [b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*[quoted(c) for c in names], "__rank").mapInArrow(deal, schema)
+    dealt = ranked.select(*[quoted(c) for c in names], "__rank").mapInArrow(deal, schema)
+    full = pieces_table.filter(F.col("length") == capacity).select(
+        *[quoted(c) for c in names], (F.monotonically_increasing_id() + sequences).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))
+    return dealt.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY,
                    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack whole documents; see ``pieces`` and ``pack``."""
-    return pack(shared_table(pieces(docs, json_path, ranks_path, capacity, id_col, text_col, with_ids), "pieces"), capacity)
+    table = shared_table(pieces(docs, json_path, ranks_path, capacity, id_col, text_col, with_ids), "pieces")
+    return pack(table, capacity, F.xxhash64("_metadata.file_name", "_metadata.row_index"))
