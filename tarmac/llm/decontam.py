@@ -24,7 +24,8 @@ SHARE = 20
 #: Bitmap bits for each test n-gram, and the largest bitmap (1 MB). A fuller
 #: bitmap only lets more windows through to the exact join.
 BITS_PER_GRAM, MAX_BITS = 256, 1 << 23
-#: Test n-grams of more bytes than this are joined by a shuffle instead.
+#: Test n-grams of more bytes than this, the items' ids included, are joined by a
+#: shuffle instead.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -88,7 +89,8 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     get equal answers; other columns are ignored.
     """
     grams = shared_table(test_ngrams(bench, item_col, item_text_col, ngram), "ngrams")
-    stat = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram") + 64), F.lit(0)).alias("bytes"),
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    stat = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram") + ids + 64), F.lit(0)).alias("bytes"),
                      F.sort_array(F.collect_set("len")).alias("lens")).first()  # lens: at most ngram values
     bits = 1 << 12
     while bits < min(MAX_BITS, BITS_PER_GRAM * stat["n"]):

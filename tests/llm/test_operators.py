@@ -13,9 +13,10 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarmac.llm import (
-    decontam, langid, line_dedup, packing, pii, pq_dedup, pseudo_lm, quality, simhash, suffix,
+    common, decontam, langid, line_dedup, packing, pii, pq_dedup, pseudo_lm, quality, simhash, suffix,
 )
 from tarmac.llm.graph import components
 from tarmac.llm.queries import vocabulary
@@ -118,6 +119,17 @@ def test_decontamination(spark, docs, empty):
     assert None in cut and not any(item in (t or "") for t in cut)
 
 
+def test_decontamination_joined_by_a_shuffle(spark, docs, monkeypatch):
+    """Beyond the size bound, which counts the items' ids, the answers are the same."""
+    bench = spark.createDataFrame([(f"item {i:040d}", " ".join(PASSAGE.split()[5:30])) for i in range(30)], "item_id string, text string")
+    wide = decontam.benchmark_hits(docs, bench)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 5000)  # less than the ids, more than the 13 n-grams alone
+    joined = decontam.benchmark_hits(docs, bench)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(wide) and "strategy=broadcast" not in plan(joined)
+    assert sorted(map(str, wide.collect())) == sorted(map(str, joined.collect()))
+
+
 def test_line_dedup(docs, empty):
     order = sorted({(r[0] is not None, r[0] or 0, r[1] is not None and r[1], r[1]) for r in ROWS if r[1] is not None},
                    key=lambda r: (r[0], r[1]))
@@ -139,6 +151,21 @@ def test_line_windows_cover_short_lines():
     assert len(shared) == 4  # every window inside the shared run, by fingerprint and digest
 
 
+def test_line_windows_by_plain_minima():
+    text = "\n".join([prose(9), "", prose(4), prose(30), " ", prose(13), prose(13), prose(2)])
+    lines = [(i, x.strip().encode()) for i, x in enumerate(text.split("\n")) if x.strip()]
+    want = set()
+    for s in range(len(lines)):
+        for e in range(s, len(lines)):
+            n = [len(x.split()) for _, x in lines[s:e + 1]]
+            if sum(n) >= 25 and (sum(n[:-1]) < 25 or sum(n[1:]) < 25):
+                digests = [xxhash.xxh3_128_digest(x) for _, x in lines[s:e + 1]]
+                f, at = min((int.from_bytes(d[:8], "little"), i) for d, (i, _) in zip(digests, lines[s:e + 1]))
+                want.add((lines[s][0], lines[e][0], f, at, digests[0] if s == e else xxhash.xxh3_128_digest(b"".join(digests))))
+    got = line_dedup.line_windows(text.encode(), 25)
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_line_dedup_takes_whole_runs(spark):
     """Short lines behind the last full window go too, whichever earlier
     document they repeat; against all pairs of positions."""
@@ -190,6 +217,28 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_packing_of_full_and_repeated_pieces(spark, monkeypatch):
+    """Full pieces are sequences of their own; equal rows go to several buckets."""
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 4)
+    gen = np.random.default_rng(4)
+    rows = [(i, 0, 0, int(n), 7) for i, n in enumerate(gen.integers(1, 12, 60))] + [(1, 0, 0, 6, 7)] * 40
+    rows += [(100, k, 12 * k, 12, 7) for k in range(30)] + [(101, 0, 0, 12, 7)] * 5
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    path = common.shared_table(table, "test-pieces")
+    got = collections.defaultdict(list)
+    for r in packing.pack(path, 12, F.xxhash64("_metadata.file_name", "_metadata.row_index")).collect():
+        got[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in got.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 12
+    assert sorted(n for places in got.values() for _, n in places) == sorted(r[3] for r in rows)
+    rest = np.bincount([r[3] for r in rows if r[3] < 12], minlength=13)
+    assert len(got) == 35 + sum(times for _, times in packing.plan(rest, 12))  # the plan's sequences and the full pieces
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
