@@ -47,3 +47,16 @@ def test_leaf_of_many_rows_is_finished_by_one_task():
         assert found["feat"] != 2
         paths[path] = found
     assert B.SMALL >= 1 << 20 and len(got) > 8
+
+
+def test_forest_node_looks_at_no_more_features_than_it_tries(monkeypatch):
+    from tarmac.operators import forest as T
+
+    seen = []
+    one = T._best_of_feature
+    monkeypatch.setattr(T, "_best_of_feature", lambda part, *rest: seen.append(len(part)) or one(part, *rest))
+    rng = np.random.default_rng(6)
+    hist, sizes = rng.integers(1, 9, (50, 9, 4, 2)).reshape(50, 36, 2), np.full(9, 4)
+    hist[:, :, :] = np.tile(hist[:, :4], (1, 9, 1))  # each feature holds the same rows
+    feat, _, gain = T.best_splits(hist, sizes, 9, np.arange(50, dtype=np.uint64), T.Forest(), np.ones(2))
+    assert sum(seen) == 50 * 3 and (feat != T.LEAF).all() and (gain >= 0).all()
