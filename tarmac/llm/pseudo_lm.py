@@ -5,8 +5,8 @@ frequent words are classes of their own; the others fall into hash classes. A
 network predicts every word's class from the words on both sides of it (a window
 of ``SIDE`` each way): the neighbours' embeddings, weighted by position, feed a
 hidden layer and a softmax. Inside its class a word has its share of the class's
-count, which a join on the word brings to the documents. It is trained in numpy
-by parallel gradient descent: in each round all partitions start from the same
+count, which a join on the word brings to the documents. Texts are cut into words
+once and kept as numbers; all later passes read these. It is trained in numpy by parallel gradient descent: in each round all partitions start from the same
 parameters, train on their share of the positions, and the results are averaged
 by the number of positions; every position is trained on in one of the rounds. A document's score is the sum of its words'
 conditional log-probabilities.
@@ -14,9 +14,11 @@ conditional log-probabilities.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,65 +26,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import byte_slices, quoted, shared_table
+from tarmac.session import ensure_checkpoint_dir
 
 FREQUENT, OTHERS, SIDE, WIDTH = 159, 32, 2, 24
 VOCAB = FREQUENT + OTHERS + 1  # and the edge of a text
 EDGE = VOCAB - 1
 #: The rounds take turns at the positions, so that each is a target once.
 ROUNDS, BATCH, RATE = 2, 256, 0.15
-WORD = re.compile(r"\w+")
-CACHE, STEP = 50_000, 1 << 13
+#: Different words and words in all after which a row of coded texts ends.
+CACHE, LENGTH = 50_000, 1 << 20
+#: Positions scored at a time, and up to which size an exponent needs no shift.
+STEP, PLAIN = 1 << 10, 60.0
 SHAPES = {"emb": (VOCAB, WIDTH), "mix": (2 * SIDE, WIDTH, WIDTH), "bias": (WIDTH,), "out": (WIDTH, VOCAB), "base": (VOCAB,)}
+ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
+@lru_cache(maxsize=1)
+def _no_word() -> np.ndarray:
+    """For every code point, whether it is outside ``\\w``."""
+    return np.array([not (chr(i).isalnum() or i == 95) for i in range(0x110000)])
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``word``, ``n`` over all documents."""
 
-    def run(batches):
-        c: Counter[str] = Counter()
+def words_of(text: str | None) -> list[str]:
+    r"""The runs of ``\w`` of the lower-cased text: all else becomes a space."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(ASCII).decode().split()
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where(_no_word()[points], np.uint32(32), points).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
-                                             names=["word", "n"])
 
-        for b in batches:
-            for t in b.column(0):
-                c.update(words_of(t.as_py()))
-                if len(c) >= CACHE:
-                    yield out()
-                    c.clear()
-        yield out()
+def coded_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts as numbers of their words, many texts a row: ``ids``, ``sizes`` (words
+    of each text), ``slices`` (texts of each slice of at most 256 KB), ``codes``
+    (the texts' words as places in ``words``, 16 bits each where these suffice),
+    ``words`` (joined by spaces; null if there are none) and ``times`` (how often
+    each occurs).
 
-    parts = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(run, "word string, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+    Checkpointed, so its rows keep their places in the partitions of ``docs``."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches):
+        ids, sizes, slices, codes = [], [], [], []
+        known: defaultdict[str, int] = defaultdict(count().__next__)
+        length = 0
 
-class Coder:
-    """Words to the ids of their classes."""
+        def out() -> pa.RecordBatch:
+            line = np.concatenate(codes).astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
+            all_ids = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), pa.array([sizes], pa.list_(pa.int32())),
+                 pa.array([slices], pa.list_(pa.int32())), pa.array([line.tobytes()], pa.binary()),
+                 pa.array([" ".join(known) if known else None], pa.string()),
+                 pa.array([np.bincount(line, minlength=len(known))], pa.list_(pa.int32()))],
+                names=["ids", "sizes", "slices", "codes", "words", "times"])
+
+        for part in (part for b in batches for part in byte_slices(b, 1)):
+            ids.append(part.column(0))
+            slices.append(part.num_rows)
+            own: defaultdict[str, int] = defaultdict(count().__next__)  # of the slice: small, so fast
+            line = []
+            for t in part.column(1):
+                words = words_of(t.as_py())
+                sizes.append(len(words))
+                line.append(np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words)))
+                length += len(words)
+            codes.append(np.fromiter(map(known.__getitem__, own), dtype=np.uint32, count=len(own))[np.concatenate(line)])
+            if len(known) >= CACHE or length >= LENGTH or len(sizes) >= CACHE:
+                yield out()
+                ids, sizes, slices, codes, length = [], [], [], [], 0
+                known = defaultdict(count().__next__)
+        if sizes:
+            yield out()
+
+    ensure_checkpoint_dir(docs.sparkSession)
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(
+        run, f"ids array<{kind}>, sizes array<int>, slices array<int>, codes binary, words string, times array<int>").checkpoint()
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
+    """``word``, ``n`` over all texts."""
+    each = coded.select(F.explode(F.arrays_zip(F.split("words", " ").alias("word"), F.col("times").alias("n"))).alias("w"))
+    return each.groupBy("w.word").agg(F.sum("w.n").alias("n"))
+
+
+def classes_of(words: list[str], frequent: dict[str, int]) -> np.ndarray:
+    """The ids of the words' classes."""
+    return np.fromiter((frequent[w] if w in frequent else FREQUENT + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
+                        for w in words), dtype=np.int64, count=len(words))
+
+
+def codes_of(row: dict) -> np.ndarray:
+    return np.frombuffer(row["codes"], dtype=np.uint16 if len(row["codes"]) == 2 * sum(row["sizes"]) else np.uint32)
+
+
+def texts_of(row: dict, classes: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The classes of the words of every text of a coded row, by slice."""
+    line = classes[codes_of(row)]
+    texts = np.split(line, np.cumsum(row["sizes"])[:-1])
+    at = 0
+    for n in row["slices"]:
+        yield texts[at:at + n]
+        at += n
 
-    def __init__(self, frequent: list[str]):
-        self.top = {w: i for i, w in enumerate(frequent)}
-        self.known = dict(self.top)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known = dict(self.top)
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = FREQUENT + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+def _rows(batches, *columns: str) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: b.column(c)[i].as_py() for c in columns}
 
 
-def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Targets and their neighbours (positions, 2 SIDE) of texts laid end to end."""
+def contexts(docs: list[np.ndarray], some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """``some`` targets and their neighbours (positions, 2 SIDE) of texts laid end to end."""
     edge = np.full(SIDE, EDGE)
     line = np.concatenate([x for d in docs for x in (edge, d)] + [edge])
-    at = np.flatnonzero(line != EDGE)
+    at = np.flatnonzero(line != EDGE)[some]
     around = [k for k in range(-SIDE, SIDE + 1) if k]
     return line[at], np.stack([line[at + k] for k in around], axis=1)
 
@@ -96,43 +155,85 @@ def initial(counts: np.ndarray) -> dict[str, np.ndarray]:
     return p
 
 
-def train_on(p: dict[str, np.ndarray], target: np.ndarray, ctx: np.ndarray, squares: dict[str, np.ndarray]) -> None:
-    """One pass of AdaGrad over mini-batches, in place."""
-    # Neighbours enter through their mixed embeddings: gradients are summed by
-    # neighbour and word first and pass through ``mix`` once for each word.
-    column, slot = np.arange(WIDTH), VOCAB * np.arange(2 * SIDE)
-    for at in range(0, len(target), BATCH):
-        y, c = target[at:at + BATCH], ctx[at:at + BATCH]
-        near = (p["emb"] @ p["mix"]).reshape(-1, WIDTH)
-        cell = c + slot
-        h = np.tanh(near[cell].sum(axis=1) + p["bias"])
-        z = h @ p["out"] + p["base"]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(y)), y] -= 1
-        z /= len(y)
-        dh = (z @ p["out"].T) * (1 - h * h)
-        spread = np.broadcast_to(dh[:, None], (*c.shape, WIDTH))
-        dnear = np.bincount((cell[..., None] * WIDTH + column).ravel(), weights=spread.ravel(), minlength=near.size)
-        dnear = dnear.astype(np.float32).reshape(2 * SIDE, VOCAB, WIDTH)
-        grads = {"emb": (dnear @ p["mix"].transpose(0, 2, 1)).sum(axis=0), "mix": p["emb"].T @ dnear, "bias": dh.sum(axis=0),
-                 "out": h.T @ z, "base": z.sum(axis=0)}
-        for k, g in grads.items():
-            squares[k] += g * g
-            p[k] -= RATE * g / np.sqrt(squares[k])
+class Network:
+    """Parameters in training and their sums of squared gradients, as one vector
+    each, with the mixes side by side."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        parts = [p["emb"], p["mix"].transpose(1, 0, 2), p["bias"], p["out"], p["base"]]
+        self.at = np.concatenate([x.ravel() for x in parts]).astype(np.float32)
+        self.squares = np.full(len(self.at), 1e-4, dtype=np.float32)
+        self.grad = np.empty_like(self.at)
+        self.emb, self.mix, self.bias, self.out, self.base = self.views(self.at)
+
+    @staticmethod
+    def views(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b = VOCAB * WIDTH, VOCAB * WIDTH + 2 * SIDE * WIDTH * WIDTH
+        return (x[:a].reshape(VOCAB, WIDTH), x[a:b].reshape(WIDTH, -1), x[b:b + WIDTH], x[b + WIDTH:-VOCAB].reshape(WIDTH, VOCAB),
+                x[-VOCAB:])
+
+    def parameters(self) -> dict[str, np.ndarray]:
+        return {"emb": self.emb, "mix": self.mix.reshape(WIDTH, 2 * SIDE, WIDTH).transpose(1, 0, 2), "bias": self.bias,
+                "out": self.out, "base": self.base}
+
+    def train_on(self, target: np.ndarray, ctx: np.ndarray) -> None:
+        """One pass of AdaGrad over mini-batches."""
+        # Neighbours enter through their mixed embeddings: gradients are summed by
+        # neighbour and word first and pass through ``mix`` once for each word.
+        emb, mix, bias, out, base = self.emb, self.mix, self.bias, self.out, self.base
+        d_emb, d_mix, d_bias, d_out, d_base = self.views(self.grad)
+        slots, ones = 2 * SIDE, np.ones(max(VOCAB, BATCH), dtype=np.float32)
+        words, place = np.ascontiguousarray(ctx.T), np.arange(VOCAB * WIDTH).reshape(VOCAB, WIDTH)
+        scores, dnear = np.empty((BATCH, VOCAB), dtype=np.float32), np.empty((VOCAB, slots * WIDTH), dtype=np.float32)
+        for at in range(0, len(target), BATCH):
+            y, near_by = target[at:at + BATCH], words[:, at:at + BATCH]
+            n = len(y)
+            near = (emb @ mix).reshape(-1, WIDTH)
+            h = near.take(near_by[0] * slots, axis=0)
+            for k in range(1, slots):
+                h += near.take(near_by[k] * slots + k, axis=0)
+            h += bias
+            np.tanh(h, out=h)
+            z = np.matmul(h, out, out=scores[:n])
+            z += base
+            if not plain(out, base):
+                z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z *= (1 / (n * (z @ ones[:VOCAB])))[:, None]
+            z[np.arange(n), y] -= np.float32(1 / n)
+            dh = (z @ out.T) * (1 - h * h)
+            weights = dh.astype(np.float64).ravel()
+            for k in range(slots):
+                sums = np.bincount(place.take(near_by[k], axis=0).ravel(), weights, place.size)
+                dnear[:, k * WIDTH:(k + 1) * WIDTH] = sums.reshape(VOCAB, WIDTH)
+            np.matmul(dnear, mix.T, out=d_emb)
+            np.matmul(emb.T, dnear, out=d_mix)
+            np.matmul(ones[:n], dh, out=d_bias)
+            d_out[:] = (z.T @ h).T
+            np.matmul(ones[:n], z, out=d_base)
+            self.squares += self.grad * self.grad
+            self.grad *= RATE
+            self.grad /= np.sqrt(self.squares)
+            self.at -= self.grad
+
+
+def plain(out: np.ndarray, base: np.ndarray) -> bool:
+    """Whether no score can be too large for an exponent, as hidden values are at most 1."""
+    return bool((np.abs(out).sum(axis=0) + np.abs(base)).max() < PLAIN)
 
 
 def log_probs(tables: dict[str, np.ndarray], target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     """Conditional log-probability of every target."""
-    h = tables["near"][0][ctx[:, 0]]
+    h = tables["near"][0].take(ctx[:, 0], axis=0)
     for k in range(1, 2 * SIDE):
-        h = h + tables["near"][k][ctx[:, k]]
-    z = np.tanh(h + tables["bias"]) @ tables["out"] + tables["base"]
-    z -= z.max(axis=1, keepdims=True)
+        h += tables["near"][k].take(ctx[:, k], axis=0)
+    h += tables["bias"]
+    z = np.tanh(h, out=h) @ tables["out"]
+    z += tables["base"]
+    if not plain(tables["out"], tables["base"]):
+        z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(target)), target].astype(np.float64)
-    np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1, dtype=np.float64))
+    return own - np.log((np.exp(z, out=z) @ np.ones(VOCAB, dtype=np.float32)).astype(np.float64))
 
 
 def scoring_tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -154,28 +255,29 @@ def _unflat(x: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _round(docs: DataFrame, frequent: list[str], p: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]:
-    start = _flat(p)
+    """One round on ``coded_texts`` (or on a column ``text``)."""
+    if "codes" not in docs.columns:
+        docs = coded_texts(docs.withColumn("doc_id", F.lit(None).cast("long")), "doc_id", "text")
+    start, top = _flat(p), {w: i for i, w in enumerate(frequent)}
 
     def run(batches):
-        coder, mine = Coder(frequent), _unflat(start.copy())
-        squares = {k: np.full(s, 1e-4, dtype=np.float32) for k, s in SHAPES.items()}
-        seen = 0
-        for b in batches:
-            for part in byte_slices(b, 0):
-                texts = [coder.ids(words_of(t.as_py())) for t in part.column(0)]
+        mine, seen = Network(_unflat(start)), 0
+        for row in _rows(batches, "sizes", "slices", "codes", "words"):
+            classes = classes_of((row["words"] or "").split(), top)
+            for texts in texts_of(row, classes):
                 if not sum(map(len, texts)):
                     continue
-                target, ctx = contexts(texts)
-                some = slice(turn, None, ROUNDS)
-                train_on(mine, target[some], ctx[some], squares)
-                seen += len(target[some])
+                target, ctx = contexts(texts, slice(turn, None, ROUNDS))
+                mine.train_on(target, ctx)
+                seen += len(target)
         if seen:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(start), dtype=np.int32)), pa.array(_flat(mine).astype(np.float64) * seen),
+                [pa.array(np.arange(len(start), dtype=np.int32)), pa.array(_flat(mine.parameters()).astype(np.float64) * seen),
                  pa.array(np.full(len(start), seen, dtype=np.int64))], names=["i", "x", "n"])
 
     # One row for each parameter (a fixed number) reaches the driver.
-    got = docs.mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+    rows = docs.select("sizes", "slices", "codes", "words")
+    got = rows.mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
     if got:
         start[[r["i"] for r in got]] = [r["x"] for r in got]
     return _unflat(start)
@@ -190,7 +292,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows get equal answers; other columns are ignored.
     """
     src = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    counts = shared_table(word_counts(src, "text"), "word-counts")
+    coded = coded_texts(src, "doc_id", "text")
+    counts = shared_table(word_counts(coded), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = [r["word"] for r in top]
     start = np.zeros(VOCAB)
@@ -201,36 +304,48 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         start[FREQUENT + r["b"]] = r["n"]
     p = initial(start)
     for turn in range(ROUNDS):
-        p = _round(src.select("text").filter("text IS NOT NULL"), frequent, p, turn)
-    tables = scoring_tables(p)
+        p = _round(coded, frequent, p, turn)
+    tables, known = scoring_tables(p), {w: i for i, w in enumerate(frequent)}
     kind = src.schema["doc_id"].dataType.simpleString()
     whole = np.zeros(VOCAB)  # log counts of the classes of several words
     whole[FREQUENT:EDGE] = np.log(np.maximum(start[FREQUENT:EDGE], 1))
 
-    def run(batches):
-        coder = Coder(frequent)
-        for b in (part for whole_batch in batches for part in byte_slices(whole_batch, 1)):
-            words = [words_of(t.as_py()) for t in b.column(1)]
-            texts = [coder.ids(w) for w in words]
-            shared = [Counter(w for w in ws if w not in coder.top) for ws in words]  # words of classes of several
-            size, total = np.array([len(t) for t in texts], dtype=np.int64), np.zeros(b.num_rows)
-            if size.sum():
-                target, ctx = contexts(texts)
-                lp = np.concatenate([log_probs(tables, target[k:k + STEP], ctx[k:k + STEP])
-                                     for k in range(0, len(target), STEP)]) - whole[target]
-                total = np.bincount(np.repeat(np.arange(len(size)), size), weights=lp, minlength=len(size))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size), pa.array(total), b.column(2), pa.array([list(c) for c in shared], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in shared], pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "log_prob", "row", "words", "times"])
-
-    # The rows are numbered once and written, so the numbers hold for both uses.
-    scored = shared_table(src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        run, f"doc_id {kind}, n_words long, log_prob double, row long, words array<string>, times array<long>"), "scored")
-    found = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
-    inside = found.join(counts.withColumnRenamed("word", "words"), "words").groupBy("row").agg(
-        F.sum(F.col("times") * F.log("n")).alias("inside"))
-    log_prob = F.col("log_prob") + F.coalesce("inside", F.lit(0.0))
-    return scored.select("doc_id", "n_words", "log_prob", "row").join(inside, "row", "left").select(
-        "doc_id", "n_words", log_prob.alias("log_prob"),
-        F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
+    def score(batches):
+        # The words' classes; what is left of a row are the words that share their class.
+        for b in batches:
+            for i, row in enumerate(_rows([b], "sizes", "slices", "codes", "words")):
+                classes = classes_of((row["words"] or "").split(), known)
+                codes, size, total = codes_of(row), np.array(row["sizes"], dtype=np.int64), [np.zeros(0)]
+                for texts in texts_of(row, classes):
+                    if sum(map(len, texts)):
+                        target, ctx = contexts(texts)
+                        total += [log_probs(tables, target[k:k + STEP], ctx[k:k + STEP]) for k in range(0, len(target), STEP)]
+                line, text = classes[codes], np.repeat(np.arange(len(size)), size)
+                log_prob = np.bincount(text, np.concatenate(total) - whole[line], len(size))
+                share = line >= FREQUENT
+                shared = np.bincount(text[share], minlength=len(size))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row").slice(i, 1), b.column("ids").slice(i, 1), pa.array([size], pa.list_(pa.int64())),
+                     pa.array([log_prob], pa.list_(pa.float64())), pa.array([shared], pa.list_(pa.int32())),
+                     pa.array([codes[share].tobytes()], pa.binary())], names=["row", "ids", "size", "log_prob", "sizes", "codes"])
+
+    def add_shares(found: pa.Table, rows: pa.Table) -> pa.Table:
+        # One coded row, and the counts of those of its words that share their class.
+        row = {c: rows.column(c)[0].as_py() for c in ("sizes", "codes")}
+        codes, places, n = codes_of(row), found.column("place").to_numpy(), len(row["sizes"])
+        shares = np.zeros(max(codes.max(initial=0), places.max(initial=0)) + 1)
+        shares[places] = np.log(found.column("n").to_numpy())
+        inside = np.bincount(np.repeat(np.arange(n), row["sizes"]), shares[codes], n)
+        return pa.table([pa.array(rows.column("ids")[0].values), pa.array(rows.column("size")[0].values),
+                         pa.array(rows.column("log_prob")[0].values.to_numpy() + inside)], names=["doc_id", "n_words", "log_prob"])
+
+    # A coded row's number holds for both uses, as its place is checkpointed. A
+    # word that occurs once in all has a log count of zero.
+    coded = coded.withColumn("row", F.monotonically_increasing_id())
+    places = coded.select(F.col("row").alias("at"), F.posexplode(F.split("words", " ")).alias("place", "word"))
+    found = places.join(rest.filter("n > 1"), "word").select("at", "place", "n")
+    parts = coded.drop("times").mapInArrow(
+        score, f"row long, ids array<{kind}>, size array<long>, log_prob array<double>, sizes array<int>, codes binary")
+    scored = found.groupBy("at").cogroup(parts.groupBy("row")).applyInArrow(
+        add_shares, f"doc_id {kind}, n_words long, log_prob double")
+    return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

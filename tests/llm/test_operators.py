@@ -8,6 +8,7 @@ those that the operators use inside.
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -496,6 +497,46 @@ def test_pseudo_likelihood_trains_on_every_position(spark):
     assert set.union(*raised) == set(range(7)) and sum(map(len, raised)) == 7
 
 
+def test_words_are_runs_of_word_characters():
+    """Of every character, as the expression finds them in the lower-cased text."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for text in ("".join(f"a{c}B" for c in points), "".join(f"a{c}B" for c in points[:128]), " ", "\u0130x \u00b2"):
+        assert pseudo_lm.words_of(text) == re.findall(r"\w+", text.lower())
+    assert pseudo_lm.words_of(None) == pseudo_lm.words_of("") == []
+
+
+def test_coded_texts_hold_every_word_in_order(spark):
+    """Texts are cut into words once: codes, counts and slices give them back."""
+    texts = [None, "", "Up, down up", "x " * 30, "\u00c9t\u00e9 " * 50 + "up", "..."] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    coded = pseudo_lm.coded_texts(df, "doc_id", "text")
+    got = []
+    for r in coded.collect():
+        words, row = (r["words"] or "").split(), r.asDict()
+        spelled = [w for part in pseudo_lm.texts_of(row, np.arange(len(words))) for w in part]
+        got += [(i, [words[k] for k in w]) for i, w in zip(r["ids"], spelled)]
+        assert sum(r["times"]) == sum(r["sizes"]) and len(set(words)) == len(words)
+    assert got == [(i, pseudo_lm.words_of(t)) for i, t in enumerate(texts)]
+    counts = {r["word"]: r["n"] for r in pseudo_lm.word_counts(coded).collect()}
+    assert counts == {"up": 9, "down": 3, "x": 90, "\u00e9t\u00e9": 150}
+
+
+def test_training_step_follows_the_gradient():
+    """A mini-batch moves every parameter by its AdaGrad step of the mean loss."""
+    p = {k: v.astype(np.float64) for k, v in pseudo_lm.initial(np.arange(pseudo_lm.VOCAB) + 1.0).items()}
+    target, ctx = pseudo_lm.contexts([np.array([1, 2, 3, 1, 5, 2]), np.array([7, 1])])
+    net = pseudo_lm.Network(p)
+    net.train_on(target, ctx)
+    got = net.parameters()
+    loss = lambda q: -pseudo_lm.log_probs(pseudo_lm.scoring_tables(q), target, ctx).mean()
+    for k, at in (("emb", (1, 3)), ("mix", (2, 4, 5)), ("bias", (6,)), ("out", (7, 2)), ("base", (1,))):
+        up, down = ({**p, k: p[k].copy()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        g = (loss(up) - loss(down)) / 2e-4
+        assert abs(got[k][at] - (p[k][at] - pseudo_lm.RATE * g / math.sqrt(1e-4 + g * g))) < 2e-3
+
+
 def test_log_probs_match_direct_softmax():
     p = pseudo_lm.initial(np.ones(pseudo_lm.VOCAB))
     target, ctx = pseudo_lm.contexts([np.array([1, 2, 3, 4, 5]), np.array([7])])
