@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MID, SF_SMALL
 from tarmac.operators.cumulative import running_totals
 from tarmac.operators.evaluate import roc_auc
-from tarmac.operators.features import stratified_split, subsample
+from tarmac.operators.features import hash_unit, stratified_split, subsample
 from tarmac.plans.catalog import load_clean
 
 
@@ -118,3 +118,15 @@ def test_medians_by_selection(spark):
             assert column_medians(data, names, most=most) == want
         data.unpersist()
     assert column_medians(df.limit(0), ["a"]) == {"a": None}
+
+
+def test_subsample_reads_its_input_once(spark, tmp_dir):
+    """What follows reads the rows taken, not the input; rows of one hash are too few at first."""
+    spark.range(4000).selectExpr("id", "id % 7 AS a").write.parquet(f"{tmp_dir}/rows")
+    df = spark.read.parquet(f"{tmp_dir}/rows")
+    got = subsample(df, 700, 5)
+    assert not set(got.inputFiles()) & set(df.inputFiles())
+    unit = df.withColumn("u", hash_unit(df, df.columns, 5)).orderBy("u").limit(700)
+    assert {r["id"] for r in got.collect()} == {r["id"] for r in unit.collect()}
+    same = spark.createDataFrame([(1,)] * 50 + [(2,)] * 50, "a long")
+    assert subsample(same, 60, 5).count() == 60
