@@ -15,13 +15,13 @@ conditional log-probabilities.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +35,48 @@ EDGE = VOCAB - 1
 ROUNDS, BATCH, RATE = 2, 256, 0.15
 #: Different words and words in all after which a row of coded texts ends.
 CACHE, LENGTH = 50_000, 1 << 20
-#: Positions scored at a time, and up to which size an exponent needs no shift.
-STEP, PLAIN = 1 << 10, 60.0
+#: Positions scored at a time, up to which size an exponent needs no shift, and the
+#: steps of training (each adds at most RATE to a parameter) after which that is looked at.
+STEP, PLAIN, LOOK = 1 << 10, 60.0, 4
 SHAPES = {"emb": (VOCAB, WIDTH), "mix": (2 * SIDE, WIDTH, WIDTH), "bias": (WIDTH,), "out": (WIDTH, VOCAB), "base": (VOCAB,)}
 ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))
 
 
 @lru_cache(maxsize=1)
-def _no_word() -> np.ndarray:
-    """For every code point, whether it is outside ``\\w``."""
-    return np.array([not (chr(i).isalnum() or i == 95) for i in range(0x110000)])
+def _lowered() -> np.ndarray:
+    r"""For every code point, its lower case, or a space where that is outside ``\w``."""
+    low = [chr(i).lower() for i in range(0x110000)]
+    return np.array([ord(c) if len(c) == 1 and (c.isalnum() or c == "_") else 32 for c in low], dtype="<u4")
 
 
-def words_of(text: str | None) -> list[str]:
-    r"""The runs of ``\w`` of the lower-cased text: all else becomes a space."""
+def spaced(text: str | None) -> bytes:
+    r"""The lower-cased text in UTF-8, with a space for every character outside ``\w``."""
     if not text:
-        return []
+        return b""
     if text.isascii():
-        return text.encode().translate(ASCII).decode().split()
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return np.where(_no_word()[points], np.uint32(32), points).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
+        return text.encode().translate(ASCII)
+    if "\u0130" in text or "\u03a3" in text:  # becomes two characters; depends on those beside it
+        text = text.lower()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return _lowered()[points].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+
+
+def words_of(text: str | None) -> list[str]:
+    r"""The runs of ``\w`` of the lower-cased text: all else becomes a space."""
+    return spaced(text).decode("utf-8", "surrogatepass").split()
+
+
+def cut(texts: list[str | None]) -> tuple[np.ndarray, pa.StringArray]:
+    """``words_of`` of texts: how many each has, and all of them in order."""
+    lines = [spaced(t) for t in texts]
+    line = np.frombuffer(b" ".join([b"", *lines, b""]), dtype=np.uint8)
+    inside = line != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in lines])), prepend=0)
+    at = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    return sizes, pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(line[inside]))
 
 
 def coded_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,36 +90,33 @@ def coded_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        ids, sizes, slices, codes = [], [], [], []
-        known: defaultdict[str, int] = defaultdict(count().__next__)
-        length = 0
+        none = pa.array([], pa.string())
+        ids, sizes, slices, codes, known, length = [], [], [], [], none, 0
 
         def out() -> pa.RecordBatch:
             line = np.concatenate(codes).astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
             all_ids = pa.concat_arrays(ids)
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), " ")
             return pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), pa.array([sizes], pa.list_(pa.int32())),
-                 pa.array([slices], pa.list_(pa.int32())), pa.array([line.tobytes()], pa.binary()),
-                 pa.array([" ".join(known) if known else None], pa.string()),
+                [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids),
+                 pa.array([np.concatenate(sizes)], pa.list_(pa.int32())), pa.array([slices], pa.list_(pa.int32())),
+                 pa.array([line.tobytes()], pa.binary()), words if len(known) else pa.nulls(1, pa.string()),
                  pa.array([np.bincount(line, minlength=len(known))], pa.list_(pa.int32()))],
                 names=["ids", "sizes", "slices", "codes", "words", "times"])
 
         for part in (part for b in batches for part in byte_slices(b, 1)):
             ids.append(part.column(0))
             slices.append(part.num_rows)
-            own: defaultdict[str, int] = defaultdict(count().__next__)  # of the slice: small, so fast
-            line = []
-            for t in part.column(1):
-                words = words_of(t.as_py())
-                sizes.append(len(words))
-                line.append(np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words)))
-                length += len(words)
-            codes.append(np.fromiter(map(known.__getitem__, own), dtype=np.uint32, count=len(own))[np.concatenate(line)])
-            if len(known) >= CACHE or length >= LENGTH or len(sizes) >= CACHE:
+            each, words = cut(part.column(1).to_pylist())
+            sizes.append(each)
+            # Words known before come first, so they keep their numbers.
+            both = pa.concat_arrays([known, words]).dictionary_encode()
+            codes.append(both.indices.to_numpy()[len(known):].astype(np.uint32))
+            known, length = both.dictionary, length + len(words)
+            if len(known) >= CACHE or length >= LENGTH or sum(slices) >= CACHE:
                 yield out()
-                ids, sizes, slices, codes, length = [], [], [], [], 0
-                known = defaultdict(count().__next__)
-        if sizes:
+                ids, sizes, slices, codes, known, length = [], [], [], [], none, 0
+        if slices:
             yield out()
 
     ensure_checkpoint_dir(docs.sparkSession)
@@ -111,10 +130,15 @@ def word_counts(coded: DataFrame) -> DataFrame:
     return each.groupBy("w.word").agg(F.sum("w.n").alias("n"))
 
 
-def classes_of(words: list[str], frequent: dict[str, int]) -> np.ndarray:
-    """The ids of the words' classes."""
-    return np.fromiter((frequent[w] if w in frequent else FREQUENT + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
-                        for w in words), dtype=np.int64, count=len(words))
+def numbered(frequent: list[str]) -> dict[bytes, int]:
+    return {w.encode(): i for i, w in enumerate(frequent)}
+
+
+def classes_of(words: str | None, frequent: dict[bytes, int]) -> np.ndarray:
+    """The ids of the classes of words joined by spaces."""
+    each = (words or "").encode().split()
+    top = np.fromiter(map(frequent.get, each, repeat(-1)), dtype=np.int64, count=len(each))
+    return np.where(top < 0, FREQUENT + np.fromiter(map(zlib.crc32, each), dtype=np.int64, count=len(each)) % OTHERS, top)
 
 
 def codes_of(row: dict) -> np.ndarray:
@@ -143,7 +167,7 @@ def contexts(docs: list[np.ndarray], some: slice = slice(None)) -> tuple[np.ndar
     line = np.concatenate([x for d in docs for x in (edge, d)] + [edge])
     at = np.flatnonzero(line != EDGE)[some]
     around = [k for k in range(-SIDE, SIDE + 1) if k]
-    return line[at], np.stack([line[at + k] for k in around], axis=1)
+    return line[at], np.stack([line[at + k] for k in around]).T
 
 
 def initial(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -180,37 +204,44 @@ class Network:
         """One pass of AdaGrad over mini-batches."""
         # Neighbours enter through their mixed embeddings: gradients are summed by
         # neighbour and word first and pass through ``mix`` once for each word.
+        # ``last`` is ``out`` with ``base`` as the weights of a hidden value that is 1.
         emb, mix, bias, out, base = self.emb, self.mix, self.bias, self.out, self.base
-        d_emb, d_mix, d_bias, d_out, d_base = self.views(self.grad)
-        slots, ones = 2 * SIDE, np.ones(max(VOCAB, BATCH), dtype=np.float32)
-        words, place = np.ascontiguousarray(ctx.T), np.arange(VOCAB * WIDTH).reshape(VOCAB, WIDTH)
-        scores, dnear = np.empty((BATCH, VOCAB), dtype=np.float32), np.empty((VOCAB, slots * WIDTH), dtype=np.float32)
-        for at in range(0, len(target), BATCH):
+        d_emb, d_mix, d_bias, _, _ = self.views(self.grad)
+        last, d_last = (x[-(WIDTH + 1) * VOCAB:].reshape(WIDTH + 1, VOCAB) for x in (self.at, self.grad))
+        slots, ones, rows = 2 * SIDE, np.ones(max(VOCAB, BATCH), dtype=np.float32), np.arange(BATCH)
+        words = np.ascontiguousarray(ctx.T) * slots + np.arange(slots)[:, None]
+        place = np.arange(VOCAB * slots * WIDTH).reshape(VOCAB * slots, WIDTH)
+        scores, hidden = np.empty((BATCH, VOCAB), dtype=np.float32), np.ones((BATCH, WIDTH + 1), dtype=np.float32)
+        for step, at in enumerate(range(0, len(target), BATCH)):
             y, near_by = target[at:at + BATCH], words[:, at:at + BATCH]
             n = len(y)
             near = (emb @ mix).reshape(-1, WIDTH)
-            h = near.take(near_by[0] * slots, axis=0)
+            h = near.take(near_by[0], axis=0)
             for k in range(1, slots):
-                h += near.take(near_by[k] * slots + k, axis=0)
+                h += near.take(near_by[k], axis=0)
             h += bias
             np.tanh(h, out=h)
-            z = np.matmul(h, out, out=scores[:n])
-            z += base
-            if not plain(out, base):
+            above = hidden[:n]
+            above[:, :WIDTH] = h
+            z = np.matmul(above, last, out=scores[:n])
+            if step % LOOK == 0:
+                small = plain(out, base)
+            if not small:
                 z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z *= (1 / (n * (z @ ones[:VOCAB])))[:, None]
-            z[np.arange(n), y] -= np.float32(1 / n)
-            dh = (z @ out.T) * (1 - h * h)
-            weights = dh.astype(np.float64).ravel()
-            for k in range(slots):
-                sums = np.bincount(place.take(near_by[k], axis=0).ravel(), weights, place.size)
-                dnear[:, k * WIDTH:(k + 1) * WIDTH] = sums.reshape(VOCAB, WIDTH)
+            # The gradient's rows, but for their factors, which the narrow side takes.
+            total = z @ ones[:VOCAB]
+            z[rows[:n], y] -= total
+            factor = (1 / (n * total))[:, None]
+            dh = (z @ out.T) * factor * (1 - h * h)
+            weights = np.empty((slots, dh.size))
+            weights[:] = dh.ravel()
+            sums = np.bincount(place.take(near_by, axis=0).ravel(), weights.ravel(), place.size)
+            dnear = sums.astype(np.float32).reshape(VOCAB, -1)
             np.matmul(dnear, mix.T, out=d_emb)
             np.matmul(emb.T, dnear, out=d_mix)
             np.matmul(ones[:n], dh, out=d_bias)
-            d_out[:] = (z.T @ h).T
-            np.matmul(ones[:n], z, out=d_base)
+            np.matmul((above * factor).T, z, out=d_last)
             self.squares += self.grad * self.grad
             self.grad *= RATE
             self.grad /= np.sqrt(self.squares)
@@ -222,7 +253,7 @@ def plain(out: np.ndarray, base: np.ndarray) -> bool:
     return bool((np.abs(out).sum(axis=0) + np.abs(base)).max() < PLAIN)
 
 
-def log_probs(tables: dict[str, np.ndarray], target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+def log_probs(tables: dict, target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     """Conditional log-probability of every target."""
     h = tables["near"][0].take(ctx[:, 0], axis=0)
     for k in range(1, 2 * SIDE):
@@ -230,15 +261,16 @@ def log_probs(tables: dict[str, np.ndarray], target: np.ndarray, ctx: np.ndarray
     h += tables["bias"]
     z = np.tanh(h, out=h) @ tables["out"]
     z += tables["base"]
-    if not plain(tables["out"], tables["base"]):
+    if not tables["plain"]:
         z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(target)), target].astype(np.float64)
     return own - np.log((np.exp(z, out=z) @ np.ones(VOCAB, dtype=np.float32)).astype(np.float64))
 
 
-def scoring_tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def scoring_tables(p: dict[str, np.ndarray]) -> dict:
     """Parameters with each neighbour's embedding already mixed."""
-    return {"near": np.einsum("vd,kde->kve", p["emb"], p["mix"]), "bias": p["bias"], "out": p["out"], "base": p["base"]}
+    return {"near": np.einsum("vd,kde->kve", p["emb"], p["mix"]), "bias": p["bias"], "out": p["out"], "base": p["base"],
+            "plain": plain(p["out"], p["base"])}
 
 
 def _flat(p) -> np.ndarray:
@@ -258,12 +290,12 @@ def _round(docs: DataFrame, frequent: list[str], p: dict[str, np.ndarray], turn:
     """One round on ``coded_texts`` (or on a column ``text``)."""
     if "codes" not in docs.columns:
         docs = coded_texts(docs.withColumn("doc_id", F.lit(None).cast("long")), "doc_id", "text")
-    start, top = _flat(p), {w: i for i, w in enumerate(frequent)}
+    start, top = _flat(p), numbered(frequent)
 
     def run(batches):
         mine, seen = Network(_unflat(start)), 0
         for row in _rows(batches, "sizes", "slices", "codes", "words"):
-            classes = classes_of((row["words"] or "").split(), top)
+            classes = classes_of(row["words"], top)
             for texts in texts_of(row, classes):
                 if not sum(map(len, texts)):
                     continue
@@ -305,7 +337,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = initial(start)
     for turn in range(ROUNDS):
         p = _round(coded, frequent, p, turn)
-    tables, known = scoring_tables(p), {w: i for i, w in enumerate(frequent)}
+    tables, known = scoring_tables(p), numbered(frequent)
     kind = src.schema["doc_id"].dataType.simpleString()
     whole = np.zeros(VOCAB)  # log counts of the classes of several words
     whole[FREQUENT:EDGE] = np.log(np.maximum(start[FREQUENT:EDGE], 1))
@@ -314,7 +346,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # The words' classes; what is left of a row are the words that share their class.
         for b in batches:
             for i, row in enumerate(_rows([b], "sizes", "slices", "codes", "words")):
-                classes = classes_of((row["words"] or "").split(), known)
+                classes = classes_of(row["words"], known)
                 codes, size, total = codes_of(row), np.array(row["sizes"], dtype=np.int64), [np.zeros(0)]
                 for texts in texts_of(row, classes):
                     if sum(map(len, texts)):

@@ -9,6 +9,7 @@ import collections
 import hashlib
 import math
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -521,6 +522,47 @@ def test_coded_texts_hold_every_word_in_order(spark):
     assert counts == {"up": 9, "down": 3, "x": 90, "\u00e9t\u00e9": 150}
 
 
+def test_cut_makes_no_object_of_a_word():
+    """The words of all texts, as one array: no Python string for each."""
+    texts = [None, "", "Up, down", "up", " \u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3, \u0130stanbul\u0130", "\u00c9t\u00e9\u4e16\u754c x", "...", "a" * 9]
+    sizes, words = pseudo_lm.cut(texts)
+    assert words.to_pylist() == [w for t in texts for w in pseudo_lm.words_of(t)]
+    assert sizes.tolist() == [len(pseudo_lm.words_of(t)) for t in texts]
+    assert [len(x) for x in pseudo_lm.cut([None, "..."])] == [2, 0]
+    assert pseudo_lm.words_of(texts[4]) == re.findall(r"\w+", texts[4].lower())
+    many = [" ".join(f"w{i} \u00e9{i}" for i in range(20_000))]
+    before = sys.getallocatedblocks()
+    kept = pseudo_lm.cut(many)
+    assert len(kept[1]) == 40_000 and sys.getallocatedblocks() - before < 4000
+
+
+def test_coded_texts_without_words(spark):
+    df = spark.createDataFrame([(0, None), (1, "..."), (2, "")], "doc_id long, text string").coalesce(1)
+    row = pseudo_lm.coded_texts(df, "doc_id", "text").first()
+    assert (list(row["ids"]), list(row["sizes"]), row["words"], list(row["times"])) == ([0, 1, 2], [0, 0, 0], None, [])
+    assert [tuple(r) for r in pseudo_lm.score_documents(df).orderBy("doc_id").collect()] == [(i, 0, 0.0, None) for i in range(3)]
+
+
+@pytest.mark.parametrize("top", [pseudo_lm.PLAIN - 2, 200.0])
+def test_training_with_large_scores_follows_the_gradient(top):
+    """Scores near the bound, which steps may pass before it is looked at, and beyond it."""
+    p = pseudo_lm.initial(np.arange(pseudo_lm.VOCAB) + 1.0)
+    p["base"][:4] = top
+    line = np.resize(np.array([1, 2, 3, 1, 5, 2, 9]), pseudo_lm.BATCH * (pseudo_lm.LOOK + 1))
+    target, ctx = pseudo_lm.contexts([line])
+    net, one = pseudo_lm.Network(p), pseudo_lm.Network(p)
+    net.train_on(target, ctx)
+    assert np.isfinite(net.at).all()
+    one.train_on(target[:pseudo_lm.BATCH], ctx[:pseudo_lm.BATCH])
+    y = target[:pseudo_lm.BATCH]
+    near = np.einsum("vd,kde->kve", p["emb"], p["mix"]).astype(np.float64)
+    h = np.tanh(sum(near[k][ctx[:pseudo_lm.BATCH, k]] for k in range(ctx.shape[1])) + p["bias"])
+    z = h @ p["out"] + p["base"]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    g = ((z / z.sum(axis=1, keepdims=True)) - np.eye(pseudo_lm.VOCAB)[y]).mean(axis=0)
+    assert np.abs(one.base - (p["base"] - pseudo_lm.RATE * g / np.sqrt(1e-4 + g * g))).max() < 1e-3
+
+
 def test_training_step_follows_the_gradient():
     """A mini-batch moves every parameter by its AdaGrad step of the mean loss."""
     p = {k: v.astype(np.float64) for k, v in pseudo_lm.initial(np.arange(pseudo_lm.VOCAB) + 1.0).items()}
