@@ -13,6 +13,7 @@ The field is trained on a bounded sample of different labelled documents (at mos
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import quoted, shielded, unshielded, with_key
+from tarmac.llm.common import quoted, shielded, small_batches, unshielded, with_key
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -278,15 +279,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     keyed = with_key(docs, id_col, text_col)
     texts, langs = training_sample(keyed, text_col, lang_col, may_learn, F.col("__tk"), per_lang)
     field = train(texts, langs)
-    names = docs.columns
-    schema = ", ".join(f"{quoted(c)} {t}" for c, t in docs.dtypes) + ", __lang string, __score double"
+    small_batches(docs.sparkSession)
 
-    def run(batches):
+    # Only the texts go to Python, and nothing but the answers comes back.
+    @F.arrow_udf("lang string, score double")
+    def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(field)
-        at = names.index(text_col)
-        for b in batches:
-            found, score = tagger.label(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*names, "__lang", "__score"])
-
-    return unshielded(docs.select(*[quoted(c) for c in names]).mapInArrow(run, schema), hidden)
+        for texts in batches:
+            found, score = tagger.label(texts)
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+
+    names = [quoted(c) for c in docs.columns]
+    # Not to be moved into a filter on the answer, where it would run once more.
+    known = docs.select(*names, tag.asNondeterministic()(F.col(quoted(text_col))).alias("__tag"))
+    return unshielded(known.select(*names, F.col("__tag.lang").alias("__lang"), F.col("__tag.score").alias("__score")), hidden)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import byte_slices, join_on_key, quoted, shared_table, shielded, unshielded, with_key
+from tarmac.llm.common import byte_slices, join_on_key, quoted, shared_table, shielded, small_batches, unshielded, with_key
 
 MIN_WORDS = 25
 
@@ -87,6 +87,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Later repeated windows as line ranges: ``__id``, ``__tk`` (document key),
     ``s``, ``e`` (first and last line); overlapping ones form the runs."""
     rows = with_key(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text")), id_col, "__text")
+    small_batches(docs.sparkSession)
     win = shared_table(_windows(rows, min_words), "windows")
     place = F.struct("__id", "__tk", "s")
     agreed = win.groupBy("f", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -117,10 +118,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without_lines(t, r) for t, r in zip(text, runs)], columns=["text", "gone"])
 
-    done = both.withColumn("__cut", cut(F.col(quoted(text_col)), F.col("__runs")))
+    # Only texts that lose lines go to Python, and once: a filter on the result
+    # would else run it again.
+    text, some = F.col(quoted(text_col)), F.col("__runs").isNotNull()
+    done = both.withColumn("__cut", cut.asNondeterministic()(F.when(some, text), F.col("__runs")))
     keep = [c for c in docs.columns if c != "lines_removed"]
-    return unshielded(done.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(quoted(c)) for c in keep],
-                                  F.col("__cut.gone").alias("lines_removed")), names)
+    return unshielded(done.select(
+        *[F.when(some, F.col("__cut.text")).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in keep],
+        F.col("__cut.gone").alias("lines_removed")), names)
 
 
 def without_lines(text: str | None, runs) -> tuple[str | None, int]:

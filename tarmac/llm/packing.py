@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import quoted, shared_table
+from tarmac.llm.common import quoted, shared_table, small_batches
 
 CAPACITY = 2048
 #: Text of other characters, or naming a special token, goes to the
@@ -226,5 +226,6 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY, row: Column | None =
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY,
                    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack whole documents; see ``pieces`` and ``pack``."""
+    small_batches(docs.sparkSession)
     table = shared_table(pieces(docs, json_path, ranks_path, capacity, id_col, text_col, with_ids), "pieces")
     return pack(table, capacity, F.xxhash64("_metadata.file_name", "_metadata.row_index"))

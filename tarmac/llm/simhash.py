@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_on_key, quoted, shared_table, shielded, unshielded, with_key
+from tarmac.llm.common import join_on_key, quoted, shared_table, shielded, small_batches, unshielded, with_key
 from tarmac.llm.graph import components
 
 SEED = 42
@@ -188,6 +188,7 @@ def forest(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
     """``__id``, ``__tk`` (document key), ``__fp`` and ``__group`` of every row."""
     keyed = with_key(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text")), id_col, "__text")
+    small_batches(docs.sparkSession)
     rows = shared_table(with_fingerprints(keyed.select("__id", "__tk", "__text"), "__text", shingle), "fingerprints")
     fps = rows.select(F.col("__fp").alias("fp")).distinct()
     comp = components(links(fps, max_bits))

@@ -4,11 +4,13 @@ operators' own names."""
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tarmac.llm import langid, simhash
+from tarmac.llm import langid, line_dedup, simhash
+from tarmac.llm.common import ARROW_BYTES, ARROW_BYTES_CONF
 
 gen = np.random.default_rng(21)
 WORDS = {"en": ["the", "and", "house", "with", "over", "green", "river"], "de": ["der", "und", "haus", "mit", "\u00fcber", "gr\u00fcn", "fluss"]}
@@ -97,3 +99,40 @@ def test_empty_table(spark, docs, folder):
 def test_rejected_share(spark, docs, folder):
     known = langid.identify(docs.drop("__lang", "__score"))
     assert known.filter("__score < 0.3 AND __lang <> 'und'").count() == 0
+
+
+def evaluations(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_texts_pass_python_once(spark, docs, folder):
+    known, cut = P.language_id(spark, docs, folder), P.line_dedup(spark, docs, folder)
+    assert evaluations(known) == evaluations(cut) == 1
+    assert "MapInArrow" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("number", [0, 1, 2, 4])
+def test_texts_reach_python_in_small_batches(spark, docs, folder, number):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    spark.conf.set(ARROW_BYTES_CONF, "64m")
+    try:
+        P.STAGES[number][1](spark, docs, folder)
+        wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+        assert max(r["n"] for r in wide.mapInArrow(sizes, "n long").collect()) < 1.5 * ARROW_BYTES
+        spark.conf.set(ARROW_BYTES_CONF, "1m")  # a lower bound stays
+        P.STAGES[number][1](spark, docs, folder)
+        assert spark.conf.get(ARROW_BYTES_CONF) == "1m"
+    finally:
+        spark.conf.unset(ARROW_BYTES_CONF)
+
+
+def test_lines_are_cut_only_where_a_run_repeats(spark):
+    run = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "a\n" + run), (2, "b\n" + run + "\n \nc"), (2, "b\n" + run + "\n \nc"), (3, "own"), (4, None), (None, ""), (5, run)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in line_dedup.dedup_lines(df).collect())
+    assert got == collections.Counter([(1, "a\n" + run, 0), (2, "b\nc", 2), (2, "b\nc", 2), (3, "own", 0), (4, None, 0),
+                                       (None, "", 0), (5, "", 1)])
