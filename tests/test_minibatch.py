@@ -59,3 +59,15 @@ def test_stops_early_and_odd_tables(spark):
     holes = df.withColumn("a", F.when(F.col("key") > 0, F.col("a")))
     assert K.fit(holes, COLS, "key", 2, batch=100, steps=3, starts=2).steps == 3
     assert K.fit(df.limit(0), COLS, "key", 2).steps == 0
+
+
+def test_every_row_moves_the_centres(spark):
+    """Five batches of ten rows would be a sample of the 900, and patience could end a model earlier."""
+    df = frame(spark)
+    for patience in (99, 1):
+        two, three = K.fit_many(df, COLS, "key", [2, 3], batch=10, steps=5, starts=2, patience=patience)
+        assert two.counts.sum() == three.counts.sum() == 900 and two.steps == three.steps == 5
+    table, n, a_round = K.batches(df, COLS, "key", 7, 10, 5)
+    assert (n, a_round) == (900, 5) and table.select("_key").distinct().count() == table.count() == 900
+    small = K.batches(df, COLS, "key", 7, 100, 20)[0]
+    assert small.groupBy("step").count().agg(F.max("count")).first()[0] < 200
