@@ -87,3 +87,17 @@ def test_entry_plans_small(spark, tmp_dir):
     assert base["classification_report"].count() == 5
     route = MP.route_event_report(flights, schedule_view(spark, SF_SMALL), lr_iter=20, min_route_flights=5)
     assert route["route_risk"].count() > 0
+
+
+def test_regression_models_has_the_full_sizes(monkeypatch):
+    import inspect
+
+    from tarmac.plans.catalog_models import model_queries
+
+    real, given = inspect.signature(MP.run_regression), {}
+    monkeypatch.setattr(MP, "classification_data", lambda *a, **k: None)
+    monkeypatch.setattr("tarmac.plans.catalog_models.flights_view", lambda sp, d: None)
+    monkeypatch.setattr(MP, "run_regression", lambda data, **k: given.update(k) or {"regression_models": None})
+    model_queries()["regression_models"](None, "")
+    sizes = {n: given.get(n, p.default) for n, p in real.parameters.items() if n in ("gb_iter", "boost_iter")}
+    assert sizes == {"gb_iter": 200, "boost_iter": 300}  # the reference's
