@@ -60,3 +60,27 @@ def test_forest_node_looks_at_no_more_features_than_it_tries(monkeypatch):
     hist[:, :, :] = np.tile(hist[:, :4], (1, 9, 1))  # each feature holds the same rows
     feat, _, gain = T.best_splits(hist, sizes, 9, np.arange(50, dtype=np.uint64), T.Forest(), np.ones(2))
     assert sum(seen) == 50 * 3 and (feat != T.LEAF).all() and (gain >= 0).all()
+
+
+def test_model_of_few_rows_takes_no_pass_for_each_tree(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 7 < 3).cast("int").alias("y"))
+    binner = B.fit_bins(df, ["a"], [])
+    table = B.binned_table(df, binner, F.col("y"), F.lit(1.0), F.col("id"), [F.lit(True), F.col("id") < 1000])
+    settings = [B.Boost(rounds=3, row_rate=0.7), B.Boost(rounds=2, objective="squared")]
+    monkeypatch.setattr(B, "SMALL", 0)
+    want = B.fit_many(table, binner, settings)[0]
+    monkeypatch.setattr(B, "SMALL", 3000)
+    monkeypatch.setattr(B._Trainer, "_pass", None)
+    got = B.fit_many(table, binner, settings)[0]
+    assert [len(m.trees) for m in got] == [3, 2] and max(len(t.feat) for m in got for t in m.trees) > 3
+    for a, b in zip(want, got):
+        assert all((getattr(x, c) == getattr(y, c)).all() for x, y in zip(a.trees, b.trees) for c in ("feat", "left", "kids", "value", "gain"))
+
+
+def test_rows_are_binned_before_they_are_dealt(spark, monkeypatch):
+    dealt, frame = [], type(spark.range(1))
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(self.columns) or real(self, *a))
+    df = spark.createDataFrame([(i, float(i), "x") for i in range(50)], "id long, a double, c string")
+    table = B.binned_table(df, B.fit_bins(df, ["a"], ["c"]), F.col("a"), F.lit(1.0), F.col("id"), [F.lit(True)], ["id"])
+    assert dealt == [["bins", "y", "w", "key", "member", "_k0"]] and table.count() == 50
